@@ -130,3 +130,81 @@ def q_thread_issues(spark, sf):
 def q_conversation_flow(spark, sf):
     return job(spark, sf).flow.select("thread_key", F.col("flow_pos").cast("bigint"), "date", "sender",
                                       "subject", "preview")
+
+
+# --------------------------------------------------------------------------- scoring / insights
+@register("priority_score", "SELECT thread_key, priority_score, priority_level FROM scored")
+def q_priority_score(spark, sf):
+    return job(spark, sf).scored.select("thread_key", "priority_score", "priority_level")
+
+
+@register("priority_factors", "SELECT thread_key, array_to_string(priority_factors, ' | ') AS factors FROM scored")
+def q_priority_factors(spark, sf):
+    return job(spark, sf).scored.select("thread_key", joined("priority_factors").alias("factors"))
+
+
+@register("thread_status", "SELECT thread_key, current_status FROM scored")
+def q_thread_status(spark, sf):
+    return job(spark, sf).scored.select("thread_key", "current_status")
+
+
+@register("response_needed", "SELECT thread_key, response_needed, last_responder FROM scored")
+def q_response_needed(spark, sf):
+    return job(spark, sf).scored.select("thread_key", "response_needed", "last_responder")
+
+
+@register("waiting_on", "SELECT thread_key, waiting_on FROM scored")
+def q_waiting_on(spark, sf):
+    return job(spark, sf).scored.select("thread_key", "waiting_on")
+
+
+@register("next_action", "SELECT thread_key, next_action FROM scored")
+def q_next_action(spark, sf):
+    return job(spark, sf).scored.select("thread_key", "next_action")
+
+
+@register("archive_split", f"""
+SELECT thread_key, days_since_last, is_archived,
+       CASE WHEN is_archived THEN '{C.ARCHIVE_ROOT}' ELSE '{C.ACTIVE_ROOT}' END AS target_root FROM scored""")
+def q_archive_split(spark, sf):
+    s = job(spark, sf).scored
+    return s.select("thread_key", "days_since_last", "is_archived",
+                    F.when(F.col("is_archived"), F.lit(C.ARCHIVE_ROOT)).otherwise(F.lit(C.ACTIVE_ROOT))
+                    .alias("target_root"))
+
+
+# --------------------------------------------------------------------------- summary / render
+SUMMARY_SQL = """thread_key, method, thread_name, executive_summary, current_status,
+array_to_string(key_events, ' | ') AS key_events, array_to_string(stakeholders, ' | ') AS stakeholders,
+array_to_string(action_items, ' | ') AS action_items, array_to_string(issues, ' | ') AS issues,
+array_to_string(key_points, ' | ') AS key_points, response_needed, next_action, waiting_on, last_responder,
+priority_score, priority_level, array_to_string(priority_factors, ' | ') AS factors, reply_template"""
+
+
+def summary_cols(df: DataFrame) -> DataFrame:
+    return df.select("thread_key", "method", "thread_name", "executive_summary", "current_status",
+                     joined("key_events").alias("key_events"), joined("stakeholders").alias("stakeholders"),
+                     joined("action_items").alias("action_items"), joined("issues").alias("issues"),
+                     joined("key_points").alias("key_points"), "response_needed", "next_action", "waiting_on",
+                     "last_responder", "priority_score", "priority_level",
+                     joined("priority_factors").alias("factors"), "reply_template")
+
+
+@register("thread_summary", f"SELECT {SUMMARY_SQL} FROM summary")
+def q_thread_summary(spark, sf):
+    return summary_cols(job(spark, sf).summary)
+
+
+@register("executive_summary", "SELECT thread_key, executive_summary FROM summary")
+def q_executive_summary(spark, sf):
+    return job(spark, sf).summary.select("thread_key", "executive_summary")
+
+
+@register("reply_template", "SELECT thread_key, reply_template FROM summary")
+def q_reply_template(spark, sf):
+    return job(spark, sf).summary.select("thread_key", "reply_template")
+
+
+@register("summary_markdown", "SELECT thread_key, is_archived, summary_markdown FROM md")
+def q_summary_markdown(spark, sf):
+    return job(spark, sf).markdown.select("thread_key", "is_archived", "summary_markdown")

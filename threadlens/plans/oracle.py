@@ -219,5 +219,140 @@ flow AS (SELECT thread_key, row_number() OVER (PARTITION BY thread_key ORDER BY
 """
 
 
+def _labels(pairs) -> str:
+    items = ", ".join(f"CASE WHEN {c} THEN {q(t)} END" for c, t in pairs)
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+def _bullets(lst: str, prefix: str = "- ") -> str:
+    return f"array_to_string(list_transform({lst}, lambda x: {q(prefix)} || x || chr(10)), '')"
+
+
+def _sec(cond: str, text: str) -> str:
+    return f"(CASE WHEN {cond} THEN {text} ELSE '' END)"
+
+
+def markdown_sql() -> str:
+    flags = _labels([("is_urgent", f"{C.FLAG_SYMBOLS[0]} {C.FLAG_NAMES[0]}"),
+                     ("has_delay", f"{C.FLAG_SYMBOLS[1]} {C.FLAG_NAMES[1]}"),
+                     ("is_transport", f"{C.FLAG_SYMBOLS[2]} {C.FLAG_NAMES[2]}"),
+                     ("is_customs", f"{C.FLAG_SYMBOLS[3]} {C.FLAG_NAMES[3]}")])
+    emoji = "CASE priority_level " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in C.LEVEL_EMOJI.items()) + \
+        f" ELSE {q(C.LEVEL_EMOJI_OTHER)} END"
+    flow = ("array_to_string(list_transform(conversation_flow, lambda m: '**' || m.date || '** - ' || m.sender "
+            "|| chr(10) || '> ' || m.preview || chr(10) || chr(10)), '')")
+    rules = f"method <> {q(C.METHOD_MODEL)}"
+    N = "chr(10)"
+    parts = [
+        f"'# ' || thread_name || {N} || {N}",
+        f"'## Thread Information' || {N} || {N}",
+        f"'- **Emails**: ' || email_count::VARCHAR || {N}",
+        f"'- **Participants**: ' || participant_count::VARCHAR || {N}",
+        f"'- **Date Range**: ' || start_date || ' to ' || end_date || {N}",
+        f"'- **Duration**: ' || duration_days::VARCHAR || ' days' || {N}",
+        f"'- **Attachments**: ' || total_attachments::VARCHAR || {N} || {N}",
+        _sec(f"len({flags}) > 0", f"'**Flags**: ' || array_to_string({flags}, ' | ') || {N} || {N}"),
+        _sec(rules, f"'## ' || ({emoji}) || ' Priority: ' || priority_level || ' (' || priority_score::VARCHAR "
+                    f"|| '/100)' || {N} || {N} || "
+                    + _sec("len(priority_factors) > 0",
+                           f"'**Priority Factors:**' || {N} || {_bullets('priority_factors')} || {N}")),
+        f"'## Executive Summary' || {N} || {N} || executive_summary || {N} || {N}",
+        f"'## Current Status' || {N} || {N} || current_status || {N} || {N}",
+        _sec(rules, f"{q(C.INSIGHTS_HEADING)} || {N} || {N} || "
+                    + _sec("response_needed", f"{q(C.RESPONSE_HEADING)} || {N}")
+                    + f" || '**Next Action**: ' || next_action || {N} || {N} || "
+                    + _sec("coalesce(length(last_responder) > 0, false)",
+                           f"'**Last Response From**: ' || last_responder || {N} || {N}") + " || "
+                    + _sec("coalesce(length(waiting_on) > 0, false)",
+                           f"'**Waiting On**: ' || waiting_on || {N} || {N}") + " || "
+                    + _sec("len(conversation_flow) > 0", f"'### Recent Conversation Flow' || {N} || {N} || {flow}")
+                    + " || "
+                    + _sec("len(key_points) > 0",
+                           f"'### Key Discussion Points' || {N} || {N} || {_bullets('key_points')} || {N}")),
+        _sec("len(key_events) > 0", f"'## Key Events' || {N} || {N} || {_bullets('key_events')} || {N}"),
+        _sec("len(stakeholders) > 0", f"'## Stakeholders' || {N} || {N} || {_bullets('stakeholders')} || {N}"),
+        _sec("len(action_items) > 0",
+             f"'## Action Items' || {N} || {N} || {_bullets('action_items', '- [ ] ')} || {N}"),
+        _sec("len(issues) > 0",
+             f"'## Issues & Risks' || {N} || {N} || {_bullets('issues', '- ' + C.ISSUE_MARK + ' ')} || {N}"),
+        _sec(f"{rules} AND reply_template <> {q(C.NO_REPLY)}",
+             f"{q(C.REPLY_HEADING)} || {N} || {N} || '```' || {N} || reply_template || {N} || '```' || {N} || {N}"),
+        f"{N} || '---' || {N} || '*Summary generated using ' || method || ' method*' || {N}",
+    ]
+    return " || ".join(f"({x})" for x in parts)
+
+
+def summary_ctes(p: Params = P) -> str:
+    d = "days_since_last"
+    score = (f"LEAST(100, GREATEST(0, (CASE WHEN is_urgent THEN {C.SCORE_URGENT} ELSE 0 END)"
+             f" + (CASE WHEN last_asks_score THEN {C.SCORE_RESPONSE} ELSE 0 END)"
+             f" + (CASE WHEN {d} < {C.RECENT_DAYS_BELOW} THEN {C.SCORE_RECENT} "
+             f"WHEN {d} > {C.STALE_DAYS_ABOVE} THEN {C.SCORE_STALE} ELSE 0 END)"
+             f" + (CASE WHEN participant_count > {C.PARTICIPANTS_ABOVE} THEN {C.SCORE_PARTICIPANTS} ELSE 0 END)"
+             f" + (CASE WHEN has_delay THEN {C.SCORE_DELAY} ELSE 0 END)"
+             f" + (CASE WHEN email_count > {C.VOLUME_ABOVE} THEN {C.SCORE_VOLUME} ELSE 0 END)"
+             f" + (CASE WHEN is_customs THEN {C.SCORE_CUSTOMS} ELSE 0 END)"
+             f" + (CASE WHEN is_transport THEN {C.SCORE_TRANSPORT} ELSE 0 END)))::BIGINT")
+    factors = _labels([
+        ("is_urgent", C.FACTOR_URGENT), ("last_asks_score", C.FACTOR_RESPONSE),
+        (f"{d} < {C.RECENT_DAYS_BELOW}", C.FACTOR_RECENT),
+        (f"{d} >= {C.RECENT_DAYS_BELOW} AND {d} > {C.STALE_DAYS_ABOVE}", C.FACTOR_STALE),
+        (f"participant_count > {C.PARTICIPANTS_ABOVE}", C.FACTOR_PARTICIPANTS),
+        ("has_delay", C.FACTOR_DELAY), (f"email_count > {C.VOLUME_ABOVE}", C.FACTOR_VOLUME),
+        ("is_customs", C.FACTOR_CUSTOMS), ("is_transport", C.FACTOR_TRANSPORT)])
+    level = "CASE " + " ".join(f"WHEN priority_score >= {b} THEN {q(n)}" for b, n in C.LEVEL_BANDS) + \
+        f" ELSE {q(C.LEVEL_DEFAULT)} END"
+    status = (f"(CASE WHEN {d} = 0 THEN 'Active today' WHEN {d} = 1 THEN 'Active yesterday' "
+              f"WHEN {d} < 7 THEN 'Active ' || {d}::VARCHAR || ' days ago' "
+              f"ELSE 'Last activity ' || {d}::VARCHAR || ' days ago' END)"
+              f" || (CASE WHEN is_urgent THEN ' - URGENT' ELSE '' END)")
+    follow = C.NEXT_FOLLOW_UP.split("{days}")
+    nxt = (f"CASE WHEN last_waiting_on IS NOT NULL THEN {q(C.NEXT_WAITING)} "
+           f"WHEN last_asks_insight THEN {q(C.NEXT_RESPONSE)} "
+           f"WHEN {d} > {C.STALE_DAYS_ABOVE} THEN {q(follow[0])} || {d}::VARCHAR || {q(follow[1])} "
+           f"ELSE {q(C.NEXT_MONITOR)} END")
+    N = "chr(10)"
+    reply = (f"CASE WHEN response_needed THEN {nl(C.REPLY_SUBJECT)} || thread_name || {N} || {N} || "
+             f"{nl(C.REPLY_GREETING)}"
+             f" || (CASE WHEN waiting_on IS NOT NULL THEN {nl(C.REPLY_WAITING)} "
+             f"WHEN contains(next_action, '?') THEN {nl(C.REPLY_QUESTION)} ELSE {nl(C.REPLY_CONFIRM)} END)"
+             f" || (CASE WHEN is_urgent THEN {nl(C.REPLY_URGENT)} ELSE '' END)"
+             f" || (CASE WHEN has_delay THEN {nl(C.REPLY_DELAY)} ELSE '' END)"
+             f" || {nl(C.REPLY_CLOSING)} || {nl(C.REPLY_SIGNOFF)} ELSE {q(C.NO_REPLY)} END")
+    execs = ("concat_ws(' ', 'Email thread ' || chr(39) || thread_name || chr(39) || ' with ' "
+             "|| email_count::VARCHAR || ' emails over '"
+             " || duration_days::VARCHAR || ' days involving ' || participant_count::VARCHAR || ' participants.',"
+             " CASE WHEN is_urgent THEN 'Thread contains URGENT items.' END,"
+             " CASE WHEN has_delay THEN 'Thread discusses delays.' END,"
+             " CASE WHEN len(issues) > 0 THEN 'Identified ' || len(issues)::VARCHAR"
+             " || ' potential issues requiring attention.' END)")
+    empty = "[]::VARCHAR[]"
+    return f""",
+scored0 AS (SELECT *, {score} AS priority_score, {factors} AS priority_factors, {status} AS current_status,
+                   last_asks_insight AS response_needed, last_waiting_on AS waiting_on, last_sender AS last_responder,
+                   {nxt} AS next_action, {d} > {p.archive_days} AS is_archived
+            FROM meta),
+scored AS (SELECT *, {level} AS priority_level FROM scored0),
+ev_l AS (SELECT thread_key, list(event ORDER BY event_rank) AS key_events FROM events GROUP BY 1),
+st_l AS (SELECT thread_key, list(stakeholder ORDER BY stakeholder_rank) AS stakeholders FROM stakeholders GROUP BY 1),
+ac_l AS (SELECT thread_key, list(action_item ORDER BY item_rank) AS action_items FROM action_items GROUP BY 1),
+kp_l AS (SELECT thread_key, list(key_point ORDER BY point_rank) AS key_points FROM key_points GROUP BY 1),
+is_l AS (SELECT thread_key, list(issue ORDER BY issue_rank) AS issues FROM issues GROUP BY 1),
+fl_l AS (SELECT thread_key, list({{'date': date, 'sender': sender, 'subject': subject, 'preview': preview}}
+                                 ORDER BY flow_pos) AS conversation_flow FROM flow GROUP BY 1),
+summary0 AS (SELECT s.*, coalesce(ev_l.key_events, {empty}) AS key_events,
+                    coalesce(st_l.stakeholders, {empty}) AS stakeholders,
+                    coalesce(ac_l.action_items, {empty}) AS action_items,
+                    coalesce(kp_l.key_points, {empty}) AS key_points,
+                    coalesce(is_l.issues, {empty}) AS issues,
+                    fl_l.conversation_flow, {q(C.METHOD_RULES)} AS method
+             FROM scored s LEFT JOIN ev_l USING (thread_key) LEFT JOIN st_l USING (thread_key)
+                  LEFT JOIN ac_l USING (thread_key) LEFT JOIN kp_l USING (thread_key)
+                  LEFT JOIN is_l USING (thread_key) LEFT JOIN fl_l USING (thread_key)),
+summary AS (SELECT *, {execs} AS executive_summary, {reply} AS reply_template FROM summary0),
+md AS (SELECT *, {markdown_sql()} AS summary_markdown FROM summary)
+"""
+
+
 def with_base(select: str, p: Params = P) -> str:
-    return "WITH " + base_ctes(p) + select
+    return "WITH " + base_ctes(p) + summary_ctes(p) + select
