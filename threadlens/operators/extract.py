@@ -27,7 +27,7 @@ def last_messages(features: DataFrame, n: int, cols: Sequence[str]) -> DataFrame
     """The last n messages of each thread, numbered 1..n in ascending time order."""
     last = top_k(features.select("thread_key", "ord", *cols), ["thread_key"], [F.col("ord").desc()], n, "_from_end")
     w = Window.partitionBy("thread_key").orderBy("ord")
-    return last.withColumn("pos", F.row_number().over(w)).drop("_from_end")
+    return last.withColumn("pos", F.row_number().over(w)).withColumnRenamed("_from_end", "from_end")
 
 
 def thread_events(features: DataFrame, meta: DataFrame, cap: int = C.CAP_EVENTS) -> DataFrame:

@@ -86,3 +86,21 @@ def featurize(messages: DataFrame, p: Params) -> DataFrame:
         F.left(b, F.lit(C.HOVER_CHARS)).alias("hover_body"),
     )
     return out
+
+
+def keyword_hits(messages: DataFrame, lists: dict[str, tuple[str, ...]], broadcast_limit: int = 10_000) -> DataFrame:
+    """(message_id, list_name, keyword) for every keyword contained in the lower-cased
+    subject + ' ' + body.  Lists are parameters of known size: up to ``broadcast_limit``
+    keywords they are folded into one array filter per row (no join); beyond it the
+    keyword table is broadcast -- its size is bounded by that same check -- and joined
+    on ``contains``."""
+    text = F.lower(F.concat_ws(" ", F.coalesce(F.col("subject"), F.lit("")), F.coalesce(F.col("body"), F.lit(""))))
+    pairs = [(name, kw) for name, kws in lists.items() for kw in kws]
+    base = messages.select("message_id", text.alias("_t"))
+    if len(pairs) <= broadcast_limit:
+        arr = F.array(*[F.struct(F.lit(n).alias("list_name"), F.lit(k).alias("keyword")) for n, k in pairs])
+        return base.select("message_id", F.explode(F.filter(arr, lambda x: F.col("_t").contains(x["keyword"])))
+                           .alias("h")).select("message_id", "h.list_name", "h.keyword")
+    kw = messages.sparkSession.createDataFrame(pairs, "list_name string, keyword string")
+    return base.join(F.broadcast(kw), F.col("_t").contains(F.col("keyword"))).select(
+        "message_id", "list_name", "keyword")

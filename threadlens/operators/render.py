@@ -140,27 +140,30 @@ def stats_text() -> Column:
                     L(" days\nAttachments: "), F.col("total_attachments").cast("string"))
 
 
+def _line(no, text) -> Column:
+    return F.struct(no.cast("bigint").alias("line_no"), text.alias("line"))
+
+
 def timeline_lines(meta: DataFrame, seq_features: DataFrame) -> DataFrame:
     """X27/X30 as numbered lines (thread_key, line_no, line): header, three lines per
     message ('[date] sender', cleaned snippet, blank), footer.  A thread's text is its
     lines in ``line_no`` order joined by LF; no thread is concatenated in one task."""
     rule = "=" * C.RULE_WIDTH
     header = meta.select("thread_key", F.explode(F.array(
-        F.struct(L(1).cast("bigint").alias("line_no"), F.concat(L("TIMELINE: "), F.col("thread_name")).alias("line")),
-        F.struct(L(2).cast("bigint"), L(rule)),
-        F.struct(L(3).cast("bigint"), L("")))).alias("x")).select("thread_key", "x.line_no", "x.line")
+        _line(L(1), F.concat(L("TIMELINE: "), F.col("thread_name"))),
+        _line(L(2), L(rule)),
+        _line(L(3), L("")))).alias("x")).select("thread_key", "x.line_no", "x.line")
     base = F.lit(3) + (F.col("seq") - 1) * 3
     msgs = seq_features.select("thread_key", F.explode(F.array(
-        F.struct((base + 1).cast("bigint").alias("line_no"),
-                 F.concat(L("["), X.minute_text("received_time"), L("] "), F.col("sender")).alias("line")),
-        F.struct((base + 2).cast("bigint"), F.col("clean_snippet")),
-        F.struct((base + 3).cast("bigint"), L("")))).alias("x")).select("thread_key", "x.line_no", "x.line")
+        _line(base + 1, F.concat(L("["), X.minute_text("received_time"), L("] "), F.col("sender"))),
+        _line(base + 2, F.col("clean_snippet")),
+        _line(base + 3, L("")))).alias("x")).select("thread_key", "x.line_no", "x.line")
     fb = F.lit(3) + F.col("email_count") * 3
     footer = meta.select("thread_key", F.explode(F.array(
-        F.struct((fb + 1).cast("bigint").alias("line_no"), L(rule).alias("line")),
-        F.struct((fb + 2).cast("bigint"), F.concat(L("Total Emails: "), F.col("email_count").cast("string"))),
-        F.struct((fb + 3).cast("bigint"), F.concat(L("Participants: "), F.col("participant_count").cast("string"))),
-        F.struct((fb + 4).cast("bigint"), F.concat(L("Duration: "), F.col("duration_days").cast("string"), L(" days"))),
-        F.struct((fb + 5).cast("bigint"), F.concat(L("Attachments: "), F.col("total_attachments").cast("string"))),
+        _line(fb + 1, L(rule)),
+        _line(fb + 2, F.concat(L("Total Emails: "), F.col("email_count").cast("string"))),
+        _line(fb + 3, F.concat(L("Participants: "), F.col("participant_count").cast("string"))),
+        _line(fb + 4, F.concat(L("Duration: "), F.col("duration_days").cast("string"), L(" days"))),
+        _line(fb + 5, F.concat(L("Attachments: "), F.col("total_attachments").cast("string"))),
     )).alias("x")).select("thread_key", "x.line_no", "x.line")
     return header.unionByName(msgs).unionByName(footer)

@@ -208,3 +208,502 @@ def q_reply_template(spark, sf):
 @register("summary_markdown", "SELECT thread_key, is_archived, summary_markdown FROM md")
 def q_summary_markdown(spark, sf):
     return job(spark, sf).markdown.select("thread_key", "is_archived", "summary_markdown")
+
+
+# --------------------------------------------------------------------------- per-message operators
+from datetime import timedelta  # noqa: E402
+
+from ..operators import extract as E  # noqa: E402
+from ..operators import features as FE  # noqa: E402
+from ..operators import lifecycle as LC  # noqa: E402
+from ..operators import model as M  # noqa: E402
+from ..operators import outputs as OUT  # noqa: E402
+from ..operators import render as R  # noqa: E402
+from ..operators import scoring as S  # noqa: E402
+from ..operators import threads as T  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import stored as ST  # noqa: E402
+
+
+@register("mail_only", f"SELECT message_id, item_class FROM msgs WHERE item_class = {C.MAIL_ITEM_CLASS}")
+def q_mail_only(spark, sf):
+    return FE.mail_only(messages_from_conversations(spark, sf)).select("message_id", "item_class")
+
+
+@register("rejects", """
+SELECT message_id, CASE WHEN received_time IS NULL THEN 'no received_time' ELSE 'no message_id' END AS reject_reason
+FROM msgs WHERE received_time IS NULL OR message_id IS NULL""")
+def q_rejects(spark, sf):
+    return job(spark, sf).rejects.select("message_id", "reject_reason")
+
+
+KW_LISTS = {"urgent": C.KEYWORDS_URGENT, "delay": C.KEYWORDS_DELAY,
+            "transport": C.KEYWORDS_TRANSPORT, "customs": C.KEYWORDS_CUSTOMS}
+
+
+@register("keyword_hits", " UNION ALL ".join(
+    f"SELECT message_id, {O.q(n)} AS list_name, {O.q(k)} AS keyword FROM msgs "
+    f"WHERE contains(lower(coalesce(subject, '') || ' ' || coalesce(body, '')), {O.q(k)})"
+    for n, ks in KW_LISTS.items() for k in ks))
+def q_keyword_hits(spark, sf):
+    return FE.keyword_hits(messages_from_conversations(spark, sf), KW_LISTS)
+
+
+@register("clean_body", "SELECT message_id, clean_body FROM cb")
+def q_clean_body(spark, sf):
+    m = messages_from_conversations(spark, sf)
+    return m.select("message_id", X.clean_body(F.coalesce(F.col("body"), F.lit(""))).alias("clean_body"))
+
+
+@register("message_sequence", "SELECT thread_key, message_id, rn AS seq FROM kf")
+def q_message_sequence(spark, sf):
+    return job(spark, sf).sequenced.select("thread_key", "message_id", "seq")
+
+
+@register("last_messages", f"""
+SELECT thread_key, message_id, row_number() OVER (PARTITION BY thread_key ORDER BY rn) AS pos,
+       rn_desc <= {C.ACTION_MESSAGES} AS in_last3
+FROM kf WHERE rn_desc <= {C.FLOW_MESSAGES}""")
+def q_last_messages(spark, sf):
+    j = job(spark, sf)
+    last = E.last_messages(j.kept_features, C.FLOW_MESSAGES, ["message_id"])
+    return last.select("thread_key", "message_id", F.col("pos").cast("bigint"),
+                       (F.col("from_end") <= C.ACTION_MESSAGES).alias("in_last3"))
+
+
+@register("thread_endpoints", """
+SELECT thread_key, first_message_id, last_message_id, first_sender, last_sender, start_date, end_date FROM meta""")
+def q_thread_endpoints(spark, sf):
+    return job(spark, sf).scored.select("thread_key", "first_message_id", "last_message_id", "first_sender",
+                                        "last_sender", "start_date", "end_date")
+
+
+@register("sender_counts", f"""
+SELECT thread_key, sender, count(*) AS n_emails, {O.iso('min(received_time)')} AS first_seen
+FROM kf GROUP BY thread_key, sender""")
+def q_sender_counts(spark, sf):
+    return job(spark, sf).sender_counts.select("thread_key", "sender", "n_emails",
+                                               X.iso_text(F.col("first_ord.received_time")).alias("first_seen"))
+
+
+@register("thread_slug", f"""
+SELECT thread_key, thread_name, {O.slug_sql('thread_name', 'conversation_id')} AS folder_slug FROM meta""")
+def q_thread_slug(spark, sf):
+    return job(spark, sf).meta.select("thread_key", "thread_name",
+                                      X.slug("thread_name", "conversation_id").alias("folder_slug"))
+
+
+@register("model_input", f"""
+SELECT thread_key, CASE WHEN length(t) > {C.MODEL_INPUT_CHARS} THEN left(t, {C.MODEL_INPUT_CHARS}) || '...'
+       ELSE t END AS model_input
+FROM (SELECT thread_key, string_agg('Email ' || rn::VARCHAR || ' [' || {O.minute('received_time')} || '] From '
+             || sender || ': ' || subject || '. ' || snippet || '. ', '' ORDER BY rn) AS t FROM kf GROUP BY 1)""")
+def q_model_input(spark, sf):
+    return job(spark, sf).model_input
+
+
+@register("scan_only", """
+SELECT thread_key, thread_name, email_count, participant_count,
+       CASE WHEN len(fl) > 0 THEN array_to_string(fl, ', ') ELSE 'None' END AS flags
+FROM (SELECT *, list_filter([CASE WHEN is_urgent THEN 'URGENT' END, CASE WHEN has_delay THEN 'DELAY' END,
+                             CASE WHEN is_transport THEN 'TRANSPORT' END, CASE WHEN is_customs THEN 'CUSTOMS' END],
+                            lambda x: x IS NOT NULL) AS fl FROM meta)""")
+def q_scan_only(spark, sf):
+    return T.scan_only(job(spark, sf).meta)
+
+
+@register("scan_preview", "SELECT thread_key, email_count FROM meta ORDER BY thread_key LIMIT 5")
+def q_scan_preview(spark, sf):
+    return job(spark, sf).meta.select("thread_key", "email_count").orderBy("thread_key").limit(5)
+
+
+# --------------------------------------------------------------------------- texts
+@register("basic_reply", f"SELECT thread_key, {O.basic_reply_sql()} AS basic_reply FROM scored")
+def q_basic_reply(spark, sf):
+    return job(spark, sf).scored.select("thread_key", R.basic_reply().alias("basic_reply"))
+
+
+@register("suggested_actions", f"""
+SELECT thread_key, array_to_string({O.suggested_sql()}, ' | ') AS suggested_actions FROM scored""")
+def q_suggested_actions(spark, sf):
+    return job(spark, sf).scored.select("thread_key",
+                                        F.array_join(S.suggested_actions(P), " | ").alias("suggested_actions"))
+
+
+PARSE_PRIORITY_SQL = (f"coalesce(TRY_CAST({O.strip(chr(39).join(['split_part(split_part(list_filter(string_split(summary_markdown, chr(10)), lambda x: contains(x, ', 'Priority:', ') AND contains(x, ', '(', '))[1], ', '(', ', 2), ', '/', ', 1)']))} AS BIGINT), 0)")
+PARSE_REPLY_SQL = (f"coalesce({O.strip(chr(39).join(['regexp_extract(summary_markdown, ', '(?s)' + C.REPLY_HEADING + chr(92) + 's*```' + chr(92) + 'n(.*?)' + chr(92) + 'n```', ', 1)']))}, '')")
+
+
+@register("parse_priority", f"SELECT thread_key, priority_score, {PARSE_PRIORITY_SQL} AS parsed_score FROM md")
+def q_parse_priority(spark, sf):
+    return job(spark, sf).markdown.select("thread_key", "priority_score",
+                                          R.parse_priority(F.col("summary_markdown")).alias("parsed_score"))
+
+
+@register("parse_reply", f"SELECT thread_key, {PARSE_REPLY_SQL} AS parsed_reply FROM md")
+def q_parse_reply(spark, sf):
+    return job(spark, sf).markdown.select("thread_key", R.parse_reply(F.col("summary_markdown")).alias("parsed_reply"))
+
+
+@register("executive_excerpt", f"""
+SELECT thread_key, CASE WHEN length(ex) > 0 THEN left(ex, {C.EXCERPT_CHARS}) || '...' END AS excerpt
+FROM (SELECT thread_key, {O.strip("CASE WHEN idx > 0 AND idx + 2 <= len(lines) THEN lines[idx + 2] END")} AS ex
+      FROM (SELECT thread_key, lines,
+                   coalesce(list_position(list_transform(lines, lambda x: contains(x, '## Executive Summary')), true), 0)
+                   AS idx
+            FROM (SELECT thread_key, string_split(summary_markdown, chr(10)) AS lines FROM md)))""")
+def q_executive_excerpt(spark, sf):
+    return job(spark, sf).markdown.select("thread_key", R.executive_excerpt(F.col("summary_markdown")).alias("excerpt"))
+
+
+# --------------------------------------------------------------------------- dashboard / review / report
+CARD_SQL = O._labels([("response_needed", C.RESPONSE_FLAG),
+                      ("is_urgent", f"{C.FLAG_SYMBOLS[0]} {C.FLAG_NAMES[0]}"),
+                      ("has_delay", f"{C.FLAG_SYMBOLS[1]} {C.FLAG_NAMES[1]}"),
+                      ("is_transport", f"{C.FLAG_SYMBOLS[2]} {C.FLAG_NAMES[2]}"),
+                      ("is_customs", f"{C.FLAG_SYMBOLS[3]} {C.FLAG_NAMES[3]}")])
+
+
+@register("dashboard_cards", f"""
+SELECT thread_key, thread_name AS name, priority_level, priority_score, email_count AS emails,
+       participant_count AS participants, duration_days, start_date, end_date,
+       array_to_string({CARD_SQL}, ' | ') AS flags, next_action, response_needed
+FROM summary WHERE NOT is_archived ORDER BY priority_score DESC, thread_key""")
+def q_dashboard_cards(spark, sf):
+    return OUT.dashboard_cards(job(spark, sf).dashboard_rows)
+
+
+@register("dashboard_kpis", """
+SELECT count(*) AS total_threads, count_if(response_needed) AS response_needed,
+       count_if(priority_level = 'Critical') AS critical, count_if(priority_level = 'High') AS high,
+       count_if(is_urgent) AS urgent, count_if(has_delay) AS delay
+FROM summary WHERE NOT is_archived HAVING count(*) > 0""")
+def q_dashboard_kpis(spark, sf):
+    return OUT.dashboard_kpis(job(spark, sf).dashboard_rows)
+
+
+ATTN_SQL = f"""
+SELECT thread_key, thread_name, priority_score, response_needed, is_urgent,
+       array_to_string({O.suggested_sql()}, ' | ') AS suggested_actions
+FROM attention ORDER BY priority_score DESC, thread_key"""
+
+
+@register("attention_queue", ATTN_SQL)
+def q_attention_queue(spark, sf):
+    return job(spark, sf).attention
+
+
+@register("attention_top5", ATTN_SQL + " LIMIT 5")
+def q_attention_top5(spark, sf):
+    return job(spark, sf).attention.limit(5)
+
+
+@register("urgent_threads", f"SELECT {META_COLS_SQL} FROM scored WHERE NOT is_archived AND is_urgent")
+def q_urgent_threads(spark, sf):
+    return meta_cols(job(spark, sf).report_set.filter("is_urgent"))
+
+
+@register("delay_threads", f"SELECT {META_COLS_SQL} FROM scored WHERE NOT is_archived AND has_delay")
+def q_delay_threads(spark, sf):
+    return meta_cols(job(spark, sf).report_set.filter("has_delay"))
+
+
+@register("report_totals", """
+SELECT count(*) AS total_threads, count_if(is_urgent) AS urgent_threads, count_if(has_delay) AS delay_threads
+FROM scored WHERE NOT is_archived""")
+def q_report_totals(spark, sf):
+    return OUT.report_totals(job(spark, sf).report_set)
+
+
+def _report_sql() -> str:
+    rule, dash = "=" * C.RULE_WIDTH, "-" * C.RULE_WIDTH
+    as_of = P.as_of.strftime("%Y-%m-%d %H:%M:%S")
+
+    def part(section, item_no, item_key, texts, src):
+        arr = "[" + ", ".join(texts) + "]"
+        return (f"SELECT {section} AS section, {item_no} AS item_no, {item_key} AS item_key, "
+                f"CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS line_no, unnest(l) AS line "
+                f"FROM (SELECT *, {arr} AS l FROM {src})")
+    nn, nk = "NULL::BIGINT", "NULL::VARCHAR"
+    parts = [
+        part(0, nn, nk, [O.q(C.REPORT_TITLE), O.q(rule), "''", O.q(f"Generated: {as_of}"),
+                         "'Total Threads: ' || total_threads::VARCHAR", "''"], "tot"),
+        part(1, nn, nk, ["''", f"'{C.FLAG_SYMBOLS[0]} URGENT THREADS (' || urgent_threads::VARCHAR || '):'",
+                         O.q(dash)], "tot WHERE urgent_threads > 0"),
+        part(2, nn, "thread_key", ["'  - ' || thread_name",
+                                   "'    Emails: ' || email_count::VARCHAR || ' | Participants: ' "
+                                   "|| participant_count::VARCHAR", "'    Date: ' || start_date", "''"],
+             "rs WHERE is_urgent"),
+        part(3, nn, nk, ["''", f"'{C.FLAG_SYMBOLS[1]} THREADS WITH DELAYS (' || delay_threads::VARCHAR || '):'",
+                         O.q(dash)], "tot WHERE delay_threads > 0"),
+        part(4, nn, "thread_key", ["'  - ' || thread_name",
+                                   "'    Emails: ' || email_count::VARCHAR || ' | Duration: ' "
+                                   "|| duration_days::VARCHAR || ' days'", "''"], "rs WHERE has_delay"),
+        part(5, nn, nk, ["''", "'ALL THREADS:'", O.q(dash)], "tot"),
+        part(6, "item_no", "thread_key", [
+            "item_no::VARCHAR || '. ' || thread_name",
+            "'   Emails: ' || email_count::VARCHAR || ' | Participants: ' || participant_count::VARCHAR "
+            "|| ' | Duration: ' || duration_days::VARCHAR || ' days'",
+            "'   ' || start_date || ' to ' || end_date", "''"],
+            "(SELECT *, row_number() OVER (ORDER BY start_time DESC, thread_key) AS item_no FROM rs)"),
+    ]
+    return (", rs AS (SELECT * FROM scored WHERE NOT is_archived), "
+            "tot AS (SELECT count(*) AS total_threads, count_if(is_urgent) AS urgent_threads, "
+            "count_if(has_delay) AS delay_threads FROM rs) " + " UNION ALL ".join(parts))
+
+
+@register("report_lines", _report_sql())
+def q_report_lines(spark, sf):
+    return OUT.report_lines(job(spark, sf).report_set, P)
+
+
+@register("export_sheet", f"""
+SELECT thread_name AS "Thread Name", email_count AS "Emails", participant_count AS "Participants",
+       start_date AS "Start Date", end_date AS "End Date", duration_days AS "Duration (days)",
+       total_attachments AS "Attachments",
+       CASE WHEN is_urgent THEN '{C.FLAG_SYMBOLS[0]}' ELSE '' END AS "Urgent",
+       CASE WHEN has_delay THEN '{C.FLAG_SYMBOLS[1]}' ELSE '' END AS "Delay",
+       CASE WHEN is_transport THEN '{C.FLAG_SYMBOLS[2]}' ELSE '' END AS "Transport",
+       CASE WHEN is_customs THEN '{C.FLAG_SYMBOLS[3]}' ELSE '' END AS "Customs",
+       conversation_id AS "Conversation ID"
+FROM scored WHERE NOT is_archived ORDER BY start_date DESC, conversation_id""")
+def q_export_sheet(spark, sf):
+    return OUT.export_sheet(job(spark, sf).report_set)
+
+
+# --------------------------------------------------------------------------- timelines
+@register("timeline_text", f"""
+SELECT thread_key, 1::BIGINT AS line_no, 'TIMELINE: ' || thread_name AS line FROM scored
+UNION ALL SELECT thread_key, 2, '{'=' * C.RULE_WIDTH}' FROM scored
+UNION ALL SELECT thread_key, 3, '' FROM scored
+UNION ALL SELECT thread_key, 3 + (rn - 1) * 3 + 1, '[' || {O.minute('received_time')} || '] ' || sender FROM kf
+UNION ALL SELECT k.thread_key, 3 + (k.rn - 1) * 3 + 2, left(cb.clean_body, {C.CLEAN_SNIPPET_CHARS})
+          FROM kf k JOIN cb USING (message_id)
+UNION ALL SELECT thread_key, 3 + (rn - 1) * 3 + 3, '' FROM kf
+UNION ALL SELECT thread_key, 3 + email_count * 3 + 1, '{'=' * C.RULE_WIDTH}' FROM scored
+UNION ALL SELECT thread_key, 3 + email_count * 3 + 2, 'Total Emails: ' || email_count::VARCHAR FROM scored
+UNION ALL SELECT thread_key, 3 + email_count * 3 + 3, 'Participants: ' || participant_count::VARCHAR FROM scored
+UNION ALL SELECT thread_key, 3 + email_count * 3 + 4, 'Duration: ' || duration_days::VARCHAR || ' days' FROM scored
+UNION ALL SELECT thread_key, 3 + email_count * 3 + 5, 'Attachments: ' || total_attachments::VARCHAR FROM scored""")
+def q_timeline_text(spark, sf):
+    return job(spark, sf).timeline
+
+
+PALETTE_SQL = """(SELECT thread_key, sender, row_number() OVER (PARTITION BY thread_key ORDER BY sender) - 1 AS color_slot
+FROM (SELECT DISTINCT thread_key, sender FROM kf))"""
+
+
+@register("sender_palette", f"SELECT * FROM {PALETTE_SQL}")
+def q_sender_palette(spark, sf):
+    return job(spark, sf).palette
+
+
+def _cut_sql(c: str) -> str:
+    return f"(CASE WHEN length({c}) > {C.POINT_SUBJECT_CUT} THEN left({c}, {C.POINT_SUBJECT_CUT}) || '...' ELSE {c} END)"
+
+
+@register("timeline_points", f"""
+SELECT k.thread_key, k.message_id, k.rn - 1 AS y, {O.minute('k.received_time')} AS time,
+       left(k.sender, {C.POINT_SENDER_CHARS}) || chr(10) || left({_cut_sql('k.subject')}, {C.POINT_SUBJECT_CHARS}) AS label,
+       'Email ' || k.rn::VARCHAR AS tick, left(k.sender, {C.LEGEND_CHARS}) AS legend, p.color_slot
+FROM kf k JOIN {PALETTE_SQL} p ON p.thread_key = k.thread_key AND p.sender = k.sender""")
+def q_timeline_points(spark, sf):
+    j = job(spark, sf)
+    return OUT.timeline_points(j.sequenced, j.palette)
+
+
+@register("sender_series", f"""
+SELECT thread_key, sender, left(sender, {C.LEGEND_CHARS}) AS series_name, rn - 1 AS y,
+       {O.minute('received_time')} AS x, 'Email ' || rn::VARCHAR AS text, subject,
+       '<b>' || sender || '</b><br>' || subject || '<br>' || {O.minute('received_time')} || '<br><i>'
+       || left(body, {C.HOVER_CHARS}) || '...</i>' AS hover_text
+FROM kf""")
+def q_sender_series(spark, sf):
+    return OUT.sender_series(job(spark, sf).sequenced)
+
+
+@register("gantt", f"""
+SELECT thread_key, message_id, left(sender, {C.GANTT_TASK_CHARS}) AS task, {O.iso('received_time')} AS start,
+       {O.iso('coalesce(nt, received_time + INTERVAL 1 HOUR)')} AS finish,
+       left(subject, {C.GANTT_RESOURCE_CHARS}) AS resource
+FROM (SELECT *, lead(received_time) OVER (PARTITION BY thread_key ORDER BY rn) AS nt FROM kf)""")
+def q_gantt(spark, sf):
+    return OUT.gantt(job(spark, sf).sequenced)
+
+
+# --------------------------------------------------------------------------- lifecycle
+@register("message_routing", "SELECT message_id, thread_key, target_root, target_folder FROM routing")
+def q_message_routing(spark, sf):
+    return job(spark, sf).routes
+
+
+@register("find_thread", f"""
+SELECT s.thread_key, s.thread_name, r.target_root, r.target_folder,
+       contains(r.target_folder, s.thread_name) AS name_in_folder
+FROM scored s LEFT JOIN (SELECT DISTINCT thread_key, target_root, target_folder FROM routing) r USING (thread_key)""")
+def q_find_thread(spark, sf):
+    j = job(spark, sf)
+    return LC.find_thread(j.scored, j.routes)
+
+
+def existing_job(spark, sf) -> ThreadJob:
+    key = (id(spark), sf, "existing")
+    ej = _JOBS.get(key)
+    if ej is None:
+        j = job(spark, sf)
+        stored = LC.stored_messages(j.valid, j.routes)
+        ej = ThreadJob(LC.existing_scan(stored), P.with_(excluded_folders=()), key="folder", min_messages=1)
+        _JOBS[key] = ej
+    return ej
+
+
+@register("existing_threads", """
+SELECT thread_key, conversation_id, thread_name, email_count, participant_count, start_date, end_date,
+       duration_days, total_attachments, is_urgent, has_delay, is_transport, is_customs FROM ex_meta""")
+def q_existing_threads(spark, sf):
+    return existing_job(spark, sf).scored.select(
+        "thread_key", "conversation_id", "thread_name", "email_count", "participant_count", "start_date",
+        "end_date", "duration_days", "total_attachments", "is_urgent", "has_delay", "is_transport", "is_customs")
+
+
+@register("mode_both", """
+SELECT conversation_id, thread_name, email_count, mode FROM (
+  SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY run DESC, thread_name) AS r FROM (
+    SELECT conversation_id, thread_name, email_count, 'new' AS mode, 1 AS run FROM meta
+    UNION ALL SELECT conversation_id, thread_name, email_count, 'existing', 2 FROM ex_meta)) WHERE r = 1""")
+def q_mode_both(spark, sf):
+    return LC.mode_both(job(spark, sf).meta, existing_job(spark, sf).meta)
+
+
+@register("reply_queue", f"""
+SELECT thread_key, 'Re: ' || thread_name AS subject, last_sender_address AS "to",
+       CASE WHEN length(coalesce(last_cc, '')) > 0 THEN last_cc END AS cc,
+       CASE WHEN response_needed AND reply_template <> {O.q(C.NO_REPLY)} THEN reply_template
+            ELSE {O.basic_reply_sql()} END AS body
+FROM attention""")
+def q_reply_queue(spark, sf):
+    j = job(spark, sf)
+    return LC.reply_queue(j.attention, j.summary)
+
+
+@register("followup_marks", f"""
+SELECT r.thread_key, r.message_id, '{C.FOLLOWUP_REQUEST}' AS flag_request, {C.FOLLOWUP_STATUS} AS flag_status
+FROM routing r JOIN msgs m USING (message_id)
+WHERE r.target_root = '{C.ACTIVE_ROOT}' AND m.item_class = {C.MAIL_ITEM_CLASS}
+  AND r.thread_key IN (SELECT thread_key FROM attention)""")
+def q_followup_marks(spark, sf):
+    j = job(spark, sf)
+    stored = LC.stored_messages(j.valid, j.routes)
+    return LC.followup_marks(stored, j.attention, j.routes)
+
+
+PREVIOUS_RUN_DAYS = 30
+
+
+@register("archive_transition", f"""
+SELECT folder, {O.days(O.AS_OF, 'end_time')} AS days_since_last,
+       CASE WHEN {O.days(O.AS_OF, 'end_time')} > {P.archive_days} THEN 'moved' ELSE 'kept' END AS outcome
+FROM (SELECT {O.slug_sql('thread_name', 'conversation_id')} AS folder, end_time,
+             {O.days(f"({O.AS_OF} - INTERVAL {PREVIOUS_RUN_DAYS} DAY)", 'end_time')} > {P.archive_days} AS was_archived
+      FROM meta) WHERE NOT was_archived""")
+def q_archive_transition(spark, sf):
+    """Threads stored in the active root by a run {PREVIOUS_RUN_DAYS} days earlier, re-checked now."""
+    j = job(spark, sf)
+    prev = L_prev = P.as_of - timedelta(days=PREVIOUS_RUN_DAYS)  # noqa: F841
+    s = j.scored.select(X.slug("thread_name", "conversation_id").alias("folder"), "end_date", "end_time",
+                        (X.whole_days(F.lit(prev).cast("timestamp_ntz"), "end_time") > P.archive_days)
+                        .alias("was_archived"))
+    active = s.filter(~F.col("was_archived"))
+    archive = s.filter(F.col("was_archived")).select("folder")
+    return LC.archive_transition(active.select("folder"), active.select("folder", "end_date"), archive, P)
+
+
+@register("fallback_summary", f"""
+SELECT thread_key, '{C.METHOD_FALLBACK}' AS method, thread_name, 'Thread with ' || email_count::VARCHAR || ' emails'
+       AS executive_summary, 'Thread started ' || start_date AS key_events,
+       array_to_string(participants, ' | ') AS stakeholders, '{C.FALLBACK_STATUS}' AS current_status,
+       '{C.FALLBACK_NEXT_ACTION}' AS next_action, 0::BIGINT AS priority_score, '{C.LEVEL_DEFAULT}' AS priority_level,
+       {O.q(C.NO_REPLY)} AS reply_template
+FROM meta WHERE thread_key IN (SELECT coalesce(conversation_id, chr(0)) FROM msgs
+                               WHERE received_time IS NULL OR message_id IS NULL)""")
+def q_fallback_summary(spark, sf):
+    j = job(spark, sf)
+    bad = j.rejects.select(F.coalesce(F.col("conversation_id"), F.lit(FE.THREAD_KEY_NULL)).alias("thread_key"))
+    return LC.fallback_summary(j.scored.join(bad.distinct(), "thread_key", "left_semi"))
+
+
+@register("run_stats", f"""
+SELECT (SELECT count(*) FROM meta) AS threads_found, (SELECT count(*) FROM meta) AS threads_processed,
+       (SELECT count(*) FROM routing) AS emails_moved, (SELECT count(*) FROM md) AS summaries_created,
+       (SELECT count(DISTINCT thread_key) FROM kf) AS timelines_created,
+       (SELECT count(*) FROM msgs WHERE received_time IS NULL OR message_id IS NULL) AS errors,
+       (SELECT count(*) FROM attention) AS reviewed,
+       (SELECT count(*) FROM attention) AS drafts,
+       0::BIGINT AS skipped""")
+def q_run_stats(spark, sf):
+    j = job(spark, sf)
+    one = j.meta.agg(F.count(F.lit(1)).alias("threads_found"))
+    return one.select(
+        "threads_found", F.col("threads_found").alias("threads_processed"),
+        j.routes.agg(F.count(F.lit(1))).scalar().alias("emails_moved"),
+        j.markdown.agg(F.count(F.lit(1))).scalar().alias("summaries_created"),
+        j.timeline.agg(F.count_distinct("thread_key")).scalar().alias("timelines_created"),
+        j.rejects.agg(F.count(F.lit(1))).scalar().alias("errors"),
+        j.attention.agg(F.count(F.lit(1))).scalar().alias("reviewed"),
+        LC.reply_queue(j.attention, j.summary).agg(F.count(F.lit(1))).scalar().alias("drafts"),
+        F.lit(0).cast("bigint").alias("skipped"))
+
+
+# --------------------------------------------------------------------------- store round trips
+def _store(spark, sf) -> str:
+    key = (id(spark), sf, "store")
+    path = _JOBS.get(key)
+    if path is None:
+        j = job(spark, sf)
+        md = j.markdown.withColumn("folder", X.slug("thread_name", "conversation_id"))
+        path = ST.write_store(md, scratch_path(spark, "thread-store"))
+        _JOBS[key] = path
+    return path
+
+
+@register("metadata_json", """
+SELECT thread_key, to_json({'conversation_id': conversation_id, 'thread_name': thread_name,
+  'email_count': email_count, 'participants': participants, 'participant_count': participant_count,
+  'start_date': start_date, 'end_date': end_date, 'duration_days': duration_days,
+  'total_attachments': total_attachments, 'is_urgent': is_urgent, 'has_delay': has_delay,
+  'is_transport': is_transport, 'is_customs': is_customs})::VARCHAR AS metadata_json FROM meta""")
+def q_metadata_json(spark, sf):
+    return job(spark, sf).scored.select("thread_key", ST.metadata_json().alias("metadata_json"))
+
+
+@register("metadata_roundtrip", f"SELECT {META_COLS_SQL} FROM meta")
+def q_metadata_roundtrip(spark, sf):
+    return meta_cols(ST.read_store(spark, _store(spark, sf), root=None))
+
+
+@register("review_load", f"""
+SELECT thread_key, thread_name, ps AS priority_score, rn AS response_needed, rt AS reply_template,
+       (ps >= {P.attention_score} OR rn OR is_urgent) AS requires_attention
+FROM (SELECT *, {PARSE_PRIORITY_SQL} AS ps, contains(summary_markdown, '{C.RESPONSE_MARKER}') AS rn,
+             {PARSE_REPLY_SQL} AS rt FROM md WHERE NOT is_archived)""")
+def q_review_load(spark, sf):
+    st = ST.read_store(spark, _store(spark, sf), root=C.ACTIVE_ROOT)
+    doc = F.col("summary_text")
+    ps = R.parse_priority(doc)
+    rn = R.response_marker(doc)
+    return st.select("thread_key", "thread_name", ps.alias("priority_score"), rn.alias("response_needed"),
+                     R.parse_reply(doc).alias("reply_template"),
+                     ((ps >= P.attention_score) | rn | F.coalesce(F.col("is_urgent"), F.lit(False)))
+                     .alias("requires_attention"))
+
+
+# --------------------------------------------------------------------------- model hook (rows-only check)
+@register("model_summary")
+def q_model_summary(spark, sf):
+    return job(spark, sf).model_summaries()
+
+
+@register("summary_method")
+def q_summary_method(spark, sf):
+    j = job(spark, sf)
+    return M.summary_method(j.summary, j.model_summaries()).select("thread_key", "method", "executive_summary")

@@ -20,6 +20,8 @@ from ..config import Params
 from ..functions import text as X
 from ..operators import extract as E
 from ..operators import features as FE
+from ..operators import lifecycle as L
+from ..operators import outputs as O
 from ..operators import render as R
 from ..operators import scoring as S
 from ..operators import sequence as Q
@@ -164,3 +166,37 @@ class ThreadJob:
     def sequenced(self) -> DataFrame:
         """W1 + next message time, over kept threads; skew-safe bucketed windows."""
         return Q.message_sequence(self.kept_features, self.params.seq_bucket_seconds, with_next_time=True)
+
+    # -- review / outputs -----------------------------------------------------
+    @cached_property
+    def active(self) -> DataFrame:
+        """Threads of the active root (not archived)."""
+        return self.scored.filter(~F.col("is_archived"))
+
+    @cached_property
+    def report_set(self) -> DataFrame:
+        return self.active if self.params.report_active_only else self.scored
+
+    @cached_property
+    def dashboard_rows(self) -> DataFrame:
+        return O.dashboard_rows(self.summary)
+
+    @cached_property
+    def attention(self) -> DataFrame:
+        return O.attention_queue(self.active, self.params)
+
+    @cached_property
+    def routes(self) -> DataFrame:
+        return L.routing(self.kept_features, self.scored)
+
+    @cached_property
+    def palette(self) -> DataFrame:
+        return O.sender_palette(self.kept_features)
+
+    @cached_property
+    def timeline(self) -> DataFrame:
+        return R.timeline_lines(self.scored, self.sequenced)
+
+    def model_summaries(self, fn=None) -> DataFrame:
+        from ..operators.model import lead_sentences, model_summary
+        return model_summary(self.model_input, fn or lead_sentences)

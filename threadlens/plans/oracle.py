@@ -354,5 +354,78 @@ md AS (SELECT *, {markdown_sql()} AS summary_markdown FROM summary)
 """
 
 
+def slug_sql(name: str, ident: str) -> str:
+    bad = C.FOLDER_INVALID_CHARS
+    return (f"left({strip(f'translate({name}, {q(bad)}, {q("_" * len(bad))})')}, {C.SLUG_NAME_CHARS}) || '_' || "
+            f"left(coalesce({ident}, ''), {C.SLUG_ID_CHARS})")
+
+
+def attention_sql(p: Params = P) -> str:
+    return f"(priority_score >= {p.attention_score} OR response_needed OR is_urgent)"
+
+
+def suggested_sql(p: Params = P) -> str:
+    acts = _labels([("response_needed", C.ACTION_REPLY), ("is_urgent", C.ACTION_URGENT),
+                    ("has_delay", C.ACTION_DELAY), (f"priority_score >= {p.handle_today_score}", C.ACTION_HIGH),
+                    (f"duration_days > {p.long_running_days}", C.ACTION_LONG)])
+    return f"(CASE WHEN len({acts}) > 0 THEN {acts} ELSE [{q(C.ACTION_MONITOR)}] END)"
+
+
+def basic_reply_sql() -> str:
+    return (f"{nl(C.BASIC_REPLY_OPENING)} || (CASE WHEN is_urgent THEN {nl(C.REPLY_URGENT)} ELSE '' END) || "
+            f"(CASE WHEN has_delay THEN {nl(C.BASIC_REPLY_DELAY)} ELSE '' END) || {nl(C.REPLY_CLOSING)} || "
+            f"{nl(C.REPLY_SIGNOFF)}")
+
+
+def extra_ctes(p: Params = P) -> str:
+    t = f"lower({strip('l')})"
+    ok = (f"(length({t}) > 0 AND NOT ({any_in(t, C.SIGNATURES)} AND length({t}) < {C.SIGNATURE_MAX_LEN}) "
+          f"AND NOT regexp_full_match({t}, '[-_=*# ]+'))")
+    greet = f"({any_in(t, C.GREETINGS)} AND length({t}) < {C.GREETING_MAX_LEN})"
+    lines = (f"list_transform(string_split(coalesce(body, ''), chr(10)), "
+             f"lambda l: {{'text': {strip('l')}, 'ok': {ok}, 'greet': {greet}}})")
+    joined_kept = ("array_to_string(list_transform(list_filter(list_transform(ls, lambda x, i: "
+                   "{'text': x.text, 'keep': x.ok AND (NOT x.greet OR i > coalesce(second, 1073741824))}), "
+                   "lambda y: y.keep), lambda y: y.text), ' ')")
+    clean = strip(f"regexp_replace({joined_kept}, '\\s+', ' ', 'g')")
+    ex_name = "subject"
+    for pre in C.SUBJECT_PREFIXES:
+        ex_name = strip(f"replace({ex_name}, {q(pre)}, '')")
+
+    def flag(words):
+        return f"bool_or({any_in('lower(body)', words)} OR {any_in('lower(subject)', words)})"
+
+    return f""",
+cb1 AS (SELECT message_id, {lines} AS ls FROM msgs),
+cb2 AS (SELECT message_id, ls, list_filter(list_transform(ls, lambda x, i: CASE WHEN x.ok AND NOT x.greet THEN i
+        ELSE -1 END), lambda i: i >= 0)[2] AS second FROM cb1),
+cb AS (SELECT message_id, {clean} AS clean_body FROM cb2),
+routing AS (SELECT k.message_id, k.thread_key,
+                   CASE WHEN s.is_archived THEN '{C.ARCHIVE_ROOT}' ELSE '{C.ACTIVE_ROOT}' END AS target_root,
+                   {slug_sql('s.thread_name', 's.conversation_id')} AS target_folder
+            FROM kf k JOIN scored s USING (thread_key)),
+ex0 AS (SELECT m.*, r.target_folder AS xfolder FROM msgs m JOIN routing r USING (message_id)
+        WHERE r.target_root = '{C.ACTIVE_ROOT}' AND m.item_class = {C.MAIL_ITEM_CLASS}),
+exf AS (SELECT xfolder AS thread_key, coalesce(conversation_id, xfolder) AS conversation_id,
+               coalesce(sender, 'Unknown') AS sender, coalesce(subject, '') AS subject, coalesce(body, '') AS body,
+               received_time, message_id, coalesce(attachment_count, 0) AS attachment_count,
+               row_number() OVER (PARTITION BY xfolder ORDER BY received_time, message_id) AS rn,
+               row_number() OVER (PARTITION BY xfolder ORDER BY received_time DESC, message_id DESC) AS rn_desc
+        FROM ex0),
+ex_agg AS (SELECT thread_key, count(*) AS email_count, count(DISTINCT sender) AS participant_count,
+                  CAST(sum(attachment_count) AS BIGINT) AS total_attachments,
+                  {flag(p.keywords_urgent)} AS is_urgent, {flag(p.keywords_delay)} AS has_delay,
+                  {flag(p.keywords_transport)} AS is_transport, {flag(p.keywords_customs)} AS is_customs
+           FROM exf GROUP BY thread_key),
+ex_meta AS (SELECT a.*, fi.conversation_id,
+                   {day('fi.received_time')} || ' - ' || {ex_name.replace('subject', 'fi.subject')} AS thread_name,
+                   {iso('fi.received_time')} AS start_date, {iso('la.received_time')} AS end_date,
+                   {days('la.received_time', 'fi.received_time')} AS duration_days
+            FROM ex_agg a JOIN exf fi ON fi.thread_key = a.thread_key AND fi.rn = 1
+                          JOIN exf la ON la.thread_key = a.thread_key AND la.rn_desc = 1),
+attention AS (SELECT * FROM summary WHERE NOT is_archived AND {attention_sql(p)})
+"""
+
+
 def with_base(select: str, p: Params = P) -> str:
-    return "WITH " + base_ctes(p) + summary_ctes(p) + select
+    return "WITH " + base_ctes(p) + summary_ctes(p) + extra_ctes(p) + select
