@@ -169,6 +169,10 @@ LEGEND_CHARS = 30
 EXCERPT_CHARS = 200
 
 
+# Python's str.strip()/str.split() whitespace: every character with isspace() true (rule-built).
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def issue_keywords() -> tuple[str, ...]:
     """Issue keywords in search order: delay list, urgent list, extra words."""
     return KEYWORDS_DELAY + KEYWORDS_URGENT + ISSUE_EXTRA_WORDS

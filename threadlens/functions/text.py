@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 
-_WS = r"^\s+|\s+$"
+_WS_CLASS = "[" + "".join(C.PY_WHITESPACE) + "]+"
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -23,8 +23,8 @@ def col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Remove leading/trailing whitespace (tab, CR, LF included, like a Python strip)."""
-    return F.regexp_replace(col(c), _WS, "")
+    """Remove leading/trailing whitespace exactly like Python's ``str.strip()``."""
+    return F.trim(col(c), F.lit(C.PY_WHITESPACE))
 
 
 def contains_any(c, words: Iterable[str]) -> Column:
@@ -96,18 +96,14 @@ def snippet(body, n: int = C.SNIPPET_CHARS) -> Column:
     return strip(F.replace(F.left(col(body), F.lit(n)), F.lit("\n"), F.lit(" ")))
 
 
-def sentences(body) -> Column:
-    """'.'-separated pieces with their lower-case text and stripped length."""
-    return F.transform(F.split(col(body), r"\.", -1),
-                       lambda s: F.struct(s.alias("s"), F.lower(s).alias("ls"),
-                                          F.length(strip(s)).alias("n")))
-
-
-def first_sentence_with(sents: Column, word, max_len: int) -> Column:
-    """Stripped first sentence whose lower-case text contains word and is shorter than max_len."""
+def first_sentence_with(body, word, max_len: int) -> Column:
+    """Stripped first '.'-separated sentence whose lower-case text contains word and whose
+    stripped length is below max_len; NULL when none."""
     w = word if isinstance(word, Column) else F.lit(word)
-    hit = F.try_element_at(F.filter(sents, lambda x: x["ls"].contains(w) & (x["n"] < max_len)), F.lit(1))
-    return strip(hit["s"])
+    sents = F.split(col(body), r"\.", -1)
+    hit = F.try_element_at(F.filter(sents, lambda s: F.lower(s).contains(w) & (F.length(strip(s)) < max_len)),
+                           F.lit(1))
+    return strip(hit)
 
 
 def action_lines(body, cap: int = C.CAP_ACTIONS) -> Column:
@@ -126,23 +122,25 @@ def clean_body(body) -> Column:
     a short greeting is dropped only while fewer than two lines were kept, which
     equals: before the second kept line that is not a greeting.
     """
-    def feats(line):
-        t = F.lower(strip(line))
-        short = F.length(t)
-        greet = contains_any(t, C.GREETINGS) & (short < C.GREETING_MAX_LEN)
-        sig = contains_any(t, C.SIGNATURES) & (short < C.SIGNATURE_MAX_LEN)
+    def feats(x):
+        t, n = x["lt"], x["n"]
+        greet = contains_any(t, C.GREETINGS) & (n < C.GREETING_MAX_LEN)
+        sig = contains_any(t, C.SIGNATURES) & (n < C.SIGNATURE_MAX_LEN)
         rule = t.rlike(r"^[_\-=*# ]+$")
-        eligible = (short > 0) & ~sig & ~rule
-        return F.struct(strip(line).alias("text"), eligible.alias("ok"), greet.alias("greet"))
+        eligible = (n > 0) & ~sig & ~rule
+        return F.struct(x["text"].alias("text"), eligible.alias("ok"), greet.alias("greet"))
 
-    lines = F.transform(F.split(col(body), "\n", -1), feats)
+    stripped = F.transform(F.split(col(body), "\n", -1), strip)
+    lowered = F.transform(stripped, lambda t: F.struct(t.alias("text"), F.lower(t).alias("lt"),
+                                                         F.length(t).alias("n")))
+    lines = F.transform(lowered, feats)
     idx = F.transform(lines, lambda x, i: F.when(x["ok"] & ~x["greet"], i).otherwise(F.lit(-1)))
     second = F.coalesce(F.try_element_at(F.filter(idx, lambda i: i >= 0), F.lit(2)), F.lit(1 << 30))
     kept = F.filter(F.transform(lines, lambda x, i: F.struct(x["text"].alias("text"),
                                                                 (x["ok"] & (~x["greet"] | (i > second))).alias("keep"))),
                     lambda x: x["keep"])
     joined = F.array_join(F.transform(kept, lambda x: x["text"]), " ")
-    return strip(F.regexp_replace(joined, r"\s+", " "))
+    return strip(F.regexp_replace(joined, _WS_CLASS, " "))
 
 
 def labels(flags: list[tuple[Column, str]]) -> Column:

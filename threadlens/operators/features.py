@@ -53,19 +53,20 @@ def featurize(messages: DataFrame, p: Params) -> DataFrame:
     def flag(words):
         return X.contains_any(lb, words) | X.contains_any(ls, words)
 
-    sents = X.sentences(b)
     waiting = F.coalesce(*[
         F.when(lb.contains(ph), F.concat(F.lit(C.WAITING_PREFIX),
                                          F.substring(lb, F.instr(lb, F.lit(ph)), C.WAITING_CHARS),
                                          F.lit(C.WAITING_SUFFIX)))
         for ph in C.WAITING_PHRASES])
-    kp = F.transform(F.array(*[F.lit(w) for w in C.IMPORTANT_WORDS]),
-                     lambda w, i: F.struct(i.alias("word_pos"),
-                                           X.first_sentence_with(F.col("_sents"), w, C.KEY_POINT_MAX_LEN).alias("text")))
+    # sentence searches run only where the (codegen'd) substring test says the word occurs
+    kp = F.filter(F.array(*[
+        F.struct(F.lit(i).alias("word_pos"),
+                 F.when(lb.contains(w), X.first_sentence_with(b, w, C.KEY_POINT_MAX_LEN)).alias("text"))
+        for i, w in enumerate(C.IMPORTANT_WORDS)]), lambda x: x["text"].isNotNull())
     issue_kw = X.first_listed(lb, C.issue_keywords())
-    issue_sent = X.first_sentence_with(F.col("_sents"), issue_kw, C.ISSUE_MAX_LEN)
+    issue_sent = F.when(issue_kw.isNotNull(), X.first_sentence_with(b, issue_kw, C.ISSUE_MAX_LEN))
 
-    out = df.withColumn("_sents", sents).select(
+    return df.select(
         "thread_key", "conversation_id", "message_id", "received_time", "folder", "item_class",
         "sender", "sender_address", "cc", "subject", "attachment_count",
         F.struct("received_time", "message_id").alias("ord"),
@@ -77,15 +78,24 @@ def featurize(messages: DataFrame, p: Params) -> DataFrame:
         X.contains_any(lb, C.INSIGHT_RESPONSE_PHRASES).alias("asks_insight"),
         waiting.alias("waiting_on"),
         X.action_lines(b).alias("action_lines"),
-        F.filter(kp, lambda x: x["text"].isNotNull()).alias("key_sentences"),
-        F.when(issue_sent.isNotNull(),
-               F.concat(F.lit("["), X.day_text("received_time"), F.lit("] "), issue_sent)).alias("issue"),
+        kp.alias("key_sentences"),
+        F.concat(F.lit("["), X.day_text("received_time"), F.lit("] "), issue_sent).alias("issue"),
         X.preview(b).alias("preview"),
         X.snippet(b).alias("snippet"),
-        F.left(X.clean_body(b), F.lit(C.CLEAN_SNIPPET_CHARS)).alias("clean_snippet"),
-        F.left(b, F.lit(C.HOVER_CHARS)).alias("hover_body"),
     )
-    return out
+
+
+def timeline_features(messages: DataFrame) -> DataFrame:
+    """Per-message columns only the timeline outputs need (cleaned and hover snippets);
+    kept out of the shared feature table so summaries never pay for them."""
+    body = F.coalesce(F.col("body"), F.lit(""))
+    return messages.select(
+        "thread_key", "message_id", "received_time",
+        F.coalesce(F.col("sender"), F.lit(C.UNKNOWN_SENDER)).alias("sender"),
+        F.coalesce(F.col("subject"), F.lit("")).alias("subject"),
+        F.left(X.clean_body(body), F.lit(C.CLEAN_SNIPPET_CHARS)).alias("clean_snippet"),
+        F.left(body, F.lit(C.HOVER_CHARS)).alias("hover_body"),
+    )
 
 
 def keyword_hits(messages: DataFrame, lists: dict[str, tuple[str, ...]], broadcast_limit: int = 10_000) -> DataFrame:

@@ -165,7 +165,10 @@ class ThreadJob:
     @cached_property
     def sequenced(self) -> DataFrame:
         """W1 + next message time, over kept threads; skew-safe bucketed windows."""
-        return Q.message_sequence(self.kept_features, self.params.seq_bucket_seconds, with_next_time=True)
+        tl = FE.timeline_features(self.kept)
+        if self.min_messages > 1:
+            tl = tl.join(self.meta.select("thread_key"), "thread_key", "left_semi")
+        return Q.message_sequence(tl, self.params.seq_bucket_seconds, with_next_time=True)
 
     # -- review / outputs -----------------------------------------------------
     @cached_property

@@ -24,8 +24,12 @@ def nl(s: str) -> str:
     return " || chr(10) || ".join(q(x) for x in parts) if len(parts) > 1 else q(s)
 
 
+WS_CHARS = "".join(f"chr({ord(c)})" if i == 0 else f" || chr({ord(c)})" for i, c in enumerate(C.PY_WHITESPACE))
+WS_CLASS = "'[' || " + WS_CHARS + " || ']+'"
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, {WS_CHARS})"
 
 
 def any_in(x: str, words) -> str:
@@ -96,16 +100,6 @@ FROM conversations
 """
 
 
-def _clean_body_sql(body: str) -> str:
-    """clean_body restated with DuckDB list lambdas (1-based indexes)."""
-    t = f"lower({strip('l')})"
-    ok = (f"(length({t}) > 0 AND NOT ({any_in(t, C.SIGNATURES)} AND length({t}) < {C.SIGNATURE_MAX_LEN}) "
-          f"AND NOT regexp_full_match({t}, '[-_=*# ]+'))")
-    greet = f"({any_in(t, C.GREETINGS)} AND length({t}) < {C.GREETING_MAX_LEN})"
-    lines = f"list_transform(string_split({body}, chr(10)), lambda l: {{'text': {strip('l')}, 'ok': {ok}, 'greet': {greet}}})"
-    return lines
-
-
 def base_ctes(p: Params = P) -> str:
     ex = ", ".join(q(x) for x in p.excluded_folders)
     where = f"WHERE folder IS NULL OR folder NOT IN ({ex})" if ex else ""
@@ -387,7 +381,7 @@ def extra_ctes(p: Params = P) -> str:
     joined_kept = ("array_to_string(list_transform(list_filter(list_transform(ls, lambda x, i: "
                    "{'text': x.text, 'keep': x.ok AND (NOT x.greet OR i > coalesce(second, 1073741824))}), "
                    "lambda y: y.keep), lambda y: y.text), ' ')")
-    clean = strip(f"regexp_replace({joined_kept}, '\\s+', ' ', 'g')")
+    clean = strip(f"regexp_replace({joined_kept}, {WS_CLASS}, ' ', 'g')")
     ex_name = "subject"
     for pre in C.SUBJECT_PREFIXES:
         ex_name = strip(f"replace({ex_name}, {q(pre)}, '')")
