@@ -37,6 +37,12 @@ def contains_any(c, words: Iterable[str]) -> Column:
     return out if out is not None else F.lit(False)
 
 
+def any_regex(words: Iterable[str]) -> str:
+    """One Java regex matching any of the literal words (for use inside lambdas, where a
+    single ``rlike`` beats a chain of interpreted ``contains``)."""
+    return "|".join(r"\Q" + w + r"\E" for w in words)
+
+
 def first_listed(c, words: Iterable[str]) -> Column:
     """The first word of the list (list order, not text order) contained in c, else NULL."""
     c = col(c)
@@ -108,9 +114,10 @@ def first_sentence_with(body, word, max_len: int) -> Column:
 
 def action_lines(body, cap: int = C.CAP_ACTIONS) -> Column:
     """First `cap` lines that ask or request something, stripped (length test on the raw line)."""
+    words = any_regex(C.ACTION_WORDS)
+
     def wanted(line):
-        return (line.contains("?") | contains_any(F.lower(line), C.ACTION_WORDS)) & \
-            (F.length(line) < C.ACTION_LINE_MAX_LEN)
+        return (line.contains("?") | F.lower(line).rlike(words)) & (F.length(line) < C.ACTION_LINE_MAX_LEN)
     lines = F.filter(F.split(col(body), "\n", -1), wanted)
     return F.slice(F.transform(lines, strip), 1, cap)
 
@@ -122,11 +129,13 @@ def clean_body(body) -> Column:
     a short greeting is dropped only while fewer than two lines were kept, which
     equals: before the second kept line that is not a greeting.
     """
+    greetings, signatures = any_regex(C.GREETINGS), any_regex(C.SIGNATURES)
+
     def feats(x):
         t, n = x["lt"], x["n"]
-        greet = contains_any(t, C.GREETINGS) & (n < C.GREETING_MAX_LEN)
-        sig = contains_any(t, C.SIGNATURES) & (n < C.SIGNATURE_MAX_LEN)
-        rule = t.rlike(r"^[_\-=*# ]+$")
+        greet = (n < C.GREETING_MAX_LEN) & t.rlike(greetings)
+        sig = (n < C.SIGNATURE_MAX_LEN) & t.rlike(signatures)
+        rule = F.length(F.translate(t, C.RULE_LINE_CHARS, "")) == 0
         eligible = (n > 0) & ~sig & ~rule
         return F.struct(x["text"].alias("text"), eligible.alias("ok"), greet.alias("greet"))
 

@@ -36,6 +36,14 @@ def with_thread_key(messages: DataFrame, key: str = "conversation_id") -> DataFr
     return messages.withColumn("thread_key", F.coalesce(F.col(key), F.lit(THREAD_KEY_NULL)))
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int) -> DataFrame:
+    """Spread an input that arrives in fewer partitions than the cluster has cores (a small
+    file of one row group) round-robin before the CPU-heavy map stage; large inputs already
+    have many splits and pass through untouched."""
+    n = df._jdf.rdd().getNumPartitions()
+    return df.repartition(min_partitions) if n < min_partitions else df
+
+
 def featurize(messages: DataFrame, p: Params) -> DataFrame:
     """Narrow projection of messages (with ``thread_key``) to bounded features."""
     body = F.coalesce(F.col("body"), F.lit(""))
@@ -48,6 +56,8 @@ def featurize(messages: DataFrame, p: Params) -> DataFrame:
         F.coalesce(F.col("attachment_count"), F.lit(0)).cast("int").alias("attachment_count"),
         body.alias("_body"), F.lower(body).alias("_lb"), F.lower(subj).alias("_ls"),
     )
+    # the issue keyword is a column of its own so the sentence lambda reads it, not recomputes it
+    df = df.withColumn("_issue_kw", X.first_listed(F.col("_lb"), C.issue_keywords()))
     lb, ls, b = F.col("_lb"), F.col("_ls"), F.col("_body")
 
     def flag(words):
@@ -63,7 +73,7 @@ def featurize(messages: DataFrame, p: Params) -> DataFrame:
         F.struct(F.lit(i).alias("word_pos"),
                  F.when(lb.contains(w), X.first_sentence_with(b, w, C.KEY_POINT_MAX_LEN)).alias("text"))
         for i, w in enumerate(C.IMPORTANT_WORDS)]), lambda x: x["text"].isNotNull())
-    issue_kw = X.first_listed(lb, C.issue_keywords())
+    issue_kw = F.col("_issue_kw")
     issue_sent = F.when(issue_kw.isNotNull(), X.first_sentence_with(b, issue_kw, C.ISSUE_MAX_LEN))
 
     return df.select(

@@ -56,30 +56,38 @@ class ThreadJob:
     @cached_property
     def kept(self) -> DataFrame:
         """F1 applied; thread key attached."""
-        return FE.with_thread_key(FE.exclude_folders(self.valid, self.params.excluded_folders), self.key)
+        kept = FE.with_thread_key(FE.exclude_folders(self.valid, self.params.excluded_folders), self.key)
+        return FE.ensure_parallelism(kept, self.spark.sparkContext.defaultParallelism)
 
     @cached_property
     def features(self) -> DataFrame:
-        f = FE.featurize(self.kept, self.params)
-        if self.materialize == "checkpoint":
-            shared_dir(self.spark)
-            return f.checkpoint(eager=True)
-        if self.materialize == "persist":
-            return f.persist(StorageLevel.MEMORY_AND_DISK)
-        return f
+        return self._materialize(FE.featurize(self.kept, self.params))
 
     # -- thread level -------------------------------------------------------
     @cached_property
     def meta(self) -> DataFrame:
-        """Thread metadata + endpoints for threads with enough messages."""
-        return T.thread_metadata(self.features, self.params, self.min_messages)
+        """Thread metadata + endpoints for threads with enough messages (one row per thread,
+        materialised like the features: every branch reads it instead of re-aggregating)."""
+        return self._materialize(T.thread_metadata(self.features, self.params, self.min_messages))
+
+    def _materialize(self, df: DataFrame) -> DataFrame:
+        if self.materialize == "checkpoint":
+            shared_dir(self.spark)
+            return df.checkpoint(eager=True)
+        if self.materialize == "persist":
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        return df
+
+    def _kept_only(self, df: DataFrame) -> DataFrame:
+        """Restrict a per-thread table to threads that passed the minimum count."""
+        if self.min_messages <= 1:
+            return df
+        return df.join(self.meta.select("thread_key"), "thread_key", "left_semi")
 
     @cached_property
     def kept_features(self) -> DataFrame:
         """Features of messages whose thread passed the minimum count (left-semi join)."""
-        if self.min_messages <= 1:
-            return self.features
-        return self.features.join(self.meta.select("thread_key"), "thread_key", "left_semi")
+        return self._kept_only(self.features)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -87,53 +95,79 @@ class ThreadJob:
             "start_date": X.iso_text("start_time"), "end_date": X.iso_text("end_time")})
 
     # -- lists --------------------------------------------------------------
+    # raw_* lists cover every conversation; the summary's left join from ``meta`` keeps the
+    # kept threads, so only the standalone outputs need the explicit semi-join.
+    @cached_property
+    def raw_sender_counts(self) -> DataFrame:
+        return T.sender_counts(self.features)
+
     @cached_property
     def sender_counts(self) -> DataFrame:
-        return T.sender_counts(self.features).join(self.meta.select("thread_key"), "thread_key", "left_semi")
+        return self._kept_only(self.raw_sender_counts)
 
     @cached_property
     def events(self) -> DataFrame:
         return E.thread_events(self.features, self.meta)
 
+    @cached_property
+    def raw_stakeholders(self) -> DataFrame:
+        return E.stakeholders(self.raw_sender_counts)
+
     @cached_property
     def stakeholders(self) -> DataFrame:
-        return E.stakeholders(self.sender_counts)
+        return self._kept_only(self.raw_stakeholders)
+
+    @cached_property
+    def raw_action_items(self) -> DataFrame:
+        return E.action_items(self.features)
 
     @cached_property
     def action_items(self) -> DataFrame:
-        return E.action_items(self.features).join(self.meta.select("thread_key"), "thread_key", "left_semi")
+        return self._kept_only(self.raw_action_items)
+
+    @cached_property
+    def raw_key_points(self) -> DataFrame:
+        return E.key_points(self.features)
 
     @cached_property
     def key_points(self) -> DataFrame:
-        return E.key_points(self.features).join(self.meta.select("thread_key"), "thread_key", "left_semi")
+        return self._kept_only(self.raw_key_points)
+
+    @cached_property
+    def raw_issues(self) -> DataFrame:
+        return E.thread_issues(self.features)
 
     @cached_property
     def issues(self) -> DataFrame:
-        return E.thread_issues(self.features).join(self.meta.select("thread_key"), "thread_key", "left_semi")
+        return self._kept_only(self.raw_issues)
+
+    @cached_property
+    def raw_flow(self) -> DataFrame:
+        return E.conversation_flow(self.features)
 
     @cached_property
     def flow(self) -> DataFrame:
-        return E.conversation_flow(self.features).join(self.meta.select("thread_key"), "thread_key", "left_semi")
+        return self._kept_only(self.raw_flow)
 
     @cached_property
     def model_input(self) -> DataFrame:
-        return E.model_input(self.features).join(self.meta.select("thread_key"), "thread_key", "left_semi")
+        return self._kept_only(E.model_input(self.features))
 
     # -- summary ------------------------------------------------------------
     @cached_property
     def lists(self) -> DataFrame:
         """All capped lists of a thread as arrays, one row per thread."""
-        flow = self.flow.groupBy("thread_key").agg(
+        flow = self.raw_flow.groupBy("thread_key").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("flow_pos", "date", "sender", "subject", "preview"))),
                         lambda x: F.struct(x["date"].alias("date"), x["sender"].alias("sender"),
                                            x["subject"].alias("subject"), x["preview"].alias("preview")))
             .alias("conversation_flow"))
         parts = [
             E.collect_ranked(self.events, "event_rank", "event", "key_events"),
-            E.collect_ranked(self.stakeholders, "stakeholder_rank", "stakeholder", "stakeholders"),
-            E.collect_ranked(self.action_items, "item_rank", "action_item", "action_items"),
-            E.collect_ranked(self.key_points, "point_rank", "key_point", "key_points"),
-            E.collect_ranked(self.issues, "issue_rank", "issue", "issues"),
+            E.collect_ranked(self.raw_stakeholders, "stakeholder_rank", "stakeholder", "stakeholders"),
+            E.collect_ranked(self.raw_action_items, "item_rank", "action_item", "action_items"),
+            E.collect_ranked(self.raw_key_points, "point_rank", "key_point", "key_points"),
+            E.collect_ranked(self.raw_issues, "issue_rank", "issue", "issues"),
             flow,
         ]
         out = self.meta.select("thread_key")
@@ -165,9 +199,7 @@ class ThreadJob:
     @cached_property
     def sequenced(self) -> DataFrame:
         """W1 + next message time, over kept threads; skew-safe bucketed windows."""
-        tl = FE.timeline_features(self.kept)
-        if self.min_messages > 1:
-            tl = tl.join(self.meta.select("thread_key"), "thread_key", "left_semi")
+        tl = self._kept_only(FE.timeline_features(self.kept))
         return Q.message_sequence(tl, self.params.seq_bucket_seconds, with_next_time=True)
 
     # -- review / outputs -----------------------------------------------------
