@@ -40,6 +40,15 @@ class ThreadJob:
         self.materialize = materialize
         self.raw = messages
 
+    @classmethod
+    def from_features(cls, features: DataFrame, params: Params = C.TEST_PARAMS,
+                      min_messages: int | None = None) -> "ThreadJob":
+        """A job over an already featurised table (e.g. the streaming ingest's output).
+        Thread-level outputs work; per-message timeline outputs need the messages."""
+        j = cls(features, params, min_messages=min_messages, materialize="none")
+        j.__dict__["features"] = features
+        return j
+
     # -- scan ---------------------------------------------------------------
     @cached_property
     def _split(self):
