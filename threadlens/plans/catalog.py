@@ -409,7 +409,8 @@ def q_delay_threads(spark, sf):
 
 
 @register("report_totals", """
-SELECT count(*) AS total_threads, count_if(is_urgent) AS urgent_threads, count_if(has_delay) AS delay_threads
+SELECT count(*) AS total_threads, coalesce(count_if(is_urgent), 0) AS urgent_threads,
+       coalesce(count_if(has_delay), 0) AS delay_threads
 FROM scored WHERE NOT is_archived""")
 def q_report_totals(spark, sf):
     return OUT.report_totals(job(spark, sf).report_set)
@@ -448,8 +449,8 @@ def _report_sql() -> str:
             "(SELECT *, row_number() OVER (ORDER BY start_time DESC, thread_key) AS item_no FROM rs)"),
     ]
     return (", rs AS (SELECT * FROM scored WHERE NOT is_archived), "
-            "tot AS (SELECT count(*) AS total_threads, count_if(is_urgent) AS urgent_threads, "
-            "count_if(has_delay) AS delay_threads FROM rs) " + " UNION ALL ".join(parts))
+            "tot AS (SELECT count(*) AS total_threads, coalesce(count_if(is_urgent), 0) AS urgent_threads, "
+            "coalesce(count_if(has_delay), 0) AS delay_threads FROM rs) " + " UNION ALL ".join(parts))
 
 
 @register("report_lines", _report_sql())

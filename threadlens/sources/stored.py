@@ -87,7 +87,7 @@ def read_reference_folders(spark: SparkSession, threads_dir: str) -> DataFrame:
     meta = (spark.read.schema(METADATA_SCHEMA).option("multiLine", True)
             .json(f"{threads_dir}/*/{METADATA_FILE}")
             .withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)))
-    docs = (spark.read.option("wholetext", True).text(f"{threads_dir}/*/{SUMMARY_FILE}")
+    docs = (spark.read.text(f"{threads_dir}/*/{SUMMARY_FILE}", wholetext=True)
             .select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("folder"),
                     F.col("value").alias("summary_text")))
     return (meta.join(docs, "folder", "left")
