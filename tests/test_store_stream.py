@@ -78,3 +78,19 @@ def test_streaming_ingest_matches_batch(spark, tmp_path):
     cols = ["thread_key", "email_count", "priority_score", "next_action", "is_urgent", "has_delay"]
     assert streamed.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert batch.select(cols).exceptAll(streamed.select(cols)).count() == 0
+
+
+def test_write_report_and_timeline_lines(spark, tmp_path):
+    from threadlens.operators import outputs as OUT
+    rows = [msg(1, "c1", ago(days=1), body="Dear all,\nPlease confirm?\nBest regards"),
+            msg(2, "c1", ago(hours=2), body="urgent"), msg(3, "c2", ago(days=3)), msg(4, "c2", ago(days=2))]
+    job = ThreadJob(frame(spark, rows), P)
+    rep = ST.write_lines(OUT.report_lines(job.report_set, P), str(tmp_path / "report"),
+                         ["section", "item_no", "item_key", "line_no"])
+    text = [r.value for r in spark.read.text(rep).collect()]
+    assert text[0] == C.REPORT_TITLE and "ALL THREADS:" in text
+    assert any(t.startswith("1. ") for t in text) and any(t.startswith("2. ") for t in text)
+    tl = job.timeline.withColumn("folder", F.col("thread_key"))
+    out = ST.write_lines(tl, str(tmp_path / "timeline"), ["thread_key", "line_no"], ["folder"])
+    c1 = [r.value for r in spark.read.text(f"{out}/folder=c1").collect()]
+    assert c1[0].startswith("TIMELINE: ") and c1[4] == "Please confirm?" and c1[-1] == "Attachments: 0"

@@ -608,9 +608,9 @@ FROM (SELECT {O.slug_sql('thread_name', 'conversation_id')} AS folder, end_time,
              {O.days(f"({O.AS_OF} - INTERVAL {PREVIOUS_RUN_DAYS} DAY)", 'end_time')} > {P.archive_days} AS was_archived
       FROM meta) WHERE NOT was_archived""")
 def q_archive_transition(spark, sf):
-    """Threads stored in the active root by a run {PREVIOUS_RUN_DAYS} days earlier, re-checked now."""
+    """Threads stored in the active root by a run PREVIOUS_RUN_DAYS days earlier, re-checked now."""
     j = job(spark, sf)
-    prev = L_prev = P.as_of - timedelta(days=PREVIOUS_RUN_DAYS)  # noqa: F841
+    prev = P.as_of - timedelta(days=PREVIOUS_RUN_DAYS)
     s = j.scored.select(X.slug("thread_name", "conversation_id").alias("folder"), "end_date", "end_time",
                         (X.whole_days(F.lit(prev).cast("timestamp_ntz"), "end_time") > P.archive_days)
                         .alias("was_archived"))

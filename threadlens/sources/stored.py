@@ -93,3 +93,25 @@ def read_reference_folders(spark: SparkSession, threads_dir: str) -> DataFrame:
     return (meta.join(docs, "folder", "left")
             .withColumn("summary_text", F.coalesce(F.col("summary_text"), F.lit("")))
             .withColumn("end_time", F.try_to_timestamp(F.col("end_date")).cast("timestamp_ntz")))
+
+
+def write_lines(lines: DataFrame, path: str, order: list[str], partition_by: list[str] | None = None,
+                text_col: str = "line") -> str:
+    """S8 / S10 / S7 sinks: write numbered lines as text in their order.  A global ``orderBy``
+    range-partitions the lines, so a large report or a hot thread's timeline is written by
+    many tasks as consecutive part files (read them back in file-name order); nothing is
+    gathered into one writer.  ``partition_by`` (e.g. a folder column) gives one directory per
+    thread."""
+    df = lines.orderBy(*order)
+    cols = (partition_by or []) + [F.col(text_col).alias("value")]
+    w = df.select(*cols).write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.text(path)
+    return path
+
+
+def write_sheet(sheet: DataFrame, path: str) -> str:
+    """The 12-column sheet as CSV with a header row, newest start first."""
+    sheet.write.mode("overwrite").option("header", True).csv(path)
+    return path
