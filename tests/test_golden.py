@@ -82,7 +82,7 @@ def test_kpis_none_when_no_active(spark):
 
 def test_thread_name_prefix_removal_anywhere(spark):
     df = spark.createDataFrame([("CARE: x",), ("RE: FW: Plan",), ("FWD:RE: Load",)], "s string")
-    out = [r[0] for r in df.select(X.thread_name("s", F.lit(AS_OF).cast("timestamp_ntz"))).collect()]
+    out = [r[0] for r in df.select(X.thread_name("s", X.ntz_literal(AS_OF))).collect()]
     assert out == ["2024-04-10 - CA x", "2024-04-10 - Plan", "2024-04-10 - Load"]
 
 

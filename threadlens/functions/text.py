@@ -54,6 +54,12 @@ def ntz_micros(c) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), col(c))
 
 
+def ntz_literal(dt) -> Column:
+    """A TIMESTAMP_NTZ literal from a naive datetime, built from its text so neither the
+    driver's nor the session's time zone can shift it."""
+    return F.lit(dt.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def whole_days(later, earlier) -> Column:
     """Whole days later-earlier, floored like a Python timedelta's ``days``."""
     diff = F.timestamp_diff("MICROSECOND", col(earlier), col(later))

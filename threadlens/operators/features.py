@@ -40,7 +40,7 @@ def ensure_parallelism(df: DataFrame, min_partitions: int) -> DataFrame:
     """Spread an input that arrives in fewer partitions than the cluster has cores (a small
     file of one row group) round-robin before the CPU-heavy map stage; large inputs already
     have many splits and pass through untouched."""
-    n = df._jdf.rdd().getNumPartitions()
+    n = df.rdd.getNumPartitions()
     return df.repartition(min_partitions) if n < min_partitions else df
 
 

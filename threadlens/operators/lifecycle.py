@@ -69,9 +69,9 @@ def archive_transition(folders: DataFrame, stored_meta: DataFrame, archive_folde
                        p: Params) -> DataFrame:
     """J8 + F10: for each folder of the active root: 'no metadata', 'no end date',
     'exists' (old, already in archive), 'moved' (old), or 'kept'."""
-    as_of = L(p.as_of).cast("timestamp_ntz")
+    as_of = X.ntz_literal(p.as_of)
     m = stored_meta.select("folder", F.lit(True).alias("_has_meta"),
-                           F.to_timestamp_ntz(F.col("end_date")).alias("_end"))
+                           F.col("end_date").try_cast("timestamp_ntz").alias("_end"))
     a = archive_folders.select("folder", F.lit(True).alias("_in_archive")).distinct()
     d = folders.select("folder").distinct().join(m, "folder", "left").join(a, "folder", "left")
     days = X.whole_days(as_of, "_end")

@@ -42,7 +42,7 @@ def thread_metadata(features: DataFrame, p: Params, min_messages: int | None = N
     mm = p.min_messages if min_messages is None else min_messages
     if mm > 1:
         agg = agg.filter(F.col("email_count") >= F.lit(mm))
-    as_of = F.lit(p.as_of).cast("timestamp_ntz")
+    as_of = X.ntz_literal(p.as_of)
     return agg.select(
         "thread_key",
         F.col("_first.conversation_id").alias("conversation_id"),

@@ -612,7 +612,7 @@ def q_archive_transition(spark, sf):
     j = job(spark, sf)
     prev = P.as_of - timedelta(days=PREVIOUS_RUN_DAYS)
     s = j.scored.select(X.slug("thread_name", "conversation_id").alias("folder"), "end_date", "end_time",
-                        (X.whole_days(F.lit(prev).cast("timestamp_ntz"), "end_time") > P.archive_days)
+                        (X.whole_days(X.ntz_literal(prev), "end_time") > P.archive_days)
                         .alias("was_archived"))
     active = s.filter(~F.col("was_archived"))
     archive = s.filter(F.col("was_archived")).select("folder")

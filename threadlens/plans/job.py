@@ -1,10 +1,11 @@
 """ThreadJob: one lazily-built plan over a messages table.
 
 Stages are memoised DataFrames, so every output of one job derives from the
-same featurised table.  That table (bounded features, no bodies) is the only
-thing materialised: ``persist`` (default; recomputed from lineage if an
-executor is lost) or ``checkpoint`` (written to the shared checkpoint folder,
-lineage cut).  Everything downstream is plain DataFrame operators.
+same featurised table.  That table (bounded features, no bodies) and the one-row-
+per-thread metadata are the only things materialised: checkpointed into the
+shared ``spark.checkpoint.dir`` when the cluster names one (lineage cut), else
+persisted (recomputed from lineage if an executor is lost).  Everything
+downstream is plain DataFrame operators.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from ..sources.messages import split_rejects
 
 class ThreadJob:
     def __init__(self, messages: DataFrame, params: Params = C.TEST_PARAMS, key: str = "conversation_id",
-                 min_messages: int | None = None, materialize: str = "persist"):
+                 min_messages: int | None = None, materialize: str = "auto"):
         self.spark = messages.sparkSession
         self.params = params
         self.key = key
@@ -80,10 +81,18 @@ class ThreadJob:
         return self._materialize(T.thread_metadata(self.features, self.params, self.min_messages))
 
     def _materialize(self, df: DataFrame) -> DataFrame:
-        if self.materialize == "checkpoint":
+        """``auto``: checkpoint into the cluster's shared ``spark.checkpoint.dir`` when the
+        session names one (lineage cut, nothing recomputed after a lost executor); otherwise
+        persist (blocks recomputed from lineage if lost)."""
+        mode = self.materialize
+        if mode == "auto":
+            conf = self.spark.sparkContext.getConf()
+            mode = "checkpoint" if (conf.get("spark.checkpoint.dir", None)
+                                    or self.spark.sparkContext.getCheckpointDir()) else "persist"
+        if mode == "checkpoint":
             shared_dir(self.spark)
             return df.checkpoint(eager=True)
-        if self.materialize == "persist":
+        if mode == "persist":
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         return df
 

@@ -64,8 +64,8 @@ def read_store(spark: SparkSession, path: str, root: str | None = C.ACTIVE_ROOT)
                     F.coalesce(F.col("summary_markdown"), F.lit("")).alias("summary_text")
                     if "summary_markdown" in df.columns else F.lit("").alias("summary_text"))
     return out.select("root", "folder", "thread_key", "m.*", "summary_text").withColumns({
-        "start_time": F.try_to_timestamp(F.col("start_date")).cast("timestamp_ntz"),
-        "end_time": F.try_to_timestamp(F.col("end_date")).cast("timestamp_ntz")})
+        "start_time": F.col("start_date").try_cast("timestamp_ntz"),
+        "end_time": F.col("end_date").try_cast("timestamp_ntz")})
 
 
 def write_folders(threads: DataFrame, path: str) -> str:
@@ -92,7 +92,7 @@ def read_reference_folders(spark: SparkSession, threads_dir: str) -> DataFrame:
                     F.col("value").alias("summary_text")))
     return (meta.join(docs, "folder", "left")
             .withColumn("summary_text", F.coalesce(F.col("summary_text"), F.lit("")))
-            .withColumn("end_time", F.try_to_timestamp(F.col("end_date")).cast("timestamp_ntz")))
+            .withColumn("end_time", F.col("end_date").try_cast("timestamp_ntz")))
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str], partition_by: list[str] | None = None,
