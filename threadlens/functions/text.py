@@ -18,6 +18,26 @@ _WS_CLASS = "[" + "".join(C.PY_WHITESPACE) + "]+"
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
+def per_session(fn):
+    """Build a fixed expression once per SparkContext and reuse the Column objects.
+
+    Expressions built from the fixed value lists are the same for every query; building them
+    costs thousands of Python->JVM calls, so every query after the first reuses them.
+    Arguments must be hashable (the frozen ``Params`` is)."""
+    import functools
+
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(*args):
+        from pyspark import SparkContext
+        key = (id(SparkContext._active_spark_context), args)
+        if key not in cache:
+            cache[key] = fn(*args)
+        return cache[key]
+    return wrapper
+
+
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

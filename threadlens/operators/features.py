@@ -44,20 +44,24 @@ def ensure_parallelism(df: DataFrame, min_partitions: int) -> DataFrame:
     return df.repartition(min_partitions) if n < min_partitions else df
 
 
-def featurize(messages: DataFrame, p: Params) -> DataFrame:
-    """Narrow projection of messages (with ``thread_key``) to bounded features."""
+@X.per_session
+def _base_columns() -> list:
     body = F.coalesce(F.col("body"), F.lit(""))
     subj = F.coalesce(F.col("subject"), F.lit(""))
-    df = messages.select(
+    return [
         "thread_key", "conversation_id", "message_id", "received_time", "folder", "item_class",
         F.coalesce(F.col("sender"), F.lit(C.UNKNOWN_SENDER)).alias("sender"),
         "sender_address", "cc",
         subj.alias("subject"),
         F.coalesce(F.col("attachment_count"), F.lit(0)).cast("int").alias("attachment_count"),
         body.alias("_body"), F.lower(body).alias("_lb"), F.lower(subj).alias("_ls"),
-    )
-    # the issue keyword is a column of its own so the sentence lambda reads it, not recomputes it
-    df = df.withColumn("_issue_kw", X.first_listed(F.col("_lb"), C.issue_keywords()))
+        # the issue keyword is a column of its own so the sentence lambda reads it, not recomputes it
+        X.first_listed(F.lower(body), C.issue_keywords()).alias("_issue_kw"),
+    ]
+
+
+@X.per_session
+def _feature_columns(p: Params) -> list:
     lb, ls, b = F.col("_lb"), F.col("_ls"), F.col("_body")
 
     def flag(words):
@@ -75,8 +79,7 @@ def featurize(messages: DataFrame, p: Params) -> DataFrame:
         for i, w in enumerate(C.IMPORTANT_WORDS)]), lambda x: x["text"].isNotNull())
     issue_kw = F.col("_issue_kw")
     issue_sent = F.when(issue_kw.isNotNull(), X.first_sentence_with(b, issue_kw, C.ISSUE_MAX_LEN))
-
-    return df.select(
+    return [
         "thread_key", "conversation_id", "message_id", "received_time", "folder", "item_class",
         "sender", "sender_address", "cc", "subject", "attachment_count",
         F.struct("received_time", "message_id").alias("ord"),
@@ -92,20 +95,30 @@ def featurize(messages: DataFrame, p: Params) -> DataFrame:
         F.concat(F.lit("["), X.day_text("received_time"), F.lit("] "), issue_sent).alias("issue"),
         X.preview(b).alias("preview"),
         X.snippet(b).alias("snippet"),
-    )
+    ]
 
 
-def timeline_features(messages: DataFrame) -> DataFrame:
-    """Per-message columns only the timeline outputs need (cleaned and hover snippets);
-    kept out of the shared feature table so summaries never pay for them."""
+def featurize(messages: DataFrame, p: Params) -> DataFrame:
+    """Narrow projection of messages (with ``thread_key``) to bounded features."""
+    return messages.select(*_base_columns()).select(*_feature_columns(p))
+
+
+@X.per_session
+def _timeline_columns() -> list:
     body = F.coalesce(F.col("body"), F.lit(""))
-    return messages.select(
+    return [
         "thread_key", "message_id", "received_time",
         F.coalesce(F.col("sender"), F.lit(C.UNKNOWN_SENDER)).alias("sender"),
         F.coalesce(F.col("subject"), F.lit("")).alias("subject"),
         F.left(X.clean_body(body), F.lit(C.CLEAN_SNIPPET_CHARS)).alias("clean_snippet"),
         F.left(body, F.lit(C.HOVER_CHARS)).alias("hover_body"),
-    )
+    ]
+
+
+def timeline_features(messages: DataFrame) -> DataFrame:
+    """Per-message columns only the timeline outputs need (cleaned and hover snippets);
+    kept out of the shared feature table so summaries never pay for them."""
+    return messages.select(*_timeline_columns())
 
 
 def keyword_hits(messages: DataFrame, lists: dict[str, tuple[str, ...]], broadcast_limit: int = 10_000) -> DataFrame:

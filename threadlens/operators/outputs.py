@@ -44,6 +44,7 @@ def dashboard_rows(summary: DataFrame) -> DataFrame:
     )
 
 
+@X.per_session
 def card_flags() -> Column:
     return X.labels([(F.col("response_needed"), C.RESPONSE_FLAG),
                      (F.col("is_urgent"), f"{C.FLAG_SYMBOLS[0]} {C.FLAG_NAMES[0]}"),

@@ -11,6 +11,7 @@ from ..functions import text as X
 L = F.lit
 
 
+@X.per_session
 def reply_template() -> Column:
     """Suggested reply, or the no-response text."""
     body = F.concat(
@@ -24,6 +25,7 @@ def reply_template() -> Column:
     return F.when(F.col("response_needed"), body).otherwise(L(C.NO_REPLY))
 
 
+@X.per_session
 def basic_reply() -> Column:
     """Reply used when no stored one exists."""
     return F.concat(L(C.BASIC_REPLY_OPENING),
@@ -32,8 +34,10 @@ def basic_reply() -> Column:
                     L(C.REPLY_CLOSING), L(C.REPLY_SIGNOFF))
 
 
-def executive_summary(issues: Column) -> Column:
+@X.per_session
+def executive_summary() -> Column:
     """Overview sentence, urgency/delay sentences, issue count (after the cap)."""
+    issues = F.col("issues")
     return F.concat_ws(
         " ",
         F.concat(L("Email thread '"), F.col("thread_name"), L("' with "), F.col("email_count").cast("string"),
@@ -53,6 +57,7 @@ def _bullets(arr: str, prefix: str = "- ") -> Column:
     return X.bullet_list(F.col(arr), prefix)
 
 
+@X.per_session
 def summary_markdown() -> Column:
     """The rendered summary document; empty sections omitted; model rows carry
     no priority, insights or reply section."""

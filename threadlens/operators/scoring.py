@@ -10,7 +10,7 @@ from ..config import Params
 from ..functions import text as X
 
 
-def priority_score(df: DataFrame) -> Column:
+def priority_score() -> Column:
     """Weighted rule sum clamped to 0..100."""
     days = F.col("days_since_last")
     s = (F.when(F.col("is_urgent"), C.SCORE_URGENT).otherwise(0)
@@ -72,9 +72,13 @@ def next_action() -> Column:
 
 def with_scores(meta: DataFrame, p: Params) -> DataFrame:
     """Adds score, level, factors, status, insight fields, archive decision."""
-    score = priority_score(meta)
-    return meta.select(
-        "*",
+    return meta.select("*", *_score_columns(p))
+
+
+@X.per_session
+def _score_columns(p: Params) -> list:
+    score = priority_score()
+    return [
         score.alias("priority_score"),
         priority_level(score).alias("priority_level"),
         priority_factors().alias("priority_factors"),
@@ -84,14 +88,16 @@ def with_scores(meta: DataFrame, p: Params) -> DataFrame:
         F.col("last_sender").alias("last_responder"),
         next_action().alias("next_action"),
         (F.col("days_since_last") > F.lit(p.archive_days)).alias("is_archived"),
-    )
+    ]
 
 
+@X.per_session
 def requires_attention(p: Params) -> Column:
     """F8: score >= 40, or response needed, or urgent."""
     return (F.col("priority_score") >= p.attention_score) | F.col("response_needed") | F.col("is_urgent")
 
 
+@X.per_session
 def suggested_actions(p: Params) -> Column:
     """Suggested actions; none apply -> 'Monitor for updates'."""
     acts = X.labels([

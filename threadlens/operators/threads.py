@@ -25,10 +25,19 @@ def identify_threads(features: DataFrame, min_messages: int) -> DataFrame:
 
 def thread_metadata(features: DataFrame, p: Params, min_messages: int | None = None) -> DataFrame:
     """A2 (+A4, X1, X3, X5): one row per kept thread with metadata and endpoint facts."""
+    agg = features.groupBy("thread_key").agg(*_meta_aggregates())
+    mm = p.min_messages if min_messages is None else min_messages
+    if mm > 1:
+        agg = agg.filter(F.col("email_count") >= F.lit(mm))
+    return agg.select(*_meta_columns(p))
+
+
+@X.per_session
+def _meta_aggregates() -> list:
     first = F.min_by(F.struct("conversation_id", "message_id", "sender", "subject", "received_time"), "ord")
     last = F.max_by(F.struct("message_id", "sender", "sender_address", "cc", "received_time",
                              "asks_score", "asks_insight", "waiting_on"), "ord")
-    agg = features.groupBy("thread_key").agg(
+    return [
         F.count(F.lit(1)).alias("email_count"),
         F.array_sort(F.collect_set("sender")).alias("participants"),
         first.alias("_first"),
@@ -38,12 +47,13 @@ def thread_metadata(features: DataFrame, p: Params, min_messages: int | None = N
         F.bool_or("has_delay").alias("has_delay"),
         F.bool_or("is_transport").alias("is_transport"),
         F.bool_or("is_customs").alias("is_customs"),
-    )
-    mm = p.min_messages if min_messages is None else min_messages
-    if mm > 1:
-        agg = agg.filter(F.col("email_count") >= F.lit(mm))
+    ]
+
+
+@X.per_session
+def _meta_columns(p: Params) -> list:
     as_of = X.ntz_literal(p.as_of)
-    return agg.select(
+    return [
         "thread_key",
         F.col("_first.conversation_id").alias("conversation_id"),
         X.thread_name("_first.subject", "_first.received_time").alias("thread_name"),
@@ -66,7 +76,7 @@ def thread_metadata(features: DataFrame, p: Params, min_messages: int | None = N
         F.col("_last.asks_insight").alias("last_asks_insight"),
         F.col("_last.waiting_on").alias("last_waiting_on"),
         X.whole_days(as_of, "_last.received_time").alias("days_since_last"),
-    )
+    ]
 
 
 def sender_counts(features: DataFrame) -> DataFrame:

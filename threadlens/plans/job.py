@@ -205,7 +205,7 @@ class ThreadJob:
         """The rule-based summary row of every thread (J1: metadata beside its lists)."""
         s = self.scored.join(self.lists, "thread_key")
         s = s.withColumn("method", F.lit(C.METHOD_RULES))
-        s = s.withColumn("executive_summary", R.executive_summary(F.col("issues")))
+        s = s.withColumn("executive_summary", R.executive_summary())
         s = s.withColumn("reply_template", R.reply_template())
         return s
 
