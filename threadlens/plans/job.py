@@ -3,9 +3,9 @@
 Stages are memoised DataFrames, so every output of one job derives from the
 same featurised table.  That table (bounded features, no bodies) and the one-row-
 per-thread metadata are the only things materialised: checkpointed into the
-shared ``spark.checkpoint.dir`` when the cluster names one (lineage cut), else
-persisted (recomputed from lineage if an executor is lost).  Everything
-downstream is plain DataFrame operators.
+shared ``spark.checkpoint.dir`` (lineage cut; a scratch folder is registered
+only when the session names none, as in local tests).  Everything downstream
+is plain DataFrame operators.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from ..sources.messages import split_rejects
 
 class ThreadJob:
     def __init__(self, messages: DataFrame, params: Params = C.TEST_PARAMS, key: str = "conversation_id",
-                 min_messages: int | None = None, materialize: str = "auto"):
+                 min_messages: int | None = None, materialize: str = "checkpoint"):
         self.spark = messages.sparkSession
         self.params = params
         self.key = key
@@ -81,14 +81,11 @@ class ThreadJob:
         return self._materialize(T.thread_metadata(self.features, self.params, self.min_messages))
 
     def _materialize(self, df: DataFrame) -> DataFrame:
-        """``auto``: checkpoint into the cluster's shared ``spark.checkpoint.dir`` when the
-        session names one (lineage cut, nothing recomputed after a lost executor); otherwise
-        persist (blocks recomputed from lineage if lost)."""
+        """``checkpoint`` (default): written to the shared ``spark.checkpoint.dir`` and the lineage
+        cut, so a lost executor costs no recomputation and later plans start from a plain scan
+        (cheaper to plan than a cached plan).  ``persist`` keeps blocks in executors (recomputed
+        from lineage when lost); ``none`` leaves the plan as is."""
         mode = self.materialize
-        if mode == "auto":
-            conf = self.spark.sparkContext.getConf()
-            mode = "checkpoint" if (conf.get("spark.checkpoint.dir", None)
-                                    or self.spark.sparkContext.getCheckpointDir()) else "persist"
         if mode == "checkpoint":
             shared_dir(self.spark)
             return df.checkpoint(eager=True)
