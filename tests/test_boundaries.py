@@ -133,3 +133,18 @@ def test_single_message_thread_dropped_and_kept(spark):
     j1 = ThreadJob(frame(spark, rows), P, min_messages=1)
     ev = {r.thread_key: r.n for r in j1.events.groupBy("thread_key").agg(F.count("*").alias("n")).collect()}
     assert ev == {"one": 1, "two": 2}
+
+
+def test_find_folder_by_name_substring_semantics(spark):
+    from threadlens.operators import lifecycle as LC
+    names = spark.createDataFrame([
+        ("a", "2024-01-01 - Plan 1"),        # also inside '... Plan 13_...' -> first by name
+        ("b", "2024-01-01 - Plan 13"),
+        ("c", 'CA order "A" <1'),             # cleaned by the slug -> never found
+        ("d", "2024-01-02 - " + "x" * 60),    # cut at 50 chars -> never found
+    ], "thread_key string, thread_name string")
+    folders = spark.createDataFrame([("2024-01-01 - Plan 13_0000000b",), ("2024-01-01 - Plan 1_0000000a",),
+                                     ('CA order _A_ _1_0000000c',), ("2024-01-02 - " + "x" * 37 + "_0000000d",),
+                                     ("copy of 2024-01-01 - Plan 1_00000009",)], "folder string")
+    got = {r.thread_key: r.found_folder for r in LC.find_folder_by_name(names, folders).collect()}
+    assert got == {"a": "2024-01-01 - Plan 13_0000000b", "b": "2024-01-01 - Plan 13_0000000b"}

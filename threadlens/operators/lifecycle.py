@@ -93,13 +93,44 @@ def mode_both(new_meta: DataFrame, existing_meta: DataFrame) -> DataFrame:
     return u.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_run")
 
 
+NAME_PREFIX_LEN = len("yyyy-MM-dd - ")
+NAME_PREFIX_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} - $"
+
+
+def folder_name_candidates(folders: DataFrame) -> DataFrame:
+    """Every substring of each folder name that starts where a thread-name date prefix
+    ('yyyy-MM-dd - ') starts.  A folder name is at most 59 chars, so a folder yields a bounded
+    handful of rows; any name of the form X1 produces that occurs in a folder name is one of them."""
+    n = F.length("folder")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(n - NAME_PREFIX_LEN + 1, F.lit(1))),
+                      lambda p: F.substring(F.col("folder"), p, F.lit(NAME_PREFIX_LEN)).rlike(NAME_PREFIX_RE))
+    return (folders.select("folder", F.explode(starts).alias("p"))
+            .select("folder", F.explode(F.sequence(F.col("p") + NAME_PREFIX_LEN - 1, n)).alias("e"), "p")
+            .select("folder", F.substring(F.col("folder"), F.col("p"), F.col("e") - F.col("p") + 1).alias("cand"))
+            .distinct())
+
+
+def find_folder_by_name(names: DataFrame, folders: DataFrame) -> DataFrame:
+    """J4 as the original looks it up: the first folder (by name) whose name contains the thread
+    name.  Exact for thread names (they all begin with the date prefix); an equi-join of names
+    against the bounded candidate substrings, never a pairing of every thread with every folder."""
+    hits = names.select("thread_key", "thread_name").join(
+        folder_name_candidates(folders).withColumnRenamed("cand", "thread_name"), "thread_name")
+    return hits.groupBy("thread_key").agg(F.min("folder").alias("found_folder"))
+
+
 def find_thread(scored: DataFrame, routes: DataFrame) -> DataFrame:
-    """The thread's folder by key (equi-join); ``name_in_folder`` tells whether the
-    name-substring lookup of the original would have found it."""
+    """The thread's own folder by key (equi-join), and ``found_folder``: the first folder of
+    the active root whose name contains the thread name (the original's lookup, which misses
+    names that the folder slug cut or cleaned)."""
     f = routes.select("thread_key", "target_root", "target_folder").distinct()
-    return scored.select("thread_key", "thread_name").join(f, "thread_key", "left").select(
-        "thread_key", "thread_name", "target_root", "target_folder",
-        F.col("target_folder").contains(F.col("thread_name")).alias("name_in_folder"))
+    active = routes.filter(F.col("target_root") == C.ACTIVE_ROOT).select(F.col("target_folder").alias("folder")).distinct()
+    found = find_folder_by_name(scored, active)
+    return (scored.select("thread_key", "thread_name").join(f, "thread_key", "left")
+            .join(found, "thread_key", "left")
+            .select("thread_key", "thread_name", "target_root", "target_folder",
+                    F.col("target_folder").contains(F.col("thread_name")).alias("name_in_folder"),
+                    "found_folder"))
 
 
 def fallback_summary(meta: DataFrame) -> DataFrame:

@@ -540,7 +540,9 @@ def q_message_routing(spark, sf):
 
 @register("find_thread", f"""
 SELECT s.thread_key, s.thread_name, r.target_root, r.target_folder,
-       contains(r.target_folder, s.thread_name) AS name_in_folder
+       contains(r.target_folder, s.thread_name) AS name_in_folder,
+       (SELECT min(a.target_folder) FROM routing a
+        WHERE a.target_root = '{C.ACTIVE_ROOT}' AND contains(a.target_folder, s.thread_name)) AS found_folder
 FROM scored s LEFT JOIN (SELECT DISTINCT thread_key, target_root, target_folder FROM routing) r USING (thread_key)""")
 def q_find_thread(spark, sf):
     j = job(spark, sf)
