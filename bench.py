@@ -41,9 +41,8 @@ def main() -> None:
 
         def replicated(spark_, sf):
             m = base(spark_, sf)
-            copies = spark_.range(rep).withColumnRenamed("id", "_copy")
             # each copy is a distinct set of conversations (ids shifted), same texts
-            return (m.join(F.broadcast(copies), how="cross")
+            return (m.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(rep - 1))))
                     .withColumn("message_id", F.col("message_id") + F.col("_copy") * F.lit(10**12))
                     .withColumn("conversation_id", F.concat(F.col("conversation_id"), F.lit("-"),
                                                             F.col("_copy").cast("string")))
