@@ -14,7 +14,21 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 
-_WS_CLASS = "[" + "".join(C.PY_WHITESPACE) + "]+"
+def _char_ranges(chars: str) -> str:
+    """Regex class body of contiguous code-point ranges (fewer tests per character)."""
+    cps = sorted(ord(c) for c in chars)
+    out, i = [], 0
+    while i < len(cps):
+        j = i
+        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+            j += 1
+        lo, hi = cps[i], cps[j]
+        out.append(f"\\x{{{lo:x}}}" if lo == hi else f"\\x{{{lo:x}}}-\\x{{{hi:x}}}")
+        i = j + 1
+    return "".join(out)
+
+
+_WS_CLASS = "[" + _char_ranges(C.PY_WHITESPACE) + "]+"
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -152,8 +166,7 @@ def clean_body(body) -> Column:
     """Body without greeting/signature/rule lines, single-spaced.
 
     A non-empty line is dropped when it is a short signature or a rule line;
-    a short greeting is dropped only while fewer than two lines were kept, which
-    equals: before the second kept line that is not a greeting.
+    a short greeting is dropped only while fewer than two lines were kept.
     """
     greetings, signatures = any_regex(C.GREETINGS), any_regex(C.SIGNATURES)
 
@@ -169,12 +182,15 @@ def clean_body(body) -> Column:
     lowered = F.transform(stripped, lambda t: F.struct(t.alias("text"), F.lower(t).alias("lt"),
                                                          F.length(t).alias("n")))
     lines = F.transform(lowered, feats)
-    idx = F.transform(lines, lambda x, i: F.when(x["ok"] & ~x["greet"], i).otherwise(F.lit(-1)))
-    second = F.coalesce(F.try_element_at(F.filter(idx, lambda i: i >= 0), F.lit(2)), F.lit(1 << 30))
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x["text"].alias("text"),
-                                                                (x["ok"] & (~x["greet"] | (i > second))).alias("keep"))),
-                    lambda x: x["keep"])
-    joined = F.array_join(F.transform(kept, lambda x: x["text"]), " ")
+    # one left fold over the classified lines: a greeting is kept once two lines were kept
+    init = F.struct(F.lit(0).alias("c"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc, x):
+        keep = x["ok"] & (~x["greet"] | (acc["c"] >= 2))
+        return F.struct(F.when(keep, acc["c"] + 1).otherwise(acc["c"]).alias("c"),
+                        F.when(keep, F.concat(acc["parts"], F.array(x["text"]))).otherwise(acc["parts"])
+                        .alias("parts"))
+    joined = F.aggregate(lines, init, step, lambda acc: F.array_join(acc["parts"], " "))
     return strip(F.regexp_replace(joined, _WS_CLASS, " "))
 
 
