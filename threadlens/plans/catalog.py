@@ -35,11 +35,11 @@ def job(spark: SparkSession, sf_dir: str, **kw) -> ThreadJob:
     return j
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, adapter: str = O.ADAPTER):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = O.with_base(sql)
+            ORACLE[name] = O.with_base(sql, adapter=adapter)
         return fn
     return deco
 
@@ -710,3 +710,29 @@ def q_model_summary(spark, sf):
 def q_summary_method(spark, sf):
     j = job(spark, sf)
     return M.summary_method(j.summary, j.model_summaries()).select("thread_key", "method", "executive_summary")
+
+
+# --------------------------------------------------------------------------- long multilingual texts
+from ..sources.messages import messages_from_documents  # noqa: E402
+
+
+def doc_job(spark, sf) -> ThreadJob:
+    key = (id(spark), sf, "documents")
+    j = _JOBS.get(key)
+    if j is None:
+        j = ThreadJob(messages_from_documents(spark, sf), P)
+        _JOBS[key] = j
+    return j
+
+
+@register("document_summary", f"SELECT {SUMMARY_SQL} FROM summary", adapter=O.DOCUMENT_ADAPTER)
+def q_document_summary(spark, sf):
+    """X23 over the documents table: 20 threads of long multi-line texts in four languages."""
+    return summary_cols(doc_job(spark, sf).summary)
+
+
+@register("document_clean_body", "SELECT message_id, clean_body FROM cb", adapter=O.DOCUMENT_ADAPTER)
+def q_document_clean_body(spark, sf):
+    """X18 over whole documents (up to tens of thousands of characters)."""
+    m = messages_from_documents(spark, sf)
+    return m.select("message_id", X.clean_body(F.coalesce(F.col("body"), F.lit(""))).alias("clean_body"))

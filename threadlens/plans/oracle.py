@@ -100,7 +100,17 @@ FROM conversations
 """
 
 
-def base_ctes(p: Params = P) -> str:
+DOCUMENT_ADAPTER = """
+SELECT doc_id AS message_id, source AS conversation_id, 'Inbox' AS folder, 43 AS item_class, lang AS sender,
+       lang || '@example.com' AS sender_address, NULL::VARCHAR AS cc,
+       'Document ' || cast(doc_id AS varchar) AS subject,
+       TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * cast(doc_id AS int) AS received_time,
+       text AS body, 0 AS attachment_count
+FROM documents
+"""
+
+
+def base_ctes(p: Params = P, adapter: str = ADAPTER) -> str:
     ex = ", ".join(q(x) for x in p.excluded_folders)
     where = f"WHERE folder IS NULL OR folder NOT IN ({ex})" if ex else ""
     lb, ls = "lb", "ls"
@@ -127,7 +137,7 @@ def base_ctes(p: Params = P) -> str:
     for pre in C.SUBJECT_PREFIXES:
         name = strip(f"replace({name}, {q(pre)}, '')")
     return f"""
-msgs AS ({ADAPTER}),
+msgs AS ({adapter}),
 kept AS (SELECT *, coalesce(conversation_id, chr(0)) AS thread_key FROM msgs {where}),
 f0 AS (SELECT thread_key, conversation_id, message_id, received_time, folder, item_class,
               coalesce(sender, 'Unknown') AS sender, sender_address, cc, coalesce(subject, '') AS subject,
@@ -421,5 +431,5 @@ attention AS (SELECT * FROM summary WHERE NOT is_archived AND {attention_sql(p)}
 """
 
 
-def with_base(select: str, p: Params = P) -> str:
-    return "WITH " + base_ctes(p) + summary_ctes(p) + extra_ctes(p) + select
+def with_base(select: str, p: Params = P, adapter: str = ADAPTER) -> str:
+    return "WITH " + base_ctes(p, adapter) + summary_ctes(p) + extra_ctes(p) + select

@@ -125,3 +125,22 @@ def split_rejects(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = tagged.filter(F.col("reject_reason").isNull()).select(*MESSAGE_COLUMNS)
     bad = tagged.filter(F.col("reject_reason").isNotNull())
     return good, bad
+
+
+def messages_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long multi-line multilingual bodies from ``documents``: conversation = source,
+    sender = language, one message per document, an hour apart by id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(
+        F.col("doc_id").alias("message_id"),
+        F.col("source").alias("conversation_id"),
+        F.lit("Inbox").alias("folder"),
+        F.lit(C.MAIL_ITEM_CLASS).cast("int").alias("item_class"),
+        F.col("lang").alias("sender"),
+        F.concat(F.col("lang"), F.lit("@example.com")).alias("sender_address"),
+        F.lit(None).cast("string").alias("cc"),
+        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("subject"),
+        F.col("text").alias("body"),
+        F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '1' HOUR * cast(doc_id AS int)").alias("received_time"),
+        F.lit(0).cast("int").alias("attachment_count"),
+    )
