@@ -736,3 +736,29 @@ def q_document_clean_body(spark, sf):
     """X18 over whole documents (up to tens of thousands of characters)."""
     m = messages_from_documents(spark, sf)
     return m.select("message_id", X.clean_body(F.coalesce(F.col("body"), F.lit(""))).alias("clean_body"))
+
+
+# --------------------------------------------------------------------------- high-volume threads
+from ..sources.messages import messages_from_events  # noqa: E402
+
+
+def event_job(spark, sf) -> ThreadJob:
+    key = (id(spark), sf, "events")
+    j = _JOBS.get(key)
+    if j is None:
+        j = ThreadJob(messages_from_events(spark, sf), P)
+        _JOBS[key] = j
+    return j
+
+
+@register("event_thread_scores", """
+SELECT thread_key, email_count, participant_count, start_date, end_date, duration_days, days_since_last,
+       priority_score, priority_level, array_to_string(priority_factors, ' | ') AS factors, current_status,
+       next_action FROM scored""", adapter=O.EVENTS_ADAPTER)
+def q_event_thread_scores(spark, sf):
+    """X5-X9, X12 over the events table: ~65 messages per user thread, microsecond times,
+    so the volume rule (more than 10 messages) and fractional ISO dates are exercised."""
+    return event_job(spark, sf).scored.select(
+        "thread_key", "email_count", "participant_count", "start_date", "end_date", "duration_days",
+        "days_since_last", "priority_score", "priority_level", joined("priority_factors").alias("factors"),
+        "current_status", "next_action")

@@ -110,6 +110,15 @@ FROM documents
 """
 
 
+EVENTS_ADAPTER = """
+SELECT event_id AS message_id, 'user-' || cast(user_id AS varchar) AS conversation_id, 'Inbox' AS folder,
+       43 AS item_class, event_type AS sender, event_type || '@example.com' AS sender_address,
+       NULL::VARCHAR AS cc, 'Event ' || event_type AS subject, props AS body,
+       CAST(ts AS TIMESTAMP) AS received_time, 0 AS attachment_count
+FROM events
+"""
+
+
 def base_ctes(p: Params = P, adapter: str = ADAPTER) -> str:
     ex = ", ".join(q(x) for x in p.excluded_folders)
     where = f"WHERE folder IS NULL OR folder NOT IN ({ex})" if ex else ""
