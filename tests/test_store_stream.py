@@ -94,3 +94,26 @@ def test_write_report_and_timeline_lines(spark, tmp_path):
     out = ST.write_lines(tl, str(tmp_path / "timeline"), ["thread_key", "line_no"], ["folder"])
     c1 = [r.value for r in spark.read.text(f"{out}/folder=c1").collect()]
     assert c1[0].startswith("TIMELINE: ") and c1[4] == "Please confirm?" and c1[-1] == "Attachments: 0"
+
+
+def test_rejects_and_fallback_from_json_source(spark, tmp_path):
+    from threadlens.operators import lifecycle as LC
+    from threadlens.sources.messages import read_messages
+    src = tmp_path / "messages.json"
+    src.write_text("\n".join([
+        json.dumps({"message_id": 1, "conversation_id": "c1", "sender": "a", "subject": "RE: Plan",
+                    "body": "Can you confirm?", "received_time": "2024-04-09T08:00:00"}),
+        json.dumps({"message_id": 2, "conversation_id": "c1", "sender": "b", "subject": "Plan",
+                    "body": "ok", "received_time": "2024-04-09T09:00:00"}),
+        json.dumps({"message_id": 3, "conversation_id": "c1", "sender": "c", "subject": "Plan",
+                    "body": "late", "received_time": None}),
+        "{not json at all",
+    ]))
+    job = ThreadJob(read_messages(spark, str(src), fmt="json"), P)
+    rej = {(r.message_id, r.reject_reason) for r in job.rejects.collect()}
+    assert rej == {(3, "no received_time"), (None, "malformed")}
+    assert job.meta.count() == 1 and job.meta.first().email_count == 2      # the scan goes on
+    bad = job.rejects.select(F.col("conversation_id").alias("thread_key")).dropna().distinct()
+    fb = LC.fallback_summary(job.scored.join(bad, "thread_key", "left_semi")).collect()
+    assert len(fb) == 1 and fb[0].current_status == C.FALLBACK_STATUS
+    assert fb[0].executive_summary == "Thread with 2 emails" and fb[0].method == C.METHOD_FALLBACK
