@@ -64,9 +64,16 @@ def stakeholders(sender_counts: DataFrame, cap: int = C.CAP_STAKEHOLDERS) -> Dat
                                F.lit(" emails)")).alias("stakeholder"))
 
 
-def action_items(features: DataFrame, cap: int = C.CAP_ACTIONS, n_messages: int = C.ACTION_MESSAGES) -> DataFrame:
-    """request/question lines of the last 3 messages, in message then line order, capped."""
-    last = last_messages(features, n_messages, ["action_lines"])
+LAST_COLUMNS = ["received_time", "sender", "subject", "preview", "action_lines"]
+
+
+def action_items(features: DataFrame, cap: int = C.CAP_ACTIONS, n_messages: int = C.ACTION_MESSAGES,
+                 last: DataFrame | None = None) -> DataFrame:
+    """request/question lines of the last 3 messages, in message then line order, capped.
+    ``last`` may be a wider last-messages table (e.g. the flow's last 5) to share its shuffle."""
+    if last is None:
+        last = last_messages(features, n_messages, ["action_lines"])
+    last = last.filter(F.col("from_end") <= n_messages)
     lines = last.select("thread_key", "pos", F.posexplode("action_lines").alias("line_pos", "action_item"))
     top = top_k(lines, ["thread_key"], [F.col("pos"), F.col("line_pos")], cap, "item_rank")
     return top.select("thread_key", "item_rank", "action_item")
@@ -95,9 +102,10 @@ def thread_issues(features: DataFrame, cap: int = C.CAP_ISSUES) -> DataFrame:
     return _first_appearance(it, cap, "issue_rank", "issue")
 
 
-def conversation_flow(features: DataFrame, n: int = C.FLOW_MESSAGES) -> DataFrame:
+def conversation_flow(features: DataFrame, n: int = C.FLOW_MESSAGES, last: DataFrame | None = None) -> DataFrame:
     """Last 5 messages as (date, sender, subject, preview), ascending."""
-    last = last_messages(features, n, ["received_time", "sender", "subject", "preview"])
+    if last is None:
+        last = last_messages(features, n, ["received_time", "sender", "subject", "preview"])
     return last.select("thread_key", F.col("pos").alias("flow_pos"), X.minute_text("received_time").alias("date"),
                        "sender", "subject", "preview")
 

@@ -132,9 +132,14 @@ class ThreadJob:
     def stakeholders(self) -> DataFrame:
         return self._kept_only(self.raw_stakeholders)
 
+    @cached_property
+    def last5(self) -> DataFrame:
+        """The last 5 messages of each thread (flow uses 5, action items the last 3 of them)."""
+        return E.last_messages(self.features, C.FLOW_MESSAGES, E.LAST_COLUMNS)
+
     @cached_property
     def raw_action_items(self) -> DataFrame:
-        return E.action_items(self.features)
+        return E.action_items(self.features, last=self.last5)
 
     @cached_property
     def action_items(self) -> DataFrame:
@@ -158,7 +163,7 @@ class ThreadJob:
 
     @cached_property
     def raw_flow(self) -> DataFrame:
-        return E.conversation_flow(self.features)
+        return E.conversation_flow(self.features, last=self.last5)
 
     @cached_property
     def flow(self) -> DataFrame:
