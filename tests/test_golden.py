@@ -89,3 +89,8 @@ def test_thread_name_prefix_removal_anywhere(spark):
 def test_slug(spark):
     df = spark.createDataFrame([('a/b:c*d?"e<f>g|h\\i', "12345678901")], "n string, i string")
     assert df.select(X.slug("n", "i")).first()[0] == "a_b_c_d__e_f_g_h_i_12345678"
+
+
+def test_folder_list_parameter():
+    assert C.parse_folder_list(" Sent Items, Deleted Items ,Archive") == ("Sent Items", "Deleted Items", "Archive")
+    assert C.parse_folder_list("") == () and C.parse_folder_list(None) == ()

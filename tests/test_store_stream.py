@@ -117,3 +117,14 @@ def test_rejects_and_fallback_from_json_source(spark, tmp_path):
     fb = LC.fallback_summary(job.scored.join(bad, "thread_key", "left_semi")).collect()
     assert len(fb) == 1 and fb[0].current_status == C.FALLBACK_STATUS
     assert fb[0].executive_summary == "Thread with 2 emails" and fb[0].method == C.METHOD_FALLBACK
+
+
+def test_folder_layout_writer(spark, tmp_path):
+    rows = [msg(1, "c1", ago(days=1), body="Can you check?"), msg(2, "c1", ago(hours=2))]
+    job = ThreadJob(frame(spark, rows), P)
+    md = job.markdown.withColumn("folder", F.lit("2024-04-09 - Plan_c1"))
+    path = ST.write_folders(md, str(tmp_path / "out"))
+    meta = spark.read.json(f"{path}/metadata/root=threads")
+    doc = spark.read.text(f"{path}/summary/root=threads", wholetext=True).first().value
+    assert meta.first().email_count == 2 and meta.first().folder == "2024-04-09 - Plan_c1"
+    assert doc.startswith("# 2024-04-09 - Plan")

@@ -129,8 +129,6 @@ RESPONSE_MARKER = "Response Needed"
 
 # other texts
 UNKNOWN_SENDER = "Unknown"
-UNKNOWN_THREAD = "Unknown Thread"
-STATUS_UNKNOWN = "Unknown"
 FALLBACK_STATUS = "Unable to analyze"
 FALLBACK_NEXT_ACTION = "Review thread manually"
 METHOD_RULES = "rule_based"
@@ -220,4 +218,4 @@ class Params:
 
 
 # Parameters used by the fixtures, tests and the registered queries.
-TEST_PARAMS = Params(excluded_folders=("Customs",))
+TEST_PARAMS = Params(excluded_folders=parse_folder_list("Customs"))

@@ -163,12 +163,9 @@ def timeline_lines(meta: DataFrame, seq_features: DataFrame) -> DataFrame:
         _line(base + 1, F.concat(L("["), X.minute_text("received_time"), L("] "), F.col("sender"))),
         _line(base + 2, F.col("clean_snippet")),
         _line(base + 3, L("")))).alias("x")).select("thread_key", "x.line_no", "x.line")
-    fb = F.lit(3) + F.col("email_count") * 3
-    footer = meta.select("thread_key", F.explode(F.array(
-        _line(fb + 1, L(rule)),
-        _line(fb + 2, F.concat(L("Total Emails: "), F.col("email_count").cast("string"))),
-        _line(fb + 3, F.concat(L("Participants: "), F.col("participant_count").cast("string"))),
-        _line(fb + 4, F.concat(L("Duration: "), F.col("duration_days").cast("string"), L(" days"))),
-        _line(fb + 5, F.concat(L("Attachments: "), F.col("total_attachments").cast("string"))),
-    )).alias("x")).select("thread_key", "x.line_no", "x.line")
+    # footer: the rule, then the four-line stats box
+    footer = meta.select("thread_key", "email_count",
+                         F.posexplode(F.split(F.concat(L(rule + "\n"), stats_text()), "\n", -1)).alias("i", "line"))
+    footer = footer.select("thread_key", (F.lit(4) + F.col("email_count") * 3 + F.col("i")).cast("bigint")
+                           .alias("line_no"), "line")
     return header.unionByName(msgs).unionByName(footer)

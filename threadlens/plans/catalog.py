@@ -76,7 +76,9 @@ def q_exclude_folders(spark, sf):
 
 @register("identify_threads", "SELECT thread_key, conversation_id, email_count FROM meta")
 def q_identify_threads(spark, sf):
-    return job(spark, sf).meta.select("thread_key", "conversation_id", "email_count")
+    from ..operators.threads import identify_threads
+    return identify_threads(job(spark, sf).features, P.min_messages).select(
+        "thread_key", "conversation_id", "email_count")
 
 
 @register("thread_metadata", f"SELECT {META_COLS_SQL} FROM meta")
