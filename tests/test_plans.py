@@ -72,3 +72,9 @@ def test_sequence_window_split_by_bucket(spark):
     plan = _plan(catalog.QUERIES["message_sequence"](spark, SF)).toString()
     assert "_bkt" in plan
     assert os.path.exists(SF)
+
+
+def test_no_cross_or_nested_loop_joins(spark):
+    for name, fn in catalog.QUERIES.items():
+        plan = _plan(fn(spark, SF)).toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
