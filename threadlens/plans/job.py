@@ -88,7 +88,12 @@ class ThreadJob:
         mode = self.materialize
         if mode == "checkpoint":
             shared_dir(self.spark)
-            return df.checkpoint(eager=True)
+            # a reliable checkpoint recomputes its input when writing the files unless the
+            # input is cached: hold it for the duration of the write only
+            held = df.persist(StorageLevel.MEMORY_AND_DISK)
+            cp = held.checkpoint(eager=True)
+            held.unpersist()
+            return cp
         if mode == "persist":
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         return df
