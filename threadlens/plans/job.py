@@ -2,10 +2,12 @@
 
 Stages are memoised DataFrames, so every output of one job derives from the
 same featurised table.  That table (bounded features, no bodies) and the one-row-
-per-thread metadata are the only things materialised: checkpointed into the
-shared ``spark.checkpoint.dir`` (lineage cut; a scratch folder is registered
-only when the session names none, as in local tests).  Everything downstream
-is plain DataFrame operators.
+per-thread metadata are the only things materialised, both in the shared
+``spark.checkpoint.dir`` (a scratch folder is registered only when the session
+names none, as in local tests): the features as a written parquet table
+(computed once, read back column-pruned), the metadata as a checkpoint (keeps
+its hash partitioning on thread_key).  Lineage is cut at both.  Everything
+downstream is plain DataFrame operators.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from ..operators import render as R
 from ..operators import scoring as S
 from ..operators import sequence as Q
 from ..operators import threads as T
-from ..session import shared_dir
+from ..session import scratch_path, shared_dir
 from ..sources.messages import split_rejects
 
 
@@ -71,7 +73,14 @@ class ThreadJob:
 
     @cached_property
     def features(self) -> DataFrame:
-        return self._materialize(FE.featurize(self.kept, self.params))
+        f = FE.featurize(self.kept, self.params)
+        if self.materialize == "checkpoint":
+            # written once as a parquet table in the shared folder and read back: computed a
+            # single time, lineage cut, and every branch reads only the columns it needs
+            path = scratch_path(self.spark, "features")
+            f.write.parquet(path)
+            return self.spark.read.parquet(path)
+        return self._materialize(f)
 
     # -- thread level -------------------------------------------------------
     @cached_property
@@ -88,12 +97,7 @@ class ThreadJob:
         mode = self.materialize
         if mode == "checkpoint":
             shared_dir(self.spark)
-            # a reliable checkpoint recomputes its input when writing the files unless the
-            # input is cached: hold it for the duration of the write only
-            held = df.persist(StorageLevel.MEMORY_AND_DISK)
-            cp = held.checkpoint(eager=True)
-            held.unpersist()
-            return cp
+            return df.checkpoint(eager=True)
         if mode == "persist":
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         return df
