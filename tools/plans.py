@@ -25,7 +25,7 @@ def main() -> None:
     out = ["# Physical plans of the headline queries", "",
            "Generated by `tools/plans.py` (AQE off to show the static plan; at run time AQE may turn",
            "small joins into broadcast joins after measuring their size).  Features and thread metadata",
-           "appear as checkpointed scans (`Scan ExistingRDD`).", ""]
+           "appear as a parquet scan of the written feature table and a checkpointed scan (`Scan ExistingRDD`).", ""]
     for name in NAMES:
         buf = io.StringIO()
         with redirect_stdout(buf):
