@@ -20,6 +20,16 @@ from .. import config as C
 
 MAX_SUMMARY_CHARS = 150
 
+# The batch functions below run in Python workers.  Ship this module's code with the task
+# (pickled by value) so workers need no installed copy of the package.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: the package must then be on the workers' path
+    pass
+
 
 def lead_sentences(texts: pd.Series) -> pd.Series:
     """Deterministic stand-in summariser: the leading text cut at 150 chars on a word boundary."""
