@@ -1,0 +1,9 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def T():
+    """(rows, schema) -> DataFrame"""
+    def make(spark, rows, schema):
+        return spark.createDataFrame(rows, schema)
+    return make
