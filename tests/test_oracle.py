@@ -10,6 +10,7 @@ from conftest import ROOT  # noqa: F401
 from tools.compare import TABLES, digest
 
 import __spark_entry__ as E
+from threadlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +26,8 @@ def con():
 
 
 def test_every_query_has_an_oracle_or_is_a_model_hook():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    assert set(catalog.QUERIES) <= set(E.queries()) and set(catalog.ORACLE) <= set(E.oracle_sql())
+    missing = set(catalog.QUERIES) - set(catalog.ORACLE)
     assert missing == {"model_summary", "summary_method"}
 
 
@@ -34,7 +36,7 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and "priority_score" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     srows, scols = [tuple(r) for r in df.collect()], df.columns
