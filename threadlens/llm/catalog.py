@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import packing, secret_scan, sharding, simhash, urlrules
+from . import decontam, licenses, packing, secret_scan, sharding, simhash, urlrules, vecjoin
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_packing": packing.op4_packing,
     "op6_url_filter": urlrules.op6_url_filter,
+    "op7_decontamination": decontam.op7_decontamination,
+    "op8_embedding_dedup": vecjoin.op8_embedding_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE = {
+    "op3_license_scan": licenses.ORACLE,
     "op6_url_filter": urlrules.ORACLE,
+    "op7_decontamination": decontam.ORACLE,
 }
