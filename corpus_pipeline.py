@@ -11,9 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from threadlens.llm.common import stored
+from threadlens.llm.decontam import drop_contaminated
 from threadlens.llm.packing import pack_documents
 from threadlens.llm.secret_scan import redact_documents
 from threadlens.llm.simhash import keep_one_per_component
+from threadlens.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go (score 0.7 or more)."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +28,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_per_component(docs, width=3, max_bits=2)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts (and n_chars follows); every document stays."""
     return redact_documents(docs)
@@ -31,7 +43,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs).withColumnRenamed("id", "doc_id")
 
 
-STAGES = [("simhash_dedup", near_dedup), ("secret_scans", secret_scans), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("simhash_dedup", near_dedup), ("decontamination", decontamination),
+          ("secret_scans", secret_scans), ("packing", packing)]
 
 ORACLE_SQL = None
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, packing, secret_scan, sharding, simhash, urlrules, vecjoin
+from . import decontam, licenses, maxent, packing, secret_scan, sharding, simhash, toxicity, urlrules, vecjoin
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_packing": packing.op4_packing,
+    "op5_lm_score": maxent.op5_lm_score,
     "op6_url_filter": urlrules.op6_url_filter,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_embedding_dedup": vecjoin.op8_embedding_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE = {
