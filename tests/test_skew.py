@@ -11,7 +11,7 @@ from conftest import AS_OF, frame, msg
 from threadlens.config import Params
 from threadlens.plans.job import ThreadJob
 
-P = Params(as_of=AS_OF, seq_bucket_seconds=3600)
+P = Params(as_of=AS_OF)
 
 
 @pytest.fixture(scope="module")
@@ -34,10 +34,38 @@ def test_sequence_equals_plain_window(hot):
     assert seq.exceptAll(plain).count() == 0 and plain.exceptAll(seq).count() == 0
 
 
-def test_hot_thread_spans_many_window_partitions(hot):
-    n = hot.sequenced.filter("thread_key = 'hot'").select(
-        F.floor(F.unix_micros(F.col("received_time").cast("timestamp")) / 3_600_000_000)).distinct().count()
-    assert n > 40  # the hot thread's ordered work is split across > 40 (thread, hour) windows
+def test_hot_thread_is_spread_over_tasks(spark):
+    """3,000 messages of one thread, 1,500 of them at one time: no range holds more than a few
+    times its share, and the window sits on an exchange by (key, range)."""
+    from threadlens.operators import sequence as Q
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled",
+                                           "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = [(None if i % 2 else "hot", AS_OF if i < 3000 else AS_OF + timedelta(hours=i), i) for i in range(6000)]
+        df = spark.createDataFrame(rows, "thread_key string, received_time timestamp_ntz, message_id long").repartition(20)
+        seq = Q.message_sequence(df.withColumn("thread_key", F.coalesce("thread_key", F.lit("\0"))))
+        plan = seq._jdf.queryExecution().executedPlan().initialPlan().toString()
+        assert "hashpartitioning(thread_key" in plan and "_bkt" in plan.split("Window", 1)[1].split("Exchange", 1)[1].split("]")[0]
+        work = spark.read.parquet(_tables(spark, "sequence-ranges")[-1])
+        sizes = [r["count"] for r in work.groupBy("thread_key", "_bkt").count().collect()]
+        assert sum(sizes) == 6000 and max(sizes) <= 3 * 6000 / 16
+        got = seq.groupBy("thread_key").agg(F.min("seq"), F.max("seq"), F.count_distinct("seq")).collect()
+        assert [tuple(r)[1:] for r in got] == [(1, 3000, 3000)] * 2
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def _tables(spark, name):
+    import glob
+    import os
+
+    from threadlens.session import shared_dir
+    base = shared_dir(spark).removeprefix("file:")
+    return sorted(glob.glob(f"{base}/tables/{name}-*"), key=os.path.getmtime)
 
 
 def test_capped_lists_bounded(hot):

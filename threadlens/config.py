@@ -132,9 +132,9 @@ UNKNOWN_SENDER = "Unknown"
 FALLBACK_STATUS = "Unable to analyze"
 FALLBACK_NEXT_ACTION = "Review thread manually"
 METHOD_RULES = "rule_based"
-METHOD_MODEL = "huggingface_ai"
+METHOD_MODEL = "model"
 METHOD_FALLBACK = "fallback"
-REPORT_TITLE = "TRANSPORT THREAD MANAGER - SUMMARY REPORT"
+REPORT_TITLE = "THREAD SUMMARY REPORT"
 RULE_WIDTH = 80
 
 # list caps
@@ -194,9 +194,9 @@ class Params:
     attention_score: int = 40
     handle_today_score: int = 60
     long_running_days: int = 7
-    # width of the time buckets used to split one thread's ordered work
-    # (sequence numbers, next-message times) across many tasks
-    seq_bucket_seconds: int = 3600
+    report_title: str = REPORT_TITLE
+    # label of summaries written by a caller's model
+    model_label: str = METHOD_MODEL
     # the report and sheet list threads of the active root only
     report_active_only: bool = True
     keywords_urgent: tuple[str, ...] = KEYWORDS_URGENT

@@ -45,7 +45,7 @@ def per_session(fn):
     @functools.wraps(fn)
     def wrapper(*args):
         from pyspark import SparkContext
-        key = (id(SparkContext._active_spark_context), args)
+        key = (SparkContext._active_spark_context.applicationId, args)
         if key not in cache:
             cache[key] = fn(*args)
         return cache[key]
@@ -182,15 +182,16 @@ def clean_body(body) -> Column:
     lowered = F.transform(stripped, lambda t: F.struct(t.alias("text"), F.lower(t).alias("lt"),
                                                          F.length(t).alias("n")))
     lines = F.transform(lowered, feats)
-    # one left fold over the classified lines: a greeting is kept once two lines were kept
-    init = F.struct(F.lit(0).alias("c"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc, x):
-        keep = x["ok"] & (~x["greet"] | (acc["c"] >= 2))
-        return F.struct(F.when(keep, acc["c"] + 1).otherwise(acc["c"]).alias("c"),
-                        F.when(keep, F.concat(acc["parts"], F.array(x["text"]))).otherwise(acc["parts"])
-                        .alias("parts"))
-    joined = F.aggregate(lines, init, step, lambda acc: F.array_join(acc["parts"], " "))
+    # a greeting is kept from the second kept line on, that is, behind the second line that is eligible
+    # and no greeting; one-element arrays bind what is used inside a lambda, so it is computed once
+    def with_second(ls):
+        plain = F.filter(F.transform(ls, lambda x, i: F.when(x["ok"] & ~x["greet"], i)), lambda i: i.isNotNull())
+        return F.struct(ls.alias("lines"), F.coalesce(F.get(plain, F.lit(1)), F.lit(2**31 - 1)).alias("second"))
+
+    def kept_text(s):
+        kept = F.filter(s["lines"], lambda x, i: x["ok"] & (~x["greet"] | (i > s["second"])))
+        return F.array_join(F.transform(kept, lambda x: x["text"]), " ")
+    joined = F.get(F.transform(F.transform(F.array(lines), with_second), kept_text), F.lit(0))
     return strip(F.regexp_replace(joined, _WS_CLASS, " "))
 
 

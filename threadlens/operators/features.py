@@ -36,12 +36,15 @@ def with_thread_key(messages: DataFrame, key: str = "conversation_id") -> DataFr
     return messages.withColumn("thread_key", F.coalesce(F.col(key), F.lit(THREAD_KEY_NULL)))
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int) -> DataFrame:
-    """Spread an input that arrives in fewer partitions than the cluster has cores (a small
-    file of one row group) round-robin before the CPU-heavy map stage; large inputs already
-    have many splits and pass through untouched."""
-    n = df.rdd.getNumPartitions()
-    return df.repartition(min_partitions) if n < min_partitions else df
+def envelope(messages: DataFrame) -> DataFrame:
+    """The columns of a message (with ``thread_key``) that need no body, with the same defaults as
+    the features; lazy, so body-free outputs never read a body."""
+    return messages.select(
+        "thread_key", "conversation_id", "message_id", "received_time", "folder", "item_class",
+        F.coalesce(F.col("sender"), F.lit(C.UNKNOWN_SENDER)).alias("sender"), "sender_address", "cc",
+        F.coalesce(F.col("subject"), F.lit("")).alias("subject"),
+        F.coalesce(F.col("attachment_count"), F.lit(0)).cast("int").alias("attachment_count"),
+        F.struct("received_time", "message_id").alias("ord"))
 
 
 @X.per_session
@@ -121,19 +124,22 @@ def timeline_features(messages: DataFrame) -> DataFrame:
     return messages.select(*_timeline_columns())
 
 
-def keyword_hits(messages: DataFrame, lists: dict[str, tuple[str, ...]], broadcast_limit: int = 10_000) -> DataFrame:
+KEYWORD_CHUNK = 500
+
+
+def keyword_hits(messages: DataFrame, lists: dict[str, tuple[str, ...]]) -> DataFrame:
     """(message_id, list_name, keyword) for every keyword contained in the lower-cased
-    subject + ' ' + body.  Lists are parameters of known size: up to ``broadcast_limit``
-    keywords they are folded into one array filter per row (no join); beyond it the
-    keyword table is broadcast -- its size is bounded by that same check -- and joined
-    on ``contains``."""
+    subject + ' ' + body.  One array filter per KEYWORD_CHUNK keywords, whatever their number:
+    no join, nothing broadcast."""
     text = F.lower(F.concat_ws(" ", F.coalesce(F.col("subject"), F.lit("")), F.coalesce(F.col("body"), F.lit(""))))
     pairs = [(name, kw) for name, kws in lists.items() for kw in kws]
-    base = messages.select("message_id", text.alias("_t"))
-    if len(pairs) <= broadcast_limit:
-        arr = F.array(*[F.struct(F.lit(n).alias("list_name"), F.lit(k).alias("keyword")) for n, k in pairs])
-        return base.select("message_id", F.explode(F.filter(arr, lambda x: F.col("_t").contains(x["keyword"])))
-                           .alias("h")).select("message_id", "h.list_name", "h.keyword")
-    kw = messages.sparkSession.createDataFrame(pairs, "list_name string, keyword string")
-    return base.join(F.broadcast(kw), F.col("_t").contains(F.col("keyword"))).select(
-        "message_id", "list_name", "keyword")
+
+    def hits(some):
+        arr = F.array(*[F.struct(F.lit(n).alias("list_name"), F.lit(k).alias("keyword")) for n, k in some])
+        return F.filter(arr, lambda x: F.col("_t").contains(x["keyword"]))
+    chunks = [hits(pairs[i:i + KEYWORD_CHUNK]) for i in range(0, len(pairs), KEYWORD_CHUNK)]
+    if not chunks:
+        return messages.select("message_id", F.lit("").alias("list_name"), F.lit("").alias("keyword")).limit(0)
+    found = chunks[0] if len(chunks) == 1 else F.concat(*chunks)
+    return (messages.select("message_id", text.alias("_t")).select("message_id", F.explode(found).alias("h"))
+            .select("message_id", "h.list_name", "h.keyword"))

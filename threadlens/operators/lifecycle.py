@@ -19,27 +19,32 @@ from .features import mail_only
 L = F.lit
 
 
-def routing(kept_features: DataFrame, scored: DataFrame) -> DataFrame:
+def routing(messages: DataFrame, scored: DataFrame) -> DataFrame:
     """J5 (+X2, F6): every message of a kept thread -> target root and folder slug."""
     t = scored.select("thread_key", "is_archived",
                       X.slug("thread_name", "conversation_id").alias("target_folder"))
-    return kept_features.select("thread_key", "message_id").join(t, "thread_key").select(
+    return messages.select("thread_key", "message_id").join(t, "thread_key").select(
         "message_id", "thread_key",
         F.when(F.col("is_archived"), L(C.ARCHIVE_ROOT)).otherwise(L(C.ACTIVE_ROOT)).alias("target_root"),
         "target_folder")
 
 
-def stored_messages(messages: DataFrame, routes: DataFrame, root: str = C.ACTIVE_ROOT) -> DataFrame:
-    """Messages as they sit after routing: ``folder`` = thread folder under ``root``."""
-    r = routes.filter(F.col("target_root") == root).select("message_id", F.col("target_folder").alias("_f"))
-    return messages.join(r, "message_id").withColumn("folder", F.col("_f")).drop("_f")
+def stored_messages(messages: DataFrame, scored: DataFrame, root: str = C.ACTIVE_ROOT) -> DataFrame:
+    """Messages (``thread_key`` attached; features or envelope, no bodies) of the threads stored under
+    ``root``, as they sit after routing: ``folder`` = thread folder.  One join on the thread key against
+    the one-row-per-thread table."""
+    archived = F.col("is_archived") if root == C.ARCHIVE_ROOT else ~F.col("is_archived")
+    t = scored.filter(archived).select("thread_key", X.slug("thread_name", "conversation_id").alias("_f"))
+    return messages.join(t, "thread_key").withColumn("folder", F.col("_f")).drop("_f")
 
 
 def existing_scan(stored: DataFrame) -> DataFrame:
-    """S2 + F2 + F3: each folder is a thread; mail items only; conversation id defaults
-    to the folder name (sender / body defaults are applied by featurize)."""
+    """S2 + F2 + F3: each folder is a thread; mail items only; conversation id defaults to the folder
+    name (sender / body defaults are applied by featurize).  Features do not depend on the thread, so a
+    stored feature table is only given its new key."""
     m = mail_only(stored)
-    return m.withColumn("conversation_id", F.coalesce(F.col("conversation_id"), F.col("folder")))
+    return m.withColumn("conversation_id", F.coalesce(F.col("conversation_id"), F.col("folder"))) \
+        .withColumn("thread_key", F.col("folder"))
 
 
 def reply_queue(attention: DataFrame, summary: DataFrame) -> DataFrame:
@@ -56,11 +61,10 @@ def reply_queue(attention: DataFrame, summary: DataFrame) -> DataFrame:
         .otherwise(R.basic_reply()).alias("body"))
 
 
-def followup_marks(stored: DataFrame, attention: DataFrame, routes: DataFrame) -> DataFrame:
+def followup_marks(messages: DataFrame, attention: DataFrame) -> DataFrame:
     """Every mail item of the selected threads gets the follow-up request and status."""
-    sel = attention.select("thread_key").join(
-        routes.select("thread_key", "message_id"), "thread_key")
-    return mail_only(stored).select("message_id", "item_class").join(sel, "message_id").select(
+    return mail_only(messages).select("thread_key", "message_id").join(
+        attention.select("thread_key"), "thread_key", "left_semi").select(
         "thread_key", "message_id", L(C.FOLLOWUP_REQUEST).alias("flag_request"),
         L(C.FOLLOWUP_STATUS).alias("flag_status"))
 
@@ -112,25 +116,24 @@ def folder_name_candidates(folders: DataFrame) -> DataFrame:
 
 def find_folder_by_name(names: DataFrame, folders: DataFrame) -> DataFrame:
     """J4 as the original looks it up: the first folder (by name) whose name contains the thread
-    name.  Exact for thread names (they all begin with the date prefix); an equi-join of names
-    against the bounded candidate substrings, never a pairing of every thread with every folder."""
-    hits = names.select("thread_key", "thread_name").join(
-        folder_name_candidates(folders).withColumnRenamed("cand", "thread_name"), "thread_name")
-    return hits.groupBy("thread_key").agg(F.min("folder").alias("found_folder"))
-
-
-def find_thread(scored: DataFrame, routes: DataFrame) -> DataFrame:
-    """The thread's own folder by key (equi-join), and ``found_folder``: the first folder of
-    the active root whose name contains the thread name (the original's lookup, which misses
-    names that the folder slug cut or cleaned)."""
-    f = routes.select("thread_key", "target_root", "target_folder").distinct()
-    active = routes.filter(F.col("target_root") == C.ACTIVE_ROOT).select(F.col("target_folder").alias("folder")).distinct()
-    found = find_folder_by_name(scored, active)
-    return (scored.select("thread_key", "thread_name").join(f, "thread_key", "left")
-            .join(found, "thread_key", "left")
-            .select("thread_key", "thread_name", "target_root", "target_folder",
-                    F.col("target_folder").contains(F.col("thread_name")).alias("name_in_folder"),
-                    "found_folder"))
+    name.  Exact for thread names (they all begin with the date prefix): candidates are reduced to
+    their first folder before the join, so each name meets at most one row, however common it is."""
+    first = folder_name_candidates(folders).groupBy(F.col("cand").alias("thread_name")) \
+        .agg(F.min("folder").alias("found_folder"))
+    return names.select("thread_key", "thread_name").join(first, "thread_name").select("thread_key", "found_folder")
+
+
+def find_thread(scored: DataFrame) -> DataFrame:
+    """The thread's own folder, and ``found_folder``: the first folder of the active root whose
+    name contains the thread name (the original's lookup, which misses names that the folder slug cut
+    or cleaned).  All of it from the one-row-per-thread table."""
+    t = scored.select("thread_key", "thread_name",
+                      F.when(F.col("is_archived"), L(C.ARCHIVE_ROOT)).otherwise(L(C.ACTIVE_ROOT)).alias("target_root"),
+                      X.slug("thread_name", "conversation_id").alias("target_folder"))
+    active = t.filter(F.col("target_root") == C.ACTIVE_ROOT).select(F.col("target_folder").alias("folder")).distinct()
+    return t.join(find_folder_by_name(t, active), "thread_key", "left").select(
+        "thread_key", "thread_name", "target_root", "target_folder",
+        F.col("target_folder").contains(F.col("thread_name")).alias("name_in_folder"), "found_folder")
 
 
 def fallback_summary(meta: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ A caller-supplied batch function ``fn(texts: pandas.Series) -> pandas.Series``
 runs through ``mapInPandas`` over the bounded model input (X26), so a model is
 loaded once per task (not per row) and only <=1,003 chars per thread travel
 to Python.  No model ships with the library; ``lead_sentences`` is a
-deterministic stand-in.  A failed batch falls back to the rule text (method
-column says which text was used).
+deterministic stand-in.  A thread on which the model fails falls back to the rule
+text (method column says which text was used).
 """
 
 from __future__ import annotations
@@ -43,25 +43,32 @@ def lead_sentences(texts: pd.Series) -> pd.Series:
 
 
 def model_summary(model_input: DataFrame, fn: Callable[[pd.Series], pd.Series] = lead_sentences) -> DataFrame:
-    """M1: thread_key, model_summary (NULL when the batch failed)."""
+    """M1: thread_key, model_summary (NULL where the model failed on that thread; a failed batch is tried
+    again thread by thread)."""
     def run(batches):
+        def one(text):
+            try:
+                return pd.Series(fn(pd.Series([text], dtype=object)), dtype=object).iloc[0]
+            except Exception:  # noqa: BLE001 - this thread's model run failed; the rule text stands in
+                return None
+
         for pdf in batches:
             try:
                 out = fn(pdf["model_input"])
                 summary = pd.Series(out, index=pdf.index).astype(object)
-            except Exception:  # noqa: BLE001 - a failing model must not fail the job
-                summary = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            except Exception:  # noqa: BLE001 - one bad thread must not lose the batch: each by itself
+                summary = pd.Series([one(t) for t in pdf["model_input"]], index=pdf.index, dtype=object)
             yield pd.DataFrame({"thread_key": pdf["thread_key"], "model_summary": summary})
     return model_input.select("thread_key", "model_input").mapInPandas(
         run, "thread_key string, model_summary string")
 
 
-def summary_method(summary: DataFrame, model: DataFrame | None) -> DataFrame:
+def summary_method(summary: DataFrame, model: DataFrame | None, label: str = C.METHOD_MODEL) -> DataFrame:
     """M2: model text when present, else the rule text; ``method`` records which."""
     if model is None:
         return summary.withColumn("method", F.lit(C.METHOD_RULES))
     s = summary.drop("method").join(model, "thread_key", "left")
-    return s.withColumn("method", F.when(F.col("model_summary").isNotNull(), F.lit(C.METHOD_MODEL))
+    return s.withColumn("method", F.when(F.col("model_summary").isNotNull(), F.lit(label))
                         .otherwise(F.lit(C.METHOD_RULES))) \
         .withColumn("executive_summary", F.coalesce(F.col("model_summary"), F.col("executive_summary"))) \
         .drop("model_summary")

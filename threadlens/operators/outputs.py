@@ -14,7 +14,7 @@ from .. import config as C
 from ..config import Params
 from ..functions import text as X
 from . import scoring as S
-from .sequence import bucketed_row_number, time_bucket
+from .sequence import bucketed_row_number
 
 L = F.lit
 
@@ -91,9 +91,8 @@ def report_totals(meta: DataFrame) -> DataFrame:
 
 
 def number_by_start(meta: DataFrame, p: Params, out: str = "item_no") -> DataFrame:
-    """1-based number by start descending (ties by thread key), distributed over time buckets."""
-    return bucketed_row_number(meta, [], time_bucket("start_time", p.seq_bucket_seconds, descending=True),
-                               [F.col("start_time").desc(), F.col("thread_key")], out=out)
+    """1-based number by start descending (ties by thread key), distributed over ranges of that order."""
+    return bucketed_row_number(meta, [], [F.col("start_time").desc(), F.col("thread_key")], out=out)
 
 
 def report_lines(meta: DataFrame, p: Params) -> DataFrame:
@@ -111,7 +110,7 @@ def report_lines(meta: DataFrame, p: Params) -> DataFrame:
 
     nul_no, nul_key = L(None).cast("bigint"), L(None).cast("string")
     header = lines(tot, 0, nul_no, nul_key, [
-        L(C.REPORT_TITLE), L(rule), L(""), L(f"Generated: {as_of}"),
+        L(p.report_title), L(rule), L(""), L(f"Generated: {as_of}"),
         F.concat(L("Total Threads: "), F.col("total_threads").cast("string")), L("")])
     urg_h = lines(tot.filter(F.col("urgent_threads") > 0), 1, nul_no, nul_key, [
         L(""), F.concat(L(f"{C.FLAG_SYMBOLS[0]} URGENT THREADS ("), F.col("urgent_threads").cast("string"), L("):")),
@@ -164,8 +163,7 @@ def export_sheet(meta: DataFrame) -> DataFrame:
 def sender_palette(features: DataFrame) -> DataFrame:
     """A10: distinct senders per thread with a 0-based palette slot in sender order."""
     senders = features.select("thread_key", "sender").distinct()
-    return bucketed_row_number(senders, ["thread_key"], F.ascii("sender").cast("bigint"), [F.col("sender")],
-                               out="_slot").select("thread_key", "sender", (F.col("_slot") - 1).alias("color_slot"))
+    return bucketed_row_number(senders, ["thread_key"], [F.col("sender")], out="_slot").select("thread_key", "sender", (F.col("_slot") - 1).alias("color_slot"))
 
 
 def _subject_cut(c) -> Column:

@@ -2,11 +2,13 @@
 
 ``row_number() OVER (PARTITION BY thread ORDER BY time)`` sends a whole thread
 to one task; a thread holding a third of all messages would make that task the
-job.  Here the order is cut into time buckets: rows are numbered inside each
-(thread, bucket) window -- one task per bucket -- and a small per-bucket count
-table supplies each bucket's offset.  The result equals the plain window.
-Next-row values (``lead``) use the same split: inside the bucket, else the first
-row of the following bucket.
+job.  Here the whole input is cut into ranges of the total order (keys, order):
+Spark samples the order columns for bounds, so ranges are of like size however the
+keys or times are spread, equal times and a thread of NULL ids included.  Rows are
+numbered inside each (keys, range), exchanged on just that, and a small count table (one row
+per key and range) supplies the offsets.  The result equals the plain window.
+Next-row values (``lead``) use the same split: inside the range, else the first
+row of the key's following range.
 """
 
 from __future__ import annotations
@@ -16,51 +18,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..session import written
 
 
-def time_bucket(time_col, seconds: int, descending: bool = False) -> Column:
-    b = F.floor(X.ntz_micros(time_col) / F.lit(int(seconds) * 1_000_000)).cast("bigint")
-    return -b if descending else b
-
-
-def bucketed_row_number(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
-                        out: str = "seq", lead_col: str | None = None, lead_out: str = "next_value",
-                        lead_first: Column | None = None) -> DataFrame:
+def bucketed_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "seq",
+                        lead_col: str | None = None, lead_out: str = "next_value") -> DataFrame:
     """Add ``out`` = row_number over (keys, order) and optionally ``lead_out`` = next row's
-    ``lead_col``.  ``bucket`` must not decrease along ``order`` within ``keys``.
-    ``lead_first`` is the expression giving a bucket's first ``lead_col`` (min by order)."""
+    ``lead_col``.  The input is written once (range bounds are sampled from it, which would
+    otherwise compute it twice), and once more with each row's range, which fixes the ranges."""
     keys = list(keys)
-    d = df.withColumn("_bkt", bucket)
+    ranged = written(df, "sequence-input").repartitionByRange(*[F.col(k) for k in keys], *order)
+    d = written(ranged.withColumn("_bkt", F.spark_partition_id().cast("bigint")), "sequence-ranges")
+    counts = d.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    d = d.repartition(*keys, "_bkt")
     inner_w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     d = d.withColumn("_r", F.row_number().over(inner_w))
-    aggs = [F.count(F.lit(1)).alias("_n")]
     if lead_col is not None:
         d = d.withColumn("_lead_in", F.lead(lead_col).over(inner_w))
-        aggs.append(F.min_by(F.col(lead_col), F.struct(*order)).alias("_first_val")
-                    if lead_first is None else lead_first.alias("_first_val"))
-    counts = df.withColumn("_bkt", bucket).groupBy(*keys, "_bkt").agg(*aggs)
+    # at most one row per key and range
     ow = Window.partitionBy(*keys).orderBy("_bkt") if keys else Window.orderBy("_bkt")
-    counts = counts.withColumn(
+    offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(ow.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sel = [*keys, "_bkt", "_off"]
     if lead_col is not None:
-        counts = counts.withColumn("_next_first", F.lead("_first_val").over(ow))
-        sel.append("_next_first")
-    d = d.join(counts.select(*sel), on=[*keys, "_bkt"], how="inner")
+        firsts = d.filter("_r = 1").select(*keys, "_bkt", F.col(lead_col).alias("_first"))
+        offsets = offsets.join(firsts, [*keys, "_bkt"]).withColumn("_next_first", F.lead("_first").over(ow)).drop("_first")
+    d = d.join(offsets.drop("_n"), on=[*keys, "_bkt"], how="inner")
     d = d.withColumn(out, (F.col("_r") + F.col("_off")).cast("bigint"))
     drop = ["_bkt", "_r", "_off"]
     if lead_col is not None:
-        d = d.withColumn(lead_out, F.coalesce(F.col("_lead_in"), F.col("_next_first")))
+        last = F.col("_lead_in").isNull() & F.col("_next_first").isNotNull()
+        d = d.withColumn(lead_out, F.when(last, F.col("_next_first")).otherwise(F.col("_lead_in")))
         drop += ["_lead_in", "_next_first"]
     return d.drop(*drop)
 
 
-def message_sequence(features: DataFrame, bucket_seconds: int, with_next_time: bool = False) -> DataFrame:
+def message_sequence(messages: DataFrame, with_next_time: bool = False) -> DataFrame:
     """W1 (+W4 input): 1-based position of each message in its thread by (time, id);
     ``next_time`` is the next message's time or NULL for the last one."""
-    order = [F.col("received_time"), F.col("message_id")]
     return bucketed_row_number(
-        features, ["thread_key"], time_bucket("received_time", bucket_seconds), order,
-        out="seq", lead_col="received_time" if with_next_time else None, lead_out="next_time",
-        lead_first=F.min("received_time") if with_next_time else None)
+        messages, ["thread_key"], [F.col("received_time"), F.col("message_id")], out="seq",
+        lead_col="received_time" if with_next_time else None, lead_out="next_time")

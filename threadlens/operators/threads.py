@@ -23,6 +23,25 @@ def identify_threads(features: DataFrame, min_messages: int) -> DataFrame:
             .filter(F.col("email_count") >= F.lit(min_messages)))
 
 
+def thread_facts(messages: DataFrame, p: Params, min_messages: int | None = None) -> DataFrame:
+    """A4, X1, X5 from the envelope alone: names, endpoints and ages of the kept threads.  No body."""
+    as_of = X.ntz_literal(p.as_of)
+    mm = p.min_messages if min_messages is None else min_messages
+    ends = ("conversation_id", "message_id", "sender", "subject", "received_time")
+    agg = messages.groupBy("thread_key").agg(
+        F.count(F.lit(1)).alias("email_count"),
+        F.min_by(F.struct(*ends), "ord").alias("_first"), F.max_by(F.struct(*ends), "ord").alias("_last"))
+    days = X.whole_days(as_of, "_last.received_time")
+    return agg.filter(F.col("email_count") >= F.lit(mm)).select(
+        "thread_key", "email_count", F.col("_first.conversation_id").alias("conversation_id"),
+        X.thread_name("_first.subject", "_first.received_time").alias("thread_name"),
+        F.col("_first.received_time").alias("start_time"), F.col("_last.received_time").alias("end_time"),
+        F.col("_first.message_id").alias("first_message_id"), F.col("_first.sender").alias("first_sender"),
+        F.col("_first.subject").alias("first_subject"), F.col("_last.message_id").alias("last_message_id"),
+        F.col("_last.sender").alias("last_sender"), days.alias("days_since_last"),
+        (days > p.archive_days).alias("is_archived"))
+
+
 def thread_metadata(features: DataFrame, p: Params, min_messages: int | None = None) -> DataFrame:
     """A2 (+A4, X1, X3, X5): one row per kept thread with metadata and endpoint facts."""
     agg = features.groupBy("thread_key").agg(*_meta_aggregates())

@@ -27,7 +27,7 @@ _JOBS: dict[tuple, ThreadJob] = {}
 
 def job(spark: SparkSession, sf_dir: str, **kw) -> ThreadJob:
     """One ThreadJob per (session, input, options): repeated queries share its features."""
-    key = (id(spark), sf_dir, tuple(sorted(kw.items())))
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(kw.items())))
     j = _JOBS.get(key)
     if j is None:
         j = ThreadJob(messages_from_conversations(spark, sf_dir), P, **kw)
@@ -77,7 +77,7 @@ def q_exclude_folders(spark, sf):
 @register("identify_threads", "SELECT thread_key, conversation_id, email_count FROM meta")
 def q_identify_threads(spark, sf):
     from ..operators.threads import identify_threads
-    return identify_threads(job(spark, sf).features, P.min_messages).select(
+    return identify_threads(job(spark, sf).envelope, P.min_messages).select(
         "thread_key", "conversation_id", "email_count")
 
 
@@ -94,12 +94,12 @@ def q_keyword_flags(spark, sf):
 
 @register("thread_name", "SELECT thread_key, thread_name FROM meta")
 def q_thread_name(spark, sf):
-    return job(spark, sf).meta.select("thread_key", "thread_name")
+    return job(spark, sf).facts.select("thread_key", "thread_name")
 
 
 @register("days_since", "SELECT thread_key, end_date, days_since_last FROM meta")
 def q_days_since(spark, sf):
-    return job(spark, sf).scored.select("thread_key", "end_date", "days_since_last")
+    return job(spark, sf).facts.select("thread_key", "end_date", "days_since_last")
 
 
 # --------------------------------------------------------------------------- lists
@@ -169,7 +169,7 @@ def q_next_action(spark, sf):
 SELECT thread_key, days_since_last, is_archived,
        CASE WHEN is_archived THEN '{C.ARCHIVE_ROOT}' ELSE '{C.ACTIVE_ROOT}' END AS target_root FROM scored""")
 def q_archive_split(spark, sf):
-    s = job(spark, sf).scored
+    s = job(spark, sf).facts
     return s.select("thread_key", "days_since_last", "is_archived",
                     F.when(F.col("is_archived"), F.lit(C.ARCHIVE_ROOT)).otherwise(F.lit(C.ACTIVE_ROOT))
                     .alias("target_root"))
@@ -276,7 +276,7 @@ def q_last_messages(spark, sf):
 @register("thread_endpoints", """
 SELECT thread_key, first_message_id, last_message_id, first_sender, last_sender, start_date, end_date FROM meta""")
 def q_thread_endpoints(spark, sf):
-    return job(spark, sf).scored.select("thread_key", "first_message_id", "last_message_id", "first_sender",
+    return job(spark, sf).facts.select("thread_key", "first_message_id", "last_message_id", "first_sender",
                                         "last_sender", "start_date", "end_date")
 
 
@@ -291,7 +291,7 @@ def q_sender_counts(spark, sf):
 @register("thread_slug", f"""
 SELECT thread_key, thread_name, {O.slug_sql('thread_name', 'conversation_id')} AS folder_slug FROM meta""")
 def q_thread_slug(spark, sf):
-    return job(spark, sf).meta.select("thread_key", "thread_name",
+    return job(spark, sf).facts.select("thread_key", "thread_name",
                                       X.slug("thread_name", "conversation_id").alias("folder_slug"))
 
 
@@ -316,7 +316,7 @@ def q_scan_only(spark, sf):
 
 @register("scan_preview", "SELECT thread_key, email_count FROM meta ORDER BY thread_key LIMIT 5")
 def q_scan_preview(spark, sf):
-    return job(spark, sf).meta.select("thread_key", "email_count").orderBy("thread_key").limit(5)
+    return job(spark, sf).facts.select("thread_key", "email_count").orderBy("thread_key").limit(5)
 
 
 # --------------------------------------------------------------------------- texts
@@ -429,7 +429,7 @@ def _report_sql() -> str:
                 f"FROM (SELECT *, {arr} AS l FROM {src})")
     nn, nk = "NULL::BIGINT", "NULL::VARCHAR"
     parts = [
-        part(0, nn, nk, [O.q(C.REPORT_TITLE), O.q(rule), "''", O.q(f"Generated: {as_of}"),
+        part(0, nn, nk, [O.q(P.report_title), O.q(rule), "''", O.q(f"Generated: {as_of}"),
                          "'Total Threads: ' || total_threads::VARCHAR", "''"], "tot"),
         part(1, nn, nk, ["''", f"'{C.FLAG_SYMBOLS[0]} URGENT THREADS (' || urgent_threads::VARCHAR || '):'",
                          O.q(dash)], "tot WHERE urgent_threads > 0"),
@@ -548,16 +548,16 @@ SELECT s.thread_key, s.thread_name, r.target_root, r.target_folder,
 FROM scored s LEFT JOIN (SELECT DISTINCT thread_key, target_root, target_folder FROM routing) r USING (thread_key)""")
 def q_find_thread(spark, sf):
     j = job(spark, sf)
-    return LC.find_thread(j.scored, j.routes)
+    return LC.find_thread(j.facts)
 
 
 def existing_job(spark, sf) -> ThreadJob:
-    key = (id(spark), sf, "existing")
+    key = (spark.sparkContext.applicationId, sf, "existing")
     ej = _JOBS.get(key)
     if ej is None:
         j = job(spark, sf)
-        stored = LC.stored_messages(j.valid, j.routes)
-        ej = ThreadJob(LC.existing_scan(stored), P.with_(excluded_folders=()), key="folder", min_messages=1)
+        stored = LC.stored_messages(j.features, j.facts)
+        ej = ThreadJob.from_features(LC.existing_scan(stored), P.with_(excluded_folders=()), min_messages=1)
         _JOBS[key] = ej
     return ej
 
@@ -598,8 +598,7 @@ WHERE r.target_root = '{C.ACTIVE_ROOT}' AND m.item_class = {C.MAIL_ITEM_CLASS}
   AND r.thread_key IN (SELECT thread_key FROM attention)""")
 def q_followup_marks(spark, sf):
     j = job(spark, sf)
-    stored = LC.stored_messages(j.valid, j.routes)
-    return LC.followup_marks(stored, j.attention, j.routes)
+    return LC.followup_marks(j.envelope, j.attention)
 
 
 PREVIOUS_RUN_DAYS = 30
@@ -651,8 +650,9 @@ def q_run_stats(spark, sf):
     return one.select(
         "threads_found", F.col("threads_found").alias("threads_processed"),
         j.routes.agg(F.count(F.lit(1))).scalar().alias("emails_moved"),
-        j.markdown.agg(F.count(F.lit(1))).scalar().alias("summaries_created"),
-        j.timeline.agg(F.count_distinct("thread_key")).scalar().alias("timelines_created"),
+        # every kept thread gets one summary and one timeline, so the threads are counted, not rendered
+        j.scored.agg(F.count(F.lit(1))).scalar().alias("summaries_created"),
+        j.facts.agg(F.count(F.lit(1))).scalar().alias("timelines_created"),
         j.rejects.agg(F.count(F.lit(1))).scalar().alias("errors"),
         j.attention.agg(F.count(F.lit(1))).scalar().alias("reviewed"),
         LC.reply_queue(j.attention, j.summary).agg(F.count(F.lit(1))).scalar().alias("drafts"),
@@ -661,7 +661,7 @@ def q_run_stats(spark, sf):
 
 # --------------------------------------------------------------------------- store round trips
 def _store(spark, sf) -> str:
-    key = (id(spark), sf, "store")
+    key = (spark.sparkContext.applicationId, sf, "store")
     path = _JOBS.get(key)
     if path is None:
         j = job(spark, sf)
@@ -719,7 +719,7 @@ from ..sources.messages import messages_from_documents  # noqa: E402
 
 
 def doc_job(spark, sf) -> ThreadJob:
-    key = (id(spark), sf, "documents")
+    key = (spark.sparkContext.applicationId, sf, "documents")
     j = _JOBS.get(key)
     if j is None:
         j = ThreadJob(messages_from_documents(spark, sf), P)
@@ -745,7 +745,7 @@ from ..sources.messages import messages_from_events  # noqa: E402
 
 
 def event_job(spark, sf) -> ThreadJob:
-    key = (id(spark), sf, "events")
+    key = (spark.sparkContext.applicationId, sf, "events")
     j = _JOBS.get(key)
     if j is None:
         j = ThreadJob(messages_from_events(spark, sf), P)

@@ -5,8 +5,9 @@ same featurised table.  That table (bounded features, no bodies) and the one-row
 per-thread metadata are the only things materialised, both in the shared
 ``spark.checkpoint.dir`` (a scratch folder is registered only when the session
 names none, as in local tests): the features as a written parquet table
-(computed once, read back column-pruned), the metadata as a checkpoint (keeps
-its hash partitioning on thread_key).  Lineage is cut at both.  Everything
+(computed once, read back column-pruned), the metadata as a checkpoint.  Lineage is cut
+at both; a join against the metadata still exchanges it by thread_key.  Body-free outputs
+come from ``envelope`` and ``facts``, which are lazy and read no body.  Everything
 downstream is plain DataFrame operators.
 """
 
@@ -68,8 +69,18 @@ class ThreadJob:
     @cached_property
     def kept(self) -> DataFrame:
         """F1 applied; thread key attached."""
-        kept = FE.with_thread_key(FE.exclude_folders(self.valid, self.params.excluded_folders), self.key)
-        return FE.ensure_parallelism(kept, self.spark.sparkContext.defaultParallelism)
+        return FE.with_thread_key(FE.exclude_folders(self.valid, self.params.excluded_folders), self.key)
+
+    @cached_property
+    def envelope(self) -> DataFrame:
+        """The body-free columns; lazy, read from the source with the body pruned."""
+        return FE.envelope(self.kept)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Names, endpoints and ages of the kept threads, from the envelope; lazy."""
+        return T.thread_facts(self.envelope, self.params, self.min_messages).withColumns({
+            "start_date": X.iso_text("start_time"), "end_date": X.iso_text("end_time")})
 
     @cached_property
     def features(self) -> DataFrame:
@@ -77,9 +88,9 @@ class ThreadJob:
         if self.materialize == "checkpoint":
             # written once as a parquet table in the shared folder and read back: computed a
             # single time, lineage cut, and every branch reads only the columns it needs
-            path = scratch_path(self.spark, "features")
-            f.write.parquet(path)
-            return self.spark.read.parquet(path)
+            self.features_path = scratch_path(self.spark, "features")
+            f.write.parquet(self.features_path)
+            return self.spark.read.parquet(self.features_path)
         return self._materialize(f)
 
     # -- thread level -------------------------------------------------------
@@ -127,7 +138,8 @@ class ThreadJob:
 
     @cached_property
     def sender_counts(self) -> DataFrame:
-        return self._kept_only(self.raw_sender_counts)
+        """A3 of the kept threads, from the envelope (no body, nothing written)."""
+        return T.sender_counts(self.envelope).join(self.facts.select("thread_key"), "thread_key", "left_semi")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -139,7 +151,7 @@ class ThreadJob:
 
     @cached_property
     def stakeholders(self) -> DataFrame:
-        return self._kept_only(self.raw_stakeholders)
+        return E.stakeholders(self.sender_counts)
 
     @cached_property
     def last5(self) -> DataFrame:
@@ -227,9 +239,10 @@ class ThreadJob:
     # -- per-message ordered outputs ----------------------------------------
     @cached_property
     def sequenced(self) -> DataFrame:
-        """W1 + next message time, over kept threads; skew-safe bucketed windows."""
-        tl = self._kept_only(FE.timeline_features(self.kept))
-        return Q.message_sequence(tl, self.params.seq_bucket_seconds, with_next_time=True)
+        """W1 + next message time, over kept threads; skew-safe.  The filter is per whole thread, so it
+        comes after the numbering and leaves the exchange below the window as it is."""
+        seq = Q.message_sequence(FE.timeline_features(self.kept), with_next_time=True)
+        return seq.join(self.facts.select("thread_key"), "thread_key", "left_semi")
 
     # -- review / outputs -----------------------------------------------------
     @cached_property
@@ -251,16 +264,22 @@ class ThreadJob:
 
     @cached_property
     def routes(self) -> DataFrame:
-        return L.routing(self.kept_features, self.scored)
+        return L.routing(self.envelope, self.facts)
 
     @cached_property
     def palette(self) -> DataFrame:
-        return O.sender_palette(self.kept_features)
+        return O.sender_palette(self.envelope.join(self.facts.select("thread_key"), "thread_key", "left_semi"))
 
     @cached_property
     def timeline(self) -> DataFrame:
         return R.timeline_lines(self.scored, self.sequenced)
 
+    def close(self) -> None:
+        """Forget what the job has memoised; ``features_path`` tells where its feature table lies in the
+        shared folder (to be removed with the folder, or kept for ``from_features``)."""
+        for name in [n for n in self.__dict__ if isinstance(self.__dict__[n], DataFrame) and n != "raw"]:
+            del self.__dict__[name]
+
     def model_summaries(self, fn=None) -> DataFrame:
         from ..operators.model import lead_sentences, model_summary
         return model_summary(self.model_input, fn or lead_sentences)

@@ -31,8 +31,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "threa
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and written intermediate tables.
 
-    Read from the session (``spark.checkpoint.dir``); only when it is unset (local
-    tests) a fresh scratch folder is created and registered.
+    Read from the session (``spark.checkpoint.dir``).  Only under a local master, where one machine
+    does everything, a fresh scratch folder is registered when it is unset; on a cluster that is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         return d.rstrip("/")
     conf = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="threadlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf)
     return (sc.getCheckpointDir() or conf).rstrip("/")
@@ -50,3 +52,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df, name: str):
+    """``df`` written once as Parquet below the shared folder and read back: computed a single time,
+    lineage cut, the rows fixed whatever is lost later."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

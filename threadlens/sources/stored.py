@@ -84,12 +84,14 @@ def write_folders(threads: DataFrame, path: str) -> str:
 def read_reference_folders(spark: SparkSession, threads_dir: str) -> DataFrame:
     """S3 + S4 + J2 over the original layout: every sub-folder with a metadata file is a thread;
     folders without it are skipped; the summary document is joined left (absent -> '')."""
-    meta = (spark.read.schema(METADATA_SCHEMA).option("multiLine", True)
-            .json(f"{threads_dir}/*/{METADATA_FILE}")
-            .withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)))
-    docs = (spark.read.text(f"{threads_dir}/*/{SUMMARY_FILE}", wholetext=True)
-            .select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1).alias("folder"),
-                    F.col("value").alias("summary_text")))
+    # file paths are percent-encoded; a plus sign stands for itself there
+    encoded = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
+    folder = F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+    # a name filter, unlike a path pattern, may match no file at all
+    meta = (spark.read.schema(METADATA_SCHEMA).option("multiLine", True).option("pathGlobFilter", METADATA_FILE)
+            .option("recursiveFileLookup", True).json(threads_dir).withColumn("folder", folder))
+    docs = (spark.read.option("pathGlobFilter", SUMMARY_FILE).option("recursiveFileLookup", True)
+            .text(threads_dir, wholetext=True).select(folder.alias("folder"), F.col("value").alias("summary_text")))
     return (meta.join(docs, "folder", "left")
             .withColumn("summary_text", F.coalesce(F.col("summary_text"), F.lit("")))
             .withColumn("end_time", F.col("end_date").try_cast("timestamp_ntz")))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Params
 from ..operators import features as FE
-from ..sources.messages import MESSAGE_SCHEMA
+from ..sources.messages import MESSAGE_SCHEMA, split_rejects
 
 
 def message_stream(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -29,10 +29,16 @@ def message_stream(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def feature_stream(messages: DataFrame, p: Params, key: str = "conversation_id") -> DataFrame:
     """Stateless F1 + thread key + bounded features on a streaming (or batch) frame."""
-    valid = messages.filter("received_time IS NOT NULL AND message_id IS NOT NULL")
+    valid, _ = split_rejects(messages)
     return FE.featurize(FE.with_thread_key(FE.exclude_folders(valid, p.excluded_folders), key), p)
 
 
+def reject_stream(messages: DataFrame) -> DataFrame:
+    """The rows that ``feature_stream`` leaves out (no time, no id, malformed), with the reason; append
+    them to a table of their own (``append_features`` writes any frame)."""
+    return split_rejects(messages)[1]
+
+
 def append_features(features: DataFrame, path: str, checkpoint: str,
                     available_now: bool = True) -> StreamingQuery:
     """Append featurised rows to a parquet table; the checkpoint (in the shared folder)
