@@ -9,6 +9,7 @@ pieces whatever the input, so no task grows with it.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ ship(__name__)
 END = np.array([1], "<u4").tobytes()
 BLANKS = regex.compile("[\\s\x1c-\x1f\x85] [\\s\x1c-\x1f\x85]")
 CACHE_WORDS = 400_000
-"""Words kept in each of the two generations of a worker's cache."""
+"""Distinct words kept by a task."""
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,53 +36,61 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def rank_encoder(path: str):
+    """ids of a word by the rank file of a byte-level vocabulary (the fast way for single words)."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+class WordIds(dict):
+    """word -> the ids of a space and the word, as bytes; kept once found, for so many words."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(" " + word)
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < CACHE_WORDS:
+            self[word] = found
+        return found
+
+
 class CachedTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The byte-level pre-tokenizer never joins characters across a single space after which a word
-    begins: the space opens the next word.  So a text is cut before each space, and
-    each distinct piece goes to the tokenizer once.  Texts with a space between two white-space
-    characters, where the rule is another, go to the tokenizer whole.  ``encode`` equals the
-    tokenizer on the whole text (see the tests)."""
+    begins: the space opens the next word.  So a text is cut before each space and each piece is
+    encoded by itself, distinct ones once: by the same vocabulary's rank file if one is given, else by
+    the tokenizer.  Texts with a space between two white-space characters, where the rule is another, go
+    to the tokenizer whole.  ``encode_many`` equals the tokenizer on whole texts (see the tests)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Fill the cache with words that it lacks, in one call of the tokenizer."""
-        young, old = self.young, self.old
-        lacking = []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    lacking.append(w)
-        for w, e in zip(lacking, self.tokenizer.encode_batch([" " + w for w in lacking], add_special_tokens=False)):
-            young[w] = np.array(e.ids, "<u4").tobytes()
+        self.words = WordIds(rank_encoder(ranks) if ranks else self.ids)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        cut = {}
-        for i, t in enumerate(texts):
+        out = []
+        word_ids = self.words.__getitem__
+        for t in texts:
             if BLANKS.search(t) or any(s in t for s in self.special):
-                out[i] = self.raw(t)
+                out.append(np.array(self.ids(t), "<u4").tobytes())
             else:
-                cut[i] = t.split(" ")
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        self.learn(list({w for words in cut.values() for w in words[1:]}))
-        for i, words in cut.items():
-            head = self.raw(words[0]) if words[0] else b""
-            out[i] = head + b"".join(map(self.young.__getitem__, words[1:]))
+                head, *words = t.split(" ")
+                begin = np.array(self.ids(head), "<u4").tobytes() if head else b""
+                out.append(begin + b"".join(map(word_ids, words)))
         return out
 
 
@@ -99,7 +108,7 @@ def piece_rows(texts: list[str], tokenizer: CachedTokenizer, length: int, keep_i
 
 
 def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 2048,
-                     tokenizer: str | None = None, keep_ids: bool = False, seed: int = 7) -> DataFrame:
+                     tokenizer: str | None = None, ranks: str | None = None, keep_ids: bool = False, seed: int = 7) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, draw[, ids]): every id of every document (with a
     closing id 1) in exactly one piece.  Null text: empty.  ``draw``: a random long."""
     ids_field = ", ids binary" if keep_ids else ""
@@ -107,7 +116,10 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     schema = f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, draw long{ids_field}"
 
     def run(batches):
-        tok = CachedTokenizer(tokenizer or tokenizer_path())
+        if tokenizer:
+            tok = CachedTokenizer(tokenizer, ranks)
+        else:
+            tok = CachedTokenizer(tokenizer_path(), ranks or tokenizer_path("byte_bpe_50k.tiktoken"))
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -176,13 +188,13 @@ def pack(pieces: DataFrame, length: int = 2048, group_pieces: int = 8192) -> Dat
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 2048,
-                   tokenizer: str | None = None, keep_ids: bool = False, group_pieces: int = 8192) -> DataFrame:
+                   tokenizer: str | None = None, ranks: str | None = None, keep_ids: bool = False, group_pieces: int = 8192) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset.
 
     ``keep_ids``: carry the ids (little-endian unsigned 32-bit) for writing sequences.  A null or
     empty text is one piece of one id; repeated rows are packed each; a text longer than a sequence is
     cut at its multiples; an empty table gives an empty result."""
-    pieces = stored(tokenized_pieces(docs, id_col, text_col, length, tokenizer, keep_ids), "pieces")
+    pieces = stored(tokenized_pieces(docs, id_col, text_col, length, tokenizer, ranks, keep_ids), "pieces")
     return pack(pieces, length, group_pieces)
 
 
