@@ -148,3 +148,29 @@ def test_find_folder_by_name_substring_semantics(spark):
                                      ("copy of 2024-01-01 - Plan 1_00000009",)], "folder string")
     got = {r.thread_key: r.found_folder for r in LC.find_folder_by_name(names, folders).collect()}
     assert got == {"a": "2024-01-01 - Plan 13_0000000b", "b": "2024-01-01 - Plan 13_0000000b"}
+
+
+def test_clean_body_is_linear_in_the_lines(spark):
+    import time
+
+    from threadlens.functions import text as X
+
+    def seconds(n):
+        df = spark.createDataFrame([("\n".join(f"line {i} of it" for i in range(n)),)], "b string")
+        best = 1e9
+        for _ in range(2):
+            t = time.perf_counter()
+            got = df.select(X.clean_body(F.col("b")).alias("c")).first().c
+            best = min(best, time.perf_counter() - t)
+        assert got.count("line") == n
+        return best
+    seconds(1000)
+    assert seconds(32000) < 2.5 * seconds(16000) + 1.0
+
+
+def test_common_name_meets_one_folder(spark):
+    from threadlens.operators import lifecycle as LC
+    names = spark.createDataFrame([(f"k{i}", "2024-01-01 - Invoice") for i in range(300)], "thread_key string, thread_name string")
+    folders = spark.createDataFrame([(f"2024-01-01 - Invoice_{i:04d}",) for i in range(300)], "folder string")
+    got = LC.find_folder_by_name(names, folders)
+    assert got.count() == 300 and {r.found_folder for r in got.collect()} == {"2024-01-01 - Invoice_0000"}

@@ -1,15 +1,13 @@
 """Plan-shape checks: no keyed exchange carries a message body, Python only in the model hook,
 top-k limits run before the shuffle, scans are pruned and filtered at the source."""
 
-import os
-
 import pytest
 
 from conftest import ROOT  # noqa: F401
 from threadlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-BODY_COLS = {"body", "_body", "text", "_lb"}
+BODY_COLS = {"body", "_body", "_lb"}  # key points and issues carry single sentences named text, of bounded length
 PY_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "PythonMapInArrow", "FlatMapGroupsInPandas")
 
 
@@ -24,10 +22,9 @@ def _walk(node, seen):
 
 
 def _plan(df):
+    """The physical plan with its exchanges, before any runtime change."""
     p = df._jdf.queryExecution().executedPlan()
-    if p.nodeName() == "AdaptiveSparkPlan":
-        p = p.inputPlan()
-    return p
+    return p.initialPlan() if p.nodeName() == "AdaptiveSparkPlan" else p
 
 
 def _outputs(node):
@@ -35,15 +32,59 @@ def _outputs(node):
     return {out.apply(i).name() for i in range(out.size())}
 
 
-@pytest.mark.parametrize("name", ["thread_summary", "summary_markdown", "dashboard_cards", "timeline_text",
-                                  "report_lines", "reply_queue"])
-def test_no_body_in_keyed_exchange(spark, name):
-    df = catalog.QUERIES[name](spark, SF)
-    for node in _walk(_plan(df), set()):
+@pytest.fixture(scope="module")
+def spread(spark, tmp_path_factory):
+    """The tables as several files, read with broadcasts off: plans as on a large input."""
+    base = tmp_path_factory.mktemp("spread")
+    for t in ("conversations", "documents", "events"):
+        spark.read.parquet(f"{SF}/{t}.parquet").repartition(9).write.parquet(f"{base}/{t}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    catalog._JOBS.clear()
+    yield str(base)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    catalog._JOBS.clear()
+
+
+# queries whose plan needs no keyed exchange: row-wise outputs, and what starts from stored tables
+KEYLESS = {"message_scan", "exclude_folders", "mail_only", "rejects", "keyword_hits", "clean_body", "document_clean_body"}
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_no_body_in_keyed_exchange(spark, spread, name):
+    seen = 0
+    for node in _walk(_plan(catalog.QUERIES[name](spark, spread)), set()):
         if node.nodeName() == "Exchange":
             part = node.outputPartitioning().toString()
             if part.startswith("hashpartitioning") or part.startswith("rangepartitioning"):
+                seen += 1
                 assert not (_outputs(node) & BODY_COLS), (name, part, _outputs(node))
+    if name in ("existing_threads", "mode_both", "thread_summary", "summary_markdown", "dashboard_cards", "timeline_text",
+                "message_sequence", "message_routing", "followup_marks", "find_thread", "identify_threads", "reply_queue"):
+        assert seen > 0, name
+    if name in KEYLESS:
+        assert seen == 0, name
+
+
+@pytest.mark.parametrize("name", ["identify_threads", "scan_preview", "thread_name", "thread_slug", "days_since",
+                                  "thread_endpoints", "sender_counts", "stakeholders", "archive_split",
+                                  "message_routing", "find_thread", "followup_marks"])
+def test_body_free_queries_never_read_a_body(spark, tmp_path, name):
+    """Over a stored messages table: the scans' read schemas lack the body, and building the plan
+    writes nothing (apart from follow-up marks, whose selection needs the scores)."""
+    from threadlens.sources.messages import messages_from_conversations, read_messages
+    path = str(tmp_path / "messages")
+    messages_from_conversations(spark, SF).write.parquet(path)
+    before = dict(catalog._JOBS)
+    key = (spark.sparkContext.applicationId, "stored-messages", ())
+    catalog._JOBS[key] = catalog.ThreadJob(read_messages(spark, path), catalog.P)
+    try:
+        plan = _plan(catalog.QUERIES[name](spark, "stored-messages")).toString()
+        reads = [x for x in plan.split("ReadSchema: ")[1:]]
+        assert reads and not any("body" in r.split(">")[0] for r in reads), name
+        assert name == "followup_marks" or "features" not in catalog._JOBS[key].__dict__
+    finally:
+        catalog._JOBS.clear()
+        catalog._JOBS.update(before)
 
 
 def test_python_only_in_model_hook(spark):
@@ -68,10 +109,10 @@ def test_pushdown_and_pruning(spark, tmp_path):
     assert "ReadSchema: struct<message_id:bigint,folder:string,sender:string>" in plan
 
 
-def test_sequence_window_split_by_bucket(spark):
-    plan = _plan(catalog.QUERIES["message_sequence"](spark, SF)).toString()
-    assert "_bkt" in plan
-    assert os.path.exists(SF)
+def test_sequence_window_split_by_range(spark, spread):
+    plan = _plan(catalog.QUERIES["message_sequence"](spark, spread)).toString()
+    above, below = plan.split("Window [row_number", 1)
+    assert "_bkt" in below.split("Exchange hashpartitioning(", 1)[1].split(")")[0]
 
 
 def test_no_cross_or_nested_loop_joins(spark):

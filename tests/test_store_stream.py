@@ -128,3 +128,30 @@ def test_folder_layout_writer(spark, tmp_path):
     doc = spark.read.text(f"{path}/summary/root=threads", wholetext=True).first().value
     assert meta.first().email_count == 2 and meta.first().folder == "2024-04-09 - Plan_c1"
     assert doc.startswith("# 2024-04-09 - Plan")
+
+
+def test_folder_layout_writer_keeps_equal_names_apart(spark, tmp_path):
+    rows = [msg(1, "c1", ago(days=1)), msg(2, "c1", ago(hours=2)), msg(3, "c2", ago(days=1)), msg(4, "c2", ago(hours=2))]
+    md = ThreadJob(frame(spark, rows), P).markdown.withColumn("folder", F.lit("2024-04-09 - Plan"))
+    path = ST.write_folders(md, str(tmp_path / "out"))
+    assert spark.read.json(f"{path}/metadata").count() == 2
+    assert spark.read.text(f"{path}/summary", wholetext=True).count() == 2
+
+
+def test_reference_folder_names_and_absent_summaries(spark, tmp_path):
+    names = ["2024-01-01 - Plan 3_00000012", "2024-01-01 - Grüße + 100% é_1", "plain"]
+    for n in names:
+        os.makedirs(tmp_path / "a" / n)
+        (tmp_path / "a" / n / ST.METADATA_FILE).write_text(json.dumps(_meta(n, "2024-01-02T08:00:00"), ensure_ascii=False))
+    got = {r.folder: r for r in ST.read_reference_folders(spark, str(tmp_path / "a")).collect()}
+    assert set(got) == set(names) and all(r.thread_name == f and r.summary_text == "" for f, r in got.items())
+    (tmp_path / "a" / names[1] / ST.SUMMARY_FILE).write_text("# doc")
+    got = {r.folder: r.summary_text for r in ST.read_reference_folders(spark, str(tmp_path / "a")).collect()}
+    assert got == {names[0]: "", names[1]: "# doc", names[2]: ""}
+
+
+def test_stream_keeps_rejects(spark):
+    rows = [msg(1, "c1", ago(days=1)), msg(2, "c1", None), msg(None, "c1", ago(hours=1))]
+    df = frame(spark, rows)
+    assert IN.feature_stream(df, P).count() == 1
+    assert sorted(r.reject_reason for r in IN.reject_stream(df).collect()) == ["no message_id", "no received_time"]

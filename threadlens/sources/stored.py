@@ -70,14 +70,16 @@ def read_store(spark: SparkSession, path: str, root: str | None = C.ACTIVE_ROOT)
 
 def write_folders(threads: DataFrame, path: str) -> str:
     """Folder layout through Spark's partitioned writers: metadata as JSON lines and the
-    document as text, in ``<path>/<kind>/root=<r>/folder=<name>/``."""
+    document as text, in ``<path>/<kind>/root=<r>/folder=<name>/thread_key=<key>/``: two threads whose
+    names give one folder name stay apart.  One directory per thread is heavy on the driver's commit;
+    the table layout (``write_store``) is the default, this one is for hand-over."""
     base = threads.select(
         F.when(F.col("is_archived"), F.lit(C.ARCHIVE_ROOT)).otherwise(F.lit(C.ACTIVE_ROOT)).alias("root"),
-        "folder", *[F.col(c) for c in METADATA_FIELDS], "summary_markdown")
-    base.select("root", "folder", *METADATA_FIELDS).write.mode("overwrite") \
-        .partitionBy("root", "folder").json(f"{path}/metadata")
-    base.select("root", "folder", F.col("summary_markdown").alias("value")).write.mode("overwrite") \
-        .partitionBy("root", "folder").text(f"{path}/summary")
+        "folder", "thread_key", *[F.col(c) for c in METADATA_FIELDS], "summary_markdown")
+    base.select("root", "folder", "thread_key", *METADATA_FIELDS).write.mode("overwrite") \
+        .partitionBy("root", "folder", "thread_key").json(f"{path}/metadata")
+    base.select("root", "folder", "thread_key", F.col("summary_markdown").alias("value")).write.mode("overwrite") \
+        .partitionBy("root", "folder", "thread_key").text(f"{path}/summary")
     return path
 
 
