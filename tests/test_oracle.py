@@ -28,7 +28,7 @@ def con():
 def test_every_query_has_an_oracle_or_is_a_model_hook():
     assert set(catalog.QUERIES) <= set(E.queries()) and set(catalog.ORACLE) <= set(E.oracle_sql())
     missing = set(catalog.QUERIES) - set(catalog.ORACLE)
-    assert missing == {"model_summary", "summary_method"}
+    assert missing == set()
 
 
 def test_entry_smoke(spark):

@@ -136,14 +136,16 @@ def find_thread(scored: DataFrame) -> DataFrame:
         F.col("target_folder").contains(F.col("thread_name")).alias("name_in_folder"), "found_folder")
 
 
-def fallback_summary(meta: DataFrame) -> DataFrame:
-    """Minimal summary for threads that cannot be analysed."""
-    return meta.select(
+def fallback_summary(summary: DataFrame) -> DataFrame:
+    """The minimal summary of threads that cannot be analysed in full.  Score, level, next action and
+    reply are those that can still be computed; the literals stand in where they cannot."""
+    return summary.select(
         "thread_key", L(C.METHOD_FALLBACK).alias("method"), "thread_name",
         F.concat(L("Thread with "), F.col("email_count").cast("string"), L(" emails")).alias("executive_summary"),
         F.concat(L("Thread started "), F.col("start_date")).alias("key_events"),
         F.array_join("participants", " | ").alias("stakeholders"),
         L(C.FALLBACK_STATUS).alias("current_status"),
-        L(C.FALLBACK_NEXT_ACTION).alias("next_action"),
-        L(0).cast("bigint").alias("priority_score"), L(C.LEVEL_DEFAULT).alias("priority_level"),
-        L(C.NO_REPLY).alias("reply_template"))
+        F.coalesce("next_action", L(C.FALLBACK_NEXT_ACTION)).alias("next_action"),
+        F.coalesce(F.col("priority_score").cast("bigint"), L(0)).alias("priority_score"),
+        F.coalesce("priority_level", L(C.LEVEL_DEFAULT)).alias("priority_level"),
+        F.coalesce("reply_template", L(C.NO_REPLY)).alias("reply_template"))

@@ -63,12 +63,18 @@ def model_summary(model_input: DataFrame, fn: Callable[[pd.Series], pd.Series] =
         run, "thread_key string, model_summary string")
 
 
-def summary_method(summary: DataFrame, model: DataFrame | None, label: str = C.METHOD_MODEL) -> DataFrame:
-    """M2: model text when present, else the rule text; ``method`` records which."""
-    if model is None:
-        return summary.withColumn("method", F.lit(C.METHOD_RULES))
-    s = summary.drop("method").join(model, "thread_key", "left")
-    return s.withColumn("method", F.when(F.col("model_summary").isNotNull(), F.lit(label))
+def summary_method(summary: DataFrame, model: DataFrame | None, label: str = C.METHOD_MODEL,
+                   failed: DataFrame | None = None) -> DataFrame:
+    """M2: the fallback text for threads in ``failed`` (thread_key), else the model's text where there is
+    one, else the rule text; ``method`` records which."""
+    s = summary.drop("method")
+    s = s.withColumn("model_summary", F.lit(None).cast("string")) if model is None else s.join(model, "thread_key", "left")
+    s = s.withColumn("_failed", F.lit(False)) if failed is None else s.join(
+        failed.select("thread_key").distinct().withColumn("_failed", F.lit(True)), "thread_key", "left")
+    bad, modelled = F.coalesce("_failed", F.lit(False)), F.col("model_summary").isNotNull()
+    return s.withColumn("method", F.when(bad, F.lit(C.METHOD_FALLBACK)).when(modelled, F.lit(label))
                         .otherwise(F.lit(C.METHOD_RULES))) \
-        .withColumn("executive_summary", F.coalesce(F.col("model_summary"), F.col("executive_summary"))) \
-        .drop("model_summary")
+        .withColumn("executive_summary", F.when(bad, F.concat(
+            F.lit("Thread with "), F.col("email_count").cast("string"), F.lit(" emails")))
+            .when(modelled, F.col("model_summary")).otherwise(F.col("executive_summary"))) \
+        .drop("model_summary", "_failed")

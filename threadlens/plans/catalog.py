@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import TEST_PARAMS as P
 from ..functions import text as X
-from ..sources.messages import messages_from_conversations
+from ..sources.messages import messages_from_conversations, messages_with_faults
 from . import oracle as O
 from .job import ThreadJob
 
@@ -232,11 +232,18 @@ def q_mail_only(spark, sf):
     return FE.mail_only(messages_from_conversations(spark, sf)).select("message_id", "item_class")
 
 
+def faulty_job(spark, sf) -> ThreadJob:
+    key = (spark.sparkContext.applicationId, sf, "faulty")
+    if key not in _JOBS:
+        _JOBS[key] = ThreadJob(messages_with_faults(spark, sf), P)
+    return _JOBS[key]
+
+
 @register("rejects", """
 SELECT message_id, CASE WHEN received_time IS NULL THEN 'no received_time' ELSE 'no message_id' END AS reject_reason
-FROM msgs WHERE received_time IS NULL OR message_id IS NULL""")
+FROM msgs WHERE received_time IS NULL OR message_id IS NULL""", adapter=O.FAULTY_ADAPTER)
 def q_rejects(spark, sf):
-    return job(spark, sf).rejects.select("message_id", "reject_reason")
+    return faulty_job(spark, sf).rejects.select("message_id", "reject_reason")
 
 
 KW_LISTS = {"urgent": C.KEYWORDS_URGENT, "delay": C.KEYWORDS_DELAY,
@@ -295,11 +302,14 @@ def q_thread_slug(spark, sf):
                                       X.slug("thread_name", "conversation_id").alias("folder_slug"))
 
 
-@register("model_input", f"""
+ORACLE_MODEL_INPUT = f"""
 SELECT thread_key, CASE WHEN length(t) > {C.MODEL_INPUT_CHARS} THEN left(t, {C.MODEL_INPUT_CHARS}) || '...'
        ELSE t END AS model_input
 FROM (SELECT thread_key, string_agg('Email ' || rn::VARCHAR || ' [' || {O.minute('received_time')} || '] From '
-             || sender || ': ' || subject || '. ' || snippet || '. ', '' ORDER BY rn) AS t FROM kf GROUP BY 1)""")
+             || sender || ': ' || subject || '. ' || snippet || '. ', '' ORDER BY rn) AS t FROM kf GROUP BY 1)"""
+
+
+@register("model_input", ORACLE_MODEL_INPUT)
 def q_model_input(spark, sf):
     return job(spark, sf).model_input
 
@@ -332,8 +342,12 @@ def q_suggested_actions(spark, sf):
                                         F.array_join(S.suggested_actions(P), " | ").alias("suggested_actions"))
 
 
-PARSE_PRIORITY_SQL = (f"coalesce(TRY_CAST({O.strip(chr(39).join(['split_part(split_part(list_filter(string_split(summary_markdown, chr(10)), lambda x: contains(x, ', 'Priority:', ') AND contains(x, ', '(', '))[1], ', '(', ', 2), ', '/', ', 1)']))} AS BIGINT), 0)")
-PARSE_REPLY_SQL = (f"coalesce({O.strip(chr(39).join(['regexp_extract(summary_markdown, ', '(?s)' + C.REPLY_HEADING + chr(92) + 's*```' + chr(92) + 'n(.*?)' + chr(92) + 'n```', ', 1)']))}, '')")
+_SCORE_LINE_SQL = """list_filter(string_split(summary_markdown, chr(10)),
+                                 lambda x: contains(x, 'Priority:') AND contains(x, '('))[1]"""
+_SCORE_TEXT_SQL = O.strip(f"split_part(split_part({_SCORE_LINE_SQL}, '(', 2), '/', 1)")
+PARSE_PRIORITY_SQL = f"coalesce(TRY_CAST({_SCORE_TEXT_SQL} AS BIGINT), 0)"
+_REPLY_TEXT_SQL = O.strip(rf"""regexp_extract(summary_markdown, '(?s){C.REPLY_HEADING}\s*```\n(.*?)\n```', 1)""")
+PARSE_REPLY_SQL = f"coalesce({_REPLY_TEXT_SQL}, '')"
 
 
 @register("parse_priority", f"SELECT thread_key, priority_score, {PARSE_PRIORITY_SQL} AS parsed_score FROM md")
@@ -605,35 +619,51 @@ PREVIOUS_RUN_DAYS = 30
 
 
 @register("archive_transition", f"""
-SELECT folder, {O.days(O.AS_OF, 'end_time')} AS days_since_last,
-       CASE WHEN {O.days(O.AS_OF, 'end_time')} > {P.archive_days} THEN 'moved' ELSE 'kept' END AS outcome
-FROM (SELECT {O.slug_sql('thread_name', 'conversation_id')} AS folder, end_time,
+SELECT folder, days_since_last,
+       CASE WHEN email_count % 5 = 0 THEN 'no metadata' WHEN email_count % 7 = 3 THEN 'no end date'
+            WHEN days_since_last > {P.archive_days} AND email_count % 2 = 0 THEN 'exists'
+            WHEN days_since_last > {P.archive_days} THEN 'moved' ELSE 'kept' END AS outcome
+FROM (SELECT {O.slug_sql('thread_name', 'conversation_id')} AS folder, email_count,
+             CASE WHEN email_count % 5 <> 0 AND email_count % 7 <> 3 THEN {O.days(O.AS_OF, 'end_time')} END AS days_since_last,
              {O.days(f"({O.AS_OF} - INTERVAL {PREVIOUS_RUN_DAYS} DAY)", 'end_time')} > {P.archive_days} AS was_archived
       FROM meta) WHERE NOT was_archived""")
 def q_archive_transition(spark, sf):
-    """Threads stored in the active root by a run PREVIOUS_RUN_DAYS days earlier, re-checked now."""
-    j = job(spark, sf)
+    """Threads stored in the active root by a run PREVIOUS_RUN_DAYS days earlier, re-checked now.  Some
+    folders have lost their metadata or its end date, some lie in the archive already."""
     prev = P.as_of - timedelta(days=PREVIOUS_RUN_DAYS)
-    s = j.scored.select(X.slug("thread_name", "conversation_id").alias("folder"), "end_date", "end_time",
-                        (X.whole_days(X.ntz_literal(prev), "end_time") > P.archive_days)
-                        .alias("was_archived"))
+    s = job(spark, sf).facts.select(
+        X.slug("thread_name", "conversation_id").alias("folder"), "end_date", "email_count",
+        (X.whole_days(X.ntz_literal(prev), "end_time") > P.archive_days).alias("was_archived"))
     active = s.filter(~F.col("was_archived"))
-    archive = s.filter(F.col("was_archived")).select("folder")
-    return LC.archive_transition(active.select("folder"), active.select("folder", "end_date"), archive, P)
+    metadata = active.filter("email_count % 5 <> 0").select(
+        "folder", F.when(F.col("email_count") % 7 != 3, F.col("end_date")).alias("end_date"))
+    archive = s.filter("was_archived OR email_count % 2 = 0").select("folder")
+    return LC.archive_transition(active.select("folder"), metadata, archive, P)
+
+
+REJECTED_THREADS_SQL = """SELECT coalesce(conversation_id, chr(0)) FROM msgs
+                               WHERE received_time IS NULL OR message_id IS NULL"""
+
+
+def rejected_threads(j: ThreadJob) -> DataFrame:
+    return j.rejects.select(F.coalesce(F.col("conversation_id"), F.lit(FE.THREAD_KEY_NULL)).alias("thread_key")).distinct()
 
 
 @register("fallback_summary", f"""
 SELECT thread_key, '{C.METHOD_FALLBACK}' AS method, thread_name, 'Thread with ' || email_count::VARCHAR || ' emails'
        AS executive_summary, 'Thread started ' || start_date AS key_events,
        array_to_string(participants, ' | ') AS stakeholders, '{C.FALLBACK_STATUS}' AS current_status,
-       '{C.FALLBACK_NEXT_ACTION}' AS next_action, 0::BIGINT AS priority_score, '{C.LEVEL_DEFAULT}' AS priority_level,
-       {O.q(C.NO_REPLY)} AS reply_template
-FROM meta WHERE thread_key IN (SELECT coalesce(conversation_id, chr(0)) FROM msgs
-                               WHERE received_time IS NULL OR message_id IS NULL)""")
+       next_action, priority_score::BIGINT AS priority_score, priority_level, reply_template
+FROM summary WHERE thread_key IN ({REJECTED_THREADS_SQL})""", adapter=O.FAULTY_ADAPTER)
 def q_fallback_summary(spark, sf):
-    j = job(spark, sf)
-    bad = j.rejects.select(F.coalesce(F.col("conversation_id"), F.lit(FE.THREAD_KEY_NULL)).alias("thread_key"))
-    return LC.fallback_summary(j.scored.join(bad.distinct(), "thread_key", "left_semi"))
+    j = faulty_job(spark, sf)
+    return LC.fallback_summary(j.summary.join(rejected_threads(j), "thread_key", "left_semi"))
+
+
+@register("faulty_thread_metadata", f"SELECT {META_COLS_SQL} FROM meta", adapter=O.FAULTY_ADAPTER)
+def q_faulty_thread_metadata(spark, sf):
+    """A2 where some messages lack a sender or a conversation id (one thread of its own)."""
+    return meta_cols(faulty_job(spark, sf).scored)
 
 
 @register("run_stats", f"""
@@ -702,16 +732,37 @@ def q_review_load(spark, sf):
                      .alias("requires_attention"))
 
 
-# --------------------------------------------------------------------------- model hook (rows-only check)
-@register("model_summary")
+# --------------------------------------------------------------------------- model hook
+# the stand-in model cuts its single-spaced input at 150 characters, back to a space
+_SPACED_SQL = O.strip("regexp_replace(model_input, '" + O.WS_RE + "', ' ', 'g')")
+MODEL_TEXT_SQL = f"""
+CASE WHEN length({_SPACED_SQL}) <= {M.MAX_SUMMARY_CHARS} THEN {_SPACED_SQL}
+     WHEN contains(left({_SPACED_SQL}, {M.MAX_SUMMARY_CHARS}), ' ')
+     THEN regexp_replace(left({_SPACED_SQL}, {M.MAX_SUMMARY_CHARS}), ' [^ ]*$', '')
+     ELSE left({_SPACED_SQL}, {M.MAX_SUMMARY_CHARS}) END"""
+MODEL_SQL = f"""
+(SELECT thread_key, {MODEL_TEXT_SQL} AS model_summary FROM ({ORACLE_MODEL_INPUT}))"""
+
+
+@register("model_summary", f"SELECT thread_key, model_summary FROM {MODEL_SQL}")
 def q_model_summary(spark, sf):
     return job(spark, sf).model_summaries()
 
 
-@register("summary_method")
+@register("summary_method", f"""
+SELECT s.thread_key,
+       CASE WHEN s.thread_key IN ({REJECTED_THREADS_SQL}) THEN '{C.METHOD_FALLBACK}'
+            WHEN m.model_summary IS NOT NULL THEN '{P.model_label}' ELSE '{C.METHOD_RULES}' END AS method,
+       CASE WHEN s.thread_key IN ({REJECTED_THREADS_SQL}) THEN 'Thread with ' || s.email_count::VARCHAR || ' emails'
+            WHEN m.model_summary IS NOT NULL THEN m.model_summary ELSE s.executive_summary END AS executive_summary
+FROM summary s LEFT JOIN {MODEL_SQL} m USING (thread_key)""", adapter=O.FAULTY_ADAPTER)
 def q_summary_method(spark, sf):
-    j = job(spark, sf)
-    return M.summary_method(j.summary, j.model_summaries()).select("thread_key", "method", "executive_summary")
+    """M2 over messages with faults: fallback for threads with rejected messages, else the model's
+    text, else the rules."""
+    j = faulty_job(spark, sf)
+    bad = rejected_threads(j)
+    return M.summary_method(j.summary, j.model_summaries(), P.model_label, bad) \
+        .select("thread_key", "method", "executive_summary")
 
 
 # --------------------------------------------------------------------------- long multilingual texts

@@ -28,6 +28,10 @@ WS_CHARS = "".join(f"chr({ord(c)})" if i == 0 else f" || chr({ord(c)})" for i, c
 WS_CLASS = "'[' || " + WS_CHARS + " || ']+'"
 
 
+# the same characters as a pattern
+WS_RE = f"[{C.PY_WHITESPACE}]+"
+
+
 def strip(x: str) -> str:
     return f"trim({x}, {WS_CHARS})"
 
@@ -119,9 +123,21 @@ FROM events
 """
 
 
+# the conversations with faults: messages without time, id, sender or conversation
+FAULTY_ADAPTER = f"""
+SELECT * REPLACE (CASE WHEN message_id % 29 <> 7 THEN message_id END AS message_id,
+                  CASE WHEN message_id % 23 <> 5 THEN received_time END AS received_time,
+                  CASE WHEN message_id % 31 <> 9 THEN sender END AS sender,
+                  CASE WHEN message_id % 37 <> 11 THEN conversation_id END AS conversation_id)
+FROM ({ADAPTER})
+"""
+
+
 def base_ctes(p: Params = P, adapter: str = ADAPTER) -> str:
     ex = ", ".join(q(x) for x in p.excluded_folders)
-    where = f"WHERE folder IS NULL OR folder NOT IN ({ex})" if ex else ""
+    where = "WHERE received_time IS NOT NULL AND message_id IS NOT NULL"
+    if ex:
+        where += f" AND (folder IS NULL OR folder NOT IN ({ex}))"
     lb, ls = "lb", "ls"
 
     def flag(words):

@@ -96,6 +96,15 @@ def messages_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*_conv_expr())
 
 
+def messages_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with faults: some messages lack a time, an id, a sender or a conversation."""
+    m = messages_from_conversations(spark, sf_dir)
+    i = F.col("message_id")
+    return m.withColumns({
+        "message_id": F.when(i % 29 != 7, i), "received_time": F.when(i % 23 != 5, F.col("received_time")),
+        "sender": F.when(i % 31 != 9, F.col("sender")), "conversation_id": F.when(i % 37 != 11, F.col("conversation_id"))})
+
+
 def messages_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """High-volume messages from ``events``: conversation = user, sender = event type, body = props."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
