@@ -54,7 +54,7 @@ def test_table_store_round_trip(spark, tmp_path):
     rows = [msg(1, "c1", ago(days=1), body="Can you check?"), msg(2, "c1", ago(hours=2)),
             msg(3, "c2", ago(days=90)), msg(4, "c2", ago(days=80))]
     job = ThreadJob(frame(spark, rows), P)
-    md = job.markdown.withColumn("folder", F.col("thread_key"))
+    md = job.with_participants(job.markdown).withColumn("folder", F.col("thread_key"))
     path = ST.write_store(md, str(tmp_path / "store"))
     active = {r.thread_key for r in ST.read_store(spark, path).collect()}
     everything = {r.thread_key: r for r in ST.read_store(spark, path, root=None).collect()}
@@ -114,7 +114,7 @@ def test_rejects_and_fallback_from_json_source(spark, tmp_path):
     assert rej == {(3, "no received_time"), (None, "malformed")}
     assert job.meta.count() == 1 and job.meta.first().email_count == 2      # the scan goes on
     bad = job.rejects.select(F.col("conversation_id").alias("thread_key")).dropna().distinct()
-    fb = LC.fallback_summary(job.scored.join(bad, "thread_key", "left_semi")).collect()
+    fb = LC.fallback_summary(job.with_participants(job.summary).join(bad, "thread_key", "left_semi")).collect()
     assert len(fb) == 1 and fb[0].current_status == C.FALLBACK_STATUS
     assert fb[0].executive_summary == "Thread with 2 emails" and fb[0].method == C.METHOD_FALLBACK
 
@@ -122,7 +122,7 @@ def test_rejects_and_fallback_from_json_source(spark, tmp_path):
 def test_folder_layout_writer(spark, tmp_path):
     rows = [msg(1, "c1", ago(days=1), body="Can you check?"), msg(2, "c1", ago(hours=2))]
     job = ThreadJob(frame(spark, rows), P)
-    md = job.markdown.withColumn("folder", F.lit("2024-04-09 - Plan_c1"))
+    md = job.with_participants(job.markdown).withColumn("folder", F.lit("2024-04-09 - Plan_c1"))
     path = ST.write_folders(md, str(tmp_path / "out"))
     meta = spark.read.json(f"{path}/metadata/root=threads")
     doc = spark.read.text(f"{path}/summary/root=threads", wholetext=True).first().value
@@ -132,7 +132,8 @@ def test_folder_layout_writer(spark, tmp_path):
 
 def test_folder_layout_writer_keeps_equal_names_apart(spark, tmp_path):
     rows = [msg(1, "c1", ago(days=1)), msg(2, "c1", ago(hours=2)), msg(3, "c2", ago(days=1)), msg(4, "c2", ago(hours=2))]
-    md = ThreadJob(frame(spark, rows), P).markdown.withColumn("folder", F.lit("2024-04-09 - Plan"))
+    job = ThreadJob(frame(spark, rows), P)
+    md = job.with_participants(job.markdown).withColumn("folder", F.lit("2024-04-09 - Plan"))
     path = ST.write_folders(md, str(tmp_path / "out"))
     assert spark.read.json(f"{path}/metadata").count() == 2
     assert spark.read.text(f"{path}/summary", wholetext=True).count() == 2

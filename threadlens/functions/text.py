@@ -142,6 +142,11 @@ def snippet(body, n: int = C.SNIPPET_CHARS) -> Column:
     return strip(F.replace(F.left(col(body), F.lit(n)), F.lit("\n"), F.lit(" ")))
 
 
+def sentences(body) -> Column:
+    """'.'-separated sentences as array<struct<low, text>>: lower-cased, and stripped."""
+    return F.transform(F.split(col(body), r"\.", -1), lambda s: F.struct(F.lower(s).alias("low"), strip(s).alias("text")))
+
+
 def first_sentence_with(body, word, max_len: int) -> Column:
     """Stripped first '.'-separated sentence whose lower-case text contains word and whose
     stripped length is below max_len; NULL when none."""

@@ -75,11 +75,17 @@ def _feature_columns(p: Params) -> list:
                                          F.substring(lb, F.instr(lb, F.lit(ph)), C.WAITING_CHARS),
                                          F.lit(C.WAITING_SUFFIX)))
         for ph in C.WAITING_PHRASES])
-    # sentence searches run only where the (codegen'd) substring test says the word occurs
-    kp = F.filter(F.array(*[
-        F.struct(F.lit(i).alias("word_pos"),
-                 F.when(lb.contains(w), X.first_sentence_with(b, w, C.KEY_POINT_MAX_LEN)).alias("text"))
-        for i, w in enumerate(C.IMPORTANT_WORDS)]), lambda x: x["text"].isNotNull())
+    # the body is split into sentences once, and only where some word occurs; the one-element array
+    # binds the sentences for the searches, each of which runs only if its word occurs
+    def first_with(sents, w):
+        return F.get(F.filter(sents, lambda x: x["low"].contains(w) & (F.length(x["text"]) < C.KEY_POINT_MAX_LEN)), F.lit(0))
+
+    def key_sentences(sents):
+        return F.filter(F.array(*[
+            F.struct(F.lit(i).alias("word_pos"), F.when(lb.contains(w), first_with(sents, w)["text"]).alias("text"))
+            for i, w in enumerate(C.IMPORTANT_WORDS)]), lambda x: x["text"].isNotNull())
+    kp = F.when(X.contains_any(lb, C.IMPORTANT_WORDS), F.get(F.transform(F.array(X.sentences(b)), key_sentences), F.lit(0))) \
+        .otherwise(F.array().cast("array<struct<word_pos:int,text:string>>"))
     issue_kw = F.col("_issue_kw")
     issue_sent = F.when(issue_kw.isNotNull(), X.first_sentence_with(b, issue_kw, C.ISSUE_MAX_LEN))
     return [

@@ -2,7 +2,7 @@
 
 All aggregates here are partial+final (map-side combine): counts, sums,
 bool_or, min_by/max_by over the total order ``(received_time, message_id)``
-and a distinct sender set.  No message list is ever collected.
+and a distinct sender count.  No message list is ever collected.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def _meta_aggregates() -> list:
                              "asks_score", "asks_insight", "waiting_on"), "ord")
     return [
         F.count(F.lit(1)).alias("email_count"),
-        F.array_sort(F.collect_set("sender")).alias("participants"),
+        F.count_distinct("sender").alias("participant_count"),
         first.alias("_first"),
         last.alias("_last"),
         F.sum("attachment_count").cast("bigint").alias("total_attachments"),
@@ -77,8 +77,7 @@ def _meta_columns(p: Params) -> list:
         F.col("_first.conversation_id").alias("conversation_id"),
         X.thread_name("_first.subject", "_first.received_time").alias("thread_name"),
         "email_count",
-        "participants",
-        F.size("participants").cast("bigint").alias("participant_count"),
+        F.col("participant_count").cast("bigint").alias("participant_count"),
         F.col("_first.received_time").alias("start_time"),
         F.col("_last.received_time").alias("end_time"),
         X.whole_days("_last.received_time", "_first.received_time").alias("duration_days"),
@@ -98,6 +97,13 @@ def _meta_columns(p: Params) -> list:
     ]
 
 
+def participants(messages: DataFrame) -> DataFrame:
+    """The sender list of each thread, sorted: only for outputs that show it (as long as a thread has
+    distinct senders; the shared metadata carries the count alone)."""
+    return messages.select("thread_key", "sender").distinct().groupBy("thread_key").agg(
+        F.array_sort(F.collect_list("sender")).alias("participants"))
+
+
 def sender_counts(features: DataFrame) -> DataFrame:
     """A3: messages per (thread, sender) with the sender's first appearance."""
     return features.groupBy("thread_key", "sender").agg(

@@ -83,7 +83,8 @@ def q_identify_threads(spark, sf):
 
 @register("thread_metadata", f"SELECT {META_COLS_SQL} FROM meta")
 def q_thread_metadata(spark, sf):
-    return meta_cols(job(spark, sf).scored)
+    j = job(spark, sf)
+    return meta_cols(j.with_participants(j.scored))
 
 
 @register("keyword_flags", """
@@ -416,12 +417,14 @@ def q_attention_top5(spark, sf):
 
 @register("urgent_threads", f"SELECT {META_COLS_SQL} FROM scored WHERE NOT is_archived AND is_urgent")
 def q_urgent_threads(spark, sf):
-    return meta_cols(job(spark, sf).report_set.filter("is_urgent"))
+    j = job(spark, sf)
+    return meta_cols(j.with_participants(j.report_set.filter("is_urgent")))
 
 
 @register("delay_threads", f"SELECT {META_COLS_SQL} FROM scored WHERE NOT is_archived AND has_delay")
 def q_delay_threads(spark, sf):
-    return meta_cols(job(spark, sf).report_set.filter("has_delay"))
+    j = job(spark, sf)
+    return meta_cols(j.with_participants(j.report_set.filter("has_delay")))
 
 
 @register("report_totals", """
@@ -657,13 +660,14 @@ SELECT thread_key, '{C.METHOD_FALLBACK}' AS method, thread_name, 'Thread with '
 FROM summary WHERE thread_key IN ({REJECTED_THREADS_SQL})""", adapter=O.FAULTY_ADAPTER)
 def q_fallback_summary(spark, sf):
     j = faulty_job(spark, sf)
-    return LC.fallback_summary(j.summary.join(rejected_threads(j), "thread_key", "left_semi"))
+    return LC.fallback_summary(j.with_participants(j.summary).join(rejected_threads(j), "thread_key", "left_semi"))
 
 
 @register("faulty_thread_metadata", f"SELECT {META_COLS_SQL} FROM meta", adapter=O.FAULTY_ADAPTER)
 def q_faulty_thread_metadata(spark, sf):
     """A2 where some messages lack a sender or a conversation id (one thread of its own)."""
-    return meta_cols(faulty_job(spark, sf).scored)
+    j = faulty_job(spark, sf)
+    return meta_cols(j.with_participants(j.scored))
 
 
 @register("run_stats", f"""
@@ -695,7 +699,7 @@ def _store(spark, sf) -> str:
     path = _JOBS.get(key)
     if path is None:
         j = job(spark, sf)
-        md = j.markdown.withColumn("folder", X.slug("thread_name", "conversation_id"))
+        md = j.with_participants(j.markdown).withColumn("folder", X.slug("thread_name", "conversation_id"))
         path = ST.write_store(md, scratch_path(spark, "thread-store"))
         _JOBS[key] = path
     return path
@@ -708,7 +712,8 @@ SELECT thread_key, to_json({'conversation_id': conversation_id, 'thread_name': t
   'total_attachments': total_attachments, 'is_urgent': is_urgent, 'has_delay': has_delay,
   'is_transport': is_transport, 'is_customs': is_customs})::VARCHAR AS metadata_json FROM meta""")
 def q_metadata_json(spark, sf):
-    return job(spark, sf).scored.select("thread_key", ST.metadata_json().alias("metadata_json"))
+    j = job(spark, sf)
+    return j.with_participants(j.scored).select("thread_key", ST.metadata_json().alias("metadata_json"))
 
 
 @register("metadata_roundtrip", f"SELECT {META_COLS_SQL} FROM meta")

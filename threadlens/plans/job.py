@@ -113,6 +113,11 @@ class ThreadJob:
             return df.persist(StorageLevel.MEMORY_AND_DISK)
         return df
 
+    def with_participants(self, threads: DataFrame) -> DataFrame:
+        """A per-thread table with the sorted sender list added (for outputs that show it)."""
+        source = self.features if self.materialize == "none" else self.envelope
+        return threads.join(T.participants(source), "thread_key", "left")
+
     def _kept_only(self, df: DataFrame) -> DataFrame:
         """Restrict a per-thread table to threads that passed the minimum count."""
         if self.min_messages <= 1:
