@@ -23,7 +23,9 @@ from .common import components, ship, stored
 
 ship(__name__)
 
-TILE_ROWS = 4096
+TILE_VALUES = 1 << 20
+"""Components in a tile: 8 MB of doubles, so 16,384 rows of 64 dimensions.  Each row travels to as many
+tiles as its strip and the next have, so small tiles would cost shuffle."""
 CHUNK = 512
 SLACK = 1e-9
 
@@ -136,10 +138,11 @@ def join_tiles(own, other, same: bool, axes, plan, block: int, least: float):
     return counts + edges
 
 
-def links(classes: DataFrame, cosine: float, blocks: int, tile_rows: int) -> DataFrame:
+def links(classes: DataFrame, cosine: float, blocks: int, tile_rows: int | None) -> DataFrame:
     """(id, dim, copies, vector) -> (a, b, n): with b null, n rows linked with a row of class a, counted
     in one task; else a linked pair of classes of a spanning forest."""
     dims = classes.agg(F.max("dim")).first()[0] or 1
+    tile_rows = tile_rows or max(256, TILE_VALUES // dims)
     axes, variances = rotation(classes, dims)
     plan = block_plan(variances, blocks, 2 - 2 * cosine)
     placed = stored(strips(classes, axes, plan, dims), "strips")
@@ -190,7 +193,7 @@ def links(classes: DataFrame, cosine: float, blocks: int, tile_rows: int) -> Dat
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9,
-                    blocks: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
+                    blocks: int = 4, tile_rows: int | None = None) -> DataFrame:
     """One row per input row: id, n_links (other rows with that cosine or more), component_id
     (smallest id reachable over links, its own included), kept (id = component_id).
 
