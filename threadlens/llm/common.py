@@ -22,8 +22,9 @@ ship(__name__)
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z; every other character stays."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z to a-z; every other character stays.  For texts of ASCII alone that is ``lower``, which is
+    faster than a character map."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def crc_of_id(doc_id: str = "doc_id") -> Column:

@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
-from .licenses import spaced_words, words_of
+from .common import ascii_lower, stored
+from .licenses import NON_WORD, spaced_words, words_of
 
 BROADCAST_ROWS = 200_000
 """Windows joined in one pass over the documents (some 200 bytes each).  Beyond, passes follow."""
@@ -25,6 +25,21 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def split_text(text: Column) -> Column:
+    """The words of a document in one pass over it; an empty string may stand before the first word and
+    behind the last one (it equals no item's word)."""
+    return F.split(ascii_lower(F.coalesce(text, F.lit(""))), NON_WORD, -1)
+
+
+def empty_before(parts: Column) -> Column:
+    return F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
+
+
+def n_words(parts: Column) -> Column:
+    behind = F.when((F.size(parts) > 1) & (F.get(parts, F.size(parts) - 1) == ""), 1).otherwise(0)
+    return (F.size(parts) - empty_before(parts) - behind).cast("long")
+
+
 def shingle(words: Column, at: Column, width: int) -> Column:
     """Hash of the ``width`` words from position ``at`` (from 0)."""
     return F.xxhash64(*[F.get(words, at + k) for k in range(width)])
@@ -44,7 +59,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "item_id", doc_
     """(key, start, n, item): every place of a document text (by its key) that holds a window."""
     windows = stored(item_windows(items, id_col, item_text, window), "windows")
     texts = docs.select(F.col(doc_text).alias("text"))
-    words = texts.select(text_key(F.col("text")).alias("key"), words_of(spaced_words(F.col("text"))).alias("words"))
+    words = texts.select(text_key(F.col("text")).alias("key"), split_text(F.col("text")).alias("words"))
     found = None
     for width, some in ((1, windows.where("n = 1")), (2, windows.where("n > 1"))):
         part = _occurrences(words, some, width)
@@ -82,7 +97,7 @@ def _occurrences(words: DataFrame, windows: DataFrame, width: int) -> DataFrame
         met = (hashed.join(F.broadcast(some), "h")
                .where((start >= 0) & (start + F.col("n") <= F.size("words")))
                .where(F.slice("words", start + 1, F.col("n")) == F.col("win"))
-               .select("key", start.alias("start"), "n", F.explode("items").alias("item")))
+               .select("key", (start - empty_before(F.col("words"))).alias("start"), "n", F.explode("items").alias("item")))
         found = met if found is None else found.unionByName(met)
     return found
 
@@ -108,10 +123,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     marks words but is no entry of ``items``.  Repeated rows keep a row each; empty tables give no
     rows, or no hits."""
     hits = text_hits(occurrences(docs, items, item_id, doc_text, item_text, window))
-    spaced = spaced_words(F.col("text"))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text")).select(
-        "id", text_key(F.col("text")).alias("key"), F.when(spaced == "", F.lit(0)).otherwise(
-            F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"))
+        "id", text_key(F.col("text")).alias("key"), split_text(F.col("text")).alias("parts")) \
+        .select("id", "key", n_words(F.col("parts")).alias("n_words"))
     return rows.join(hits, "key", "left").select(
         "id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
