@@ -136,7 +136,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id
     """The rows of ``docs`` that hold no window of any item, with all their columns."""
     name = next(f"_key{i}" for i in range(99) if f"_key{i}" not in set(docs.columns))
     bad = occurrences(docs, items, item_id, doc_text, item_text, window).select(F.col("key").alias(name)).distinct()
-    return docs.withColumn(name, text_key(F.col(doc_text))).join(bad, name, "left_anti").select(*docs.columns)
+    # the keys are the small side at any size: hashed in each partition, the texts need no sort
+    return docs.withColumn(name, text_key(F.col(doc_text))).join(bad.hint("shuffle_hash"), name, "left_anti") \
+        .select(*docs.columns)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

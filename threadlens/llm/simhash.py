@@ -123,7 +123,8 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
     roots = components(linked_pairs(per_print.select("fp"), max_bits, blocks))
     per_component = (per_print.join(roots, per_print.fp == roots.node, "left")
                      .groupBy(F.coalesce("root", "fp").alias("c")).agg(best.alias("keep")))
-    return rows.join(per_component.select(F.col("keep").alias(row)), row, "left_semi").select(*docs.columns)
+    keep = per_component.select(F.col("keep").alias(row)).hint("shuffle_hash")  # ids alone: no sort of the texts
+    return rows.join(keep, row, "left_semi").select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
