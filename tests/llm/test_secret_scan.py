@@ -107,3 +107,26 @@ def test_registered_query(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in want) for k in ("assign", "access", "hex"))
         assert [s for s in r.spans.split(",") if s and not s.startswith("guess")] == want
+
+
+def guesses(text, **kw):
+    return [text[a:b] for k, a, b in S.spans(text, **kw) if k == "guess"]
+
+
+def test_contexts_find_the_value_behind_links_whole():
+    key = "Q!x9#Lp2v@Zz"
+    for text in (f"Authorization: Bearer {key}", f"my password is {key}", f"secret token: {key}", f"token password: {key}",
+                 f"SECRET_KEY = {key}", f"AWS_SECRET_ACCESS_KEY='{key}'", f'{{"Authorization": "Bearer {key}"}}',
+                 f"password: is token: {key}", f"password:\t{key}, and more"):
+        assert guesses(text) == [key], text
+        assert key not in S.redact(text, S.spans(text))
+    assert guesses("password: 'correct horse battery staple'") == ["correct horse battery staple"]
+    assert guesses('pwd="it is \\"q7\\" Zx9", x') == ['it is \\"q7\\" Zx9']
+    assert guesses("password: pÄß9$wörtQx!7 x") == ["pÄß9$wörtQx!7"]
+    assert guesses("password: weak token: Q!x9#Lp2v@Zz") == [key]
+    assert guesses("the secretary requires x9$Lq2!vTz7w") == [] and guesses("the secret ingredient") == []
+
+
+def test_many_contexts_take_linear_time():
+    for part in ("token ", "token 'a ", 'token "', "password: is ", "token_", "token='", "password=x, "):
+        S.spans(part * 40_000)

@@ -1,7 +1,7 @@
 """Secret scans: pattern spans, and guess-cost spans for values in credential contexts.
 
 Three fixed patterns give the base spans.  Beside them, every value that stands after a credential
-word and a separator is priced: the cheapest segmentation into dictionary words, dates, repeats,
+word (links such as "is" or "Bearer" in between are passed) is priced, whole if quoted: the cheapest segmentation into dictionary words, dates, repeats,
 keyboard walks and brute-force characters says how many guesses an attacker would need, and a value
 of at least ``min_guesses`` (log10) is a span of kind ``guess``.  The dynamic program is linear in the
 value's length, as repeats and walks grow by a step cost and words and dates have bounded length.
@@ -25,8 +25,16 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
                     re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|"""
-                     r"""credentials?|bearer|authorization)["']?\x20*(?:[:=]+>?\x20*|\x20)["']?([!-~]+)""", re.ASCII)
+NAME = (r"(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|"
+        r"credentials?|bearer|authorization)s?(?![a-z])")
+SEPARATOR = r"""["'`)\]]{0,3}(?:([^\S\r\n]*(?:[:=]+>?|->)[^\S\r\n]*)|[^\S\r\n]+)"""
+CONTEXT = re.compile(rf"{NAME}[A-Za-z0-9_-]*(?P<separator>{SEPARATOR})?")
+LINK = re.compile(rf"({NAME}[A-Za-z_-]*|(?i:is|was|are|be|as|to|set|equals?|follows|the|a|an|my|our|your|his|her|their|of|for|"
+                  rf"and|or|use|value|basic|digest|negotiate)\b){SEPARATOR}")
+QUOTED = {q: re.compile(rf"(?:[^{q}\\\r\n]|\\.|{q}(?=\w))*(?={q}(?!\w))") for q in "\"'`”’»"}
+CLOSING = {"\"": "\"", "'": "'", "`": "`", "“": "”", "‘": "’", "«": "»"}
+PLAIN = re.compile(r"\S+")
+LINE = re.compile(r"[^\r\n]*")
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 WORDS = ("password pass secret token admin user login welcome letmein hello qwerty test example sample demo default "
          "changeme master root guest public private access system server client email account service database "
@@ -115,6 +123,42 @@ def guess_cost(value: str, ranks: dict[str, float] = RANKS) -> float:
     return best[n]
 
 
+def values(text: str):
+    """(start, end) of the values in credential contexts: what stands behind each context word, its
+    separator and any links (is, Bearer, further context words ...); the whole of a quoted value, else
+    up to the next blank.  A value of letters alone needs a separator or quotes before it."""
+    reached = 0  # links passed on the way to the last value lead to that same value
+    run_end = end = 0  # of the last run of non-blanks, with and without closing marks
+    closed = dict.fromkeys(QUOTED, (0, 0))  # up to here a quote of this kind closes there (0: nowhere)
+    for m in CONTEXT.finditer(text):
+        if m.start() < reached or m["separator"] is None:
+            continue
+        at, separated = m.end(), m[2] is not None
+        while link := LINK.match(text, at):
+            if separated and link.end(1) - at >= 6:  # the value itself may begin like a context word
+                yield at, link.end(1)
+            at, separated = link.end(), separated or link[2] is not None
+        reached = at
+        closing = CLOSING.get(text[at:at + 1])
+        if closing:
+            at, separated = at + 1, True
+            if at > closed[closing][0]:
+                inner = QUOTED[closing].match(text, at)
+                closed[closing] = (inner.end(), inner.end()) if inner else (LINE.match(text, at).end(), 0)
+            if stop := closed[closing][1]:
+                while (link := LINK.match(text, at)) and link.end() < stop:
+                    at = link.end()
+                yield at, stop
+                continue
+        if at < run_end:
+            yield at, end
+        elif run := PLAIN.match(text, at):
+            run_end = run.end()
+            end = at + len(run[0].rstrip("\"',;.)]}>”’»"))
+            if separated or not run[0].strip(".,;:!?\"'()[]{}<>”’»").replace("-", "").replace("'", "").replace("’", "").isalpha():
+                yield at, end
+
+
 def spans(text: str, min_guesses: float = 10.0, ranks: dict[str, float] = RANKS) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text in code points: the matches of the base patterns that
     are long enough, and the values in credential contexts that cost ``min_guesses`` or more."""
@@ -123,10 +167,11 @@ def spans(text: str, min_guesses: float = 10.0, ranks: dict[str, float] = RANKS)
     low = text.lower()
     if any(h in low for h in HINTS):
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip("\"',;.)]}>")
-            if len(value) >= 6 and guess_cost(value, ranks) >= min_guesses:
-                found.append(("guess", m.start(1), m.start(1) + len(value)))
+        inside = 0
+        for a, b in values(text):  # a value that ends inside a longer secret is part of it
+            if b - a >= 6 and b > inside and guess_cost(text[a:b], ranks) >= min_guesses:
+                found.append(("guess", a, b))
+                inside = b
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
