@@ -130,3 +130,18 @@ def test_contexts_find_the_value_behind_links_whole():
 def test_many_contexts_take_linear_time():
     for part in ("token ", "token 'a ", 'token "', "password: is ", "token_", "token='", "password=x, "):
         S.spans(part * 40_000)
+
+
+def test_prose_is_no_secret_by_ranks_of_the_documents(spark):
+    prose = "We describe the secret ingredient, password requirements and token classification. Authorization: administrators only. "
+    more = "The requirements for administrators: every ingredient of the classification is described in internationalization guides."
+    hidden = "password: xqzkvjwpfhgm"
+    texts = [prose + more] * 3 + [hidden] * 5 + ["password = internationalization", "token: 'classification-requirements'"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    ranks = S.word_ranks(docs)
+    assert "internationalization" in ranks and "xqzkvjwpfhgm" not in ranks  # copies of a secret are not its price
+    red = {r.doc_id: r.text for r in S.redact_documents(docs).collect()}
+    assert all(red[i] == texts[i] for i in range(3)) and all("xqz" not in red[i] for i in range(3, 8))
+    found = {r.id: [x.kind for x in r.spans] for r in S.scan_secrets(docs).collect()}
+    assert all(("guess" in kinds) == (texts[i] == hidden) for i, kinds in found.items())
+    assert guesses("password = internationalization") != []  # by the frequent words of passwords alone

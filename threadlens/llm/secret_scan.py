@@ -5,17 +5,20 @@ word (links such as "is" or "Bearer" in between are passed) is priced, whole if
 keyboard walks and brute-force characters says how many guesses an attacker would need, and a value
 of at least ``min_guesses`` (log10) is a span of kind ``guess``.  The dynamic program is linear in the
 value's length, as repeats and walks grow by a step cost and words and dates have bounded length.
+Words cost their rank in the documents at hand (``word_ranks``) or among the frequent words of passwords.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import UPPER, ship
+from .common import UPPER, ship, stored
 
 ship(__name__)
 
@@ -34,6 +37,8 @@ LINK = re.compile(rf"({NAME}[A-Za-z_-]*|(?i:is|was|are|be|as|to|set|equals?|foll
 QUOTED = {q: re.compile(rf"(?:[^{q}\\\r\n]|\\.|{q}(?=\w))*(?={q}(?!\w))") for q in "\"'`”’»"}
 CLOSING = {"\"": "\"", "'": "'", "`": "`", "“": "”", "‘": "’", "«": "»"}
 PLAIN = re.compile(r"\S+")
+WORD = re.compile(r"""(?<![^\s"'(\[<])[^\W\d_]{2,32}(?![^\s.,;:!?)"'\]>])""")
+LETTERS = re.compile(r"[^\W\d_]{2,}")
 LINE = re.compile(r"[^\r\n]*")
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 WORDS = ("password pass secret token admin user login welcome letmein hello qwerty test example sample demo default "
@@ -50,6 +55,7 @@ DMY_AT = re.compile(r"(?=((?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:
 LOWER = str.maketrans(UPPER, UPPER.lower())
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 DAY, YEAR = math.log10(365.25 * 120), math.log10(120)
+FLUSH = 300_000
 START = 0.5
 """log10 cost of beginning another segment (where it begins)."""
 
@@ -77,12 +83,12 @@ def char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str, ranks: dict[str, float] = RANKS) -> float:
-    """log10 of the guesses for the cheapest segmentation of ``value``."""
+def guess_cost(value: str, ranks: dict[str, float] = RANKS, longest: int | None = None) -> float:
+    """log10 of the guesses for the cheapest segmentation of ``value``; ``longest``: of the ranked words."""
     n = len(value)
     low = value.translate(LOWER)
     plain = low.translate(LEET)
-    longest = max(map(len, ranks), default=0)
+    longest = max(map(len, ranks), default=0) if longest is None else longest
     best = [0.0] + [math.inf] * n
     walk = repeat = brute = math.inf  # cheapest segmentation whose last segment, of this kind, ends here
     periodic = [math.inf] * 5  # the same for a unit of 1..4 characters said again
@@ -159,7 +165,8 @@ def values(text: str):
                 yield at, end
 
 
-def spans(text: str, min_guesses: float = 10.0, ranks: dict[str, float] = RANKS) -> list[tuple[str, int, int]]:
+def spans(text: str, min_guesses: float = 10.0, ranks: dict[str, float] = RANKS,
+          longest: int | None = None) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text in code points: the matches of the base patterns that
     are long enough, and the values in credential contexts that cost ``min_guesses`` or more."""
     found = [("hex", *m.span()) for m in HEX.finditer(text)]
@@ -169,7 +176,7 @@ def spans(text: str, min_guesses: float = 10.0, ranks: dict[str, float] = RANKS)
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
         inside = 0
         for a, b in values(text):  # a value that ends inside a longer secret is part of it
-            if b - a >= 6 and b > inside and guess_cost(text[a:b], ranks) >= min_guesses:
+            if b - a >= 6 and b > inside and guess_cost(text[a:b], ranks, longest) >= min_guesses:
                 found.append(("guess", a, b))
                 inside = b
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -189,18 +196,75 @@ def redact(text: str, found: list[tuple[str, int, int]], mark: str = "<SECRET>")
     return "".join([*out, text[at:]])
 
 
+def lowered(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(LOWER)
+
+
+def word_ranks(docs: DataFrame, text_col: str = "text", min_guesses: float = 10.0, min_rows: int = 3) -> dict[str, float]:
+    """log10 costs of words: ``RANKS`` and, by rank in the number of rows of ``docs`` that say them, the
+    words of at least ``min_rows`` rows that some value, dear by ``RANKS`` alone, holds.
+
+    Words stand alone (2 to 32 letters) and outside of values in credential contexts, so a secret does
+    not become a word by its own copies.  Only ranked words found in such values reach the driver."""
+    def run(batches):
+        def out(rows, parts):
+            words = [*rows, *parts]
+            return pa.RecordBatch.from_arrays([
+                pa.array(words, pa.string()), pa.array([*rows.values(), *[0] * len(parts)], pa.int64()),
+                pa.array([False] * len(rows) + [True] * len(parts), pa.bool_())], ["word", "rows", "held"])
+
+        rows, parts = Counter(), set()
+        longest = max(map(len, RANKS))
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                text = text or ""
+                low, at, said, inside = text.lower(), 0, [], 0
+                for a, b in sorted(values(text)) if any(h in low for h in HINTS) else ():
+                    said.append(text[at:max(a, at)])
+                    at = max(at, b)
+                    if b - a >= 6 and b > inside and guess_cost(text[a:b], RANKS, longest) >= min_guesses:
+                        inside, value = b, lowered(text[a:b])
+                        for form in {value, value.translate(LEET)}:
+                            for m in LETTERS.finditer(form):
+                                for i in range(m.start(), m.end() - 1):
+                                    parts.update(form[i:j] for j in range(i + 2, min(i + 32, m.end()) + 1))
+                                    if len(parts) > FLUSH:
+                                        yield out({}, parts)
+                                        parts = set()
+                rows.update(set(WORD.findall(lowered(" ".join([*said, text[at:]])))))
+                if len(rows) > FLUSH:
+                    yield out(rows, ())
+                    rows = Counter()
+        yield out(rows, parts)
+
+    counts = stored(docs.selectExpr(f"`{text_col}` AS text").mapInArrow(run, "word string, rows long, held boolean")
+                    .groupBy("word").agg(F.sum("rows").alias("rows"), F.max("held").alias("held"))
+                    .where(F.col("rows") >= min_rows), "secret-words")
+    rank, before = {}, 0
+    for r in sorted(counts.groupBy("rows").count().collect(), reverse=True):  # one row per number of rows
+        rank[r[0]] = before + 1
+        before += r[1]
+    ranks = dict(RANKS)
+    for word, n in counts.where("held").select("word", "rows").collect():
+        ranks[word] = min(ranks.get(word, math.inf), math.log10(rank[n] + 1))
+    return ranks
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 min_guesses: float = 10.0) -> DataFrame:
+                 min_guesses: float = 10.0, ranks: dict[str, float] | None = None) -> DataFrame:
     """One row per input row: id, spans array<struct<kind, start, end>> and the redacted text.
 
-    Null text: no span, redacted text null.  Texts are scanned whole; repeated rows keep a row each."""
+    Null text: no span, redacted text null.  Texts are scanned whole; repeated rows keep a row each.
+    ``ranks``: word costs, by default those of ``word_ranks`` over ``docs``."""
+    ranks = word_ranks(docs, text_col, min_guesses) if ranks is None else ranks
+    longest = max(map(len, ranks), default=0)
     id_type = docs.schema[id_col].dataType.simpleString()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = [spans(t or "", min_guesses) for t in texts]
+            found = [spans(t or "", min_guesses, ranks, longest) for t in texts]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0),
                 pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f] for f in found], kind),
@@ -212,16 +276,18 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
-                     min_guesses: float = 10.0) -> DataFrame:
+                     min_guesses: float = 10.0, ranks: dict[str, float] | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with every secret span of the text replaced; ``length_col``,
-    where there is one, is the new length in characters of a text that changed."""
+    where there is one, is the new length in characters of a text that changed.  ``ranks`` as in ``scan_secrets``."""
+    ranks = word_ranks(docs, text_col, min_guesses) if ranks is None else ranks
+    longest = max(map(len, ranks), default=0)
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             columns = dict(zip(names, batch.columns))
             texts = batch.column(text_col).to_pylist()
-            found = [spans(t or "", min_guesses) for t in texts]
+            found = [spans(t or "", min_guesses, ranks, longest) for t in texts]
             if any(found):
                 new = [redact(t, f) if f else t for t, f in zip(texts, found)]
                 columns[text_col] = pa.array(new, batch.schema.field(text_col).type)
@@ -236,8 +302,6 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str =
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Registered query: secret spans of all documents."""
-    from pyspark.sql import functions as F
-
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"] != "guess")
     text = F.array_join(F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
