@@ -92,3 +92,11 @@ def test_pattern_rules_run_only_on_urls_with_their_token(spark):
     pages = spark.createDataFrame([(1, "http://a/foo12.html"), (2, "http://a/promo/x"), (3, "http://a/b")], "page_id long, url string")
     out = {r.id: r.verdict for r in urlrules.judge_urls(pages, host_rules=(), pattern_rules=rules).collect()}
     assert out == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_literals_are_whole_tokens_of_every_match(spark, tmp_path):
+    urls = ["http://ads.example.organic.net/", "http://ads.example.org/"] + [f"http://x.example.com/{i}" for i in range(5)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = QUERIES["op6_url_filter"](spark, str(tmp_path))  # org is rarer than example here
+    rows = [tuple(r) for r in df.collect()]
+    compare("op6_url_filter", {"pages": f"{tmp_path}/pages.parquet/*.parquet"}, rows, df.columns)

@@ -22,7 +22,7 @@ PATTERN_RULES = (
     (r"^[^:]*://([^/?#]*\.)?casino-[a-z0-9]+\.", ("casino",)),
     (r"^[^:]*://([^/?#]*\.)?free-bets\.", ("free", "bets")),
     (r"^[^:]*://([^/?#]*\.)?cheap-pills\.", ("cheap", "pills")),
-    (r"^[^:]*://([^/?#]*\.)?(ads|adserver|doubleclick)\.example\.org", ("example", "org")),
+    (r"^[^:]*://([^/?#]*\.)?(ads|adserver|doubleclick)\.example\.org", ("example",)),
 )
 
 
