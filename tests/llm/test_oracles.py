@@ -100,3 +100,13 @@ def test_literals_are_whole_tokens_of_every_match(spark, tmp_path):
     df = QUERIES["op6_url_filter"](spark, str(tmp_path))  # org is rarer than example here
     rows = [tuple(r) for r in df.collect()]
     compare("op6_url_filter", {"pages": f"{tmp_path}/pages.parquet/*.parquet"}, rows, df.columns)
+
+
+def test_host_rules_are_filed_under_their_rarest_token(spark):
+    urls = ["http://a.com/en/", "http://b.com/en/", "http://example.com/x", "http://c.net/es/", "http://d.net/x", "http://x.net/english"]
+    rules = (*urlrules.HOST_RULES, ("block", "net", "/en"))
+    offered = spark.createDataFrame([(u,) for u in urls], "url string").selectExpr("explode(regexp_extract_all(url, '([a-z0-9]+)', 1)) AS token")
+    out = {r.rule or r.pattern_id: r.token for r in urlrules.rule_index(offered, rules, urlrules.PATTERN_RULES).collect()}
+    assert out["com/"] == "com" and out["example.com/en/"] == "example" and out["net/es/"] == "es" and out["net/en"] == "net"
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r.id: r.rule for r in urlrules.judge_urls(pages, host_rules=rules).collect()}[5] == "net/en"

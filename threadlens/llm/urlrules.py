@@ -1,13 +1,14 @@
-"""URL filters: pattern rules indexed by their rarest literal token.
+"""URL filters: rules indexed by their rarest literal token.
 
-Host rules (a host with a path prefix) are looked up by equality: a URL offers each suffix of its
-host, and the longest rule that fits decides.  Pattern rules are regular expressions; each is filed
-under the one of its literal tokens that is rarest in the URLs at hand.  A URL fetches the rules filed
-under its own tokens, and only those run their regular expression on it.
+Host rules are a host with a path prefix, pattern rules regular expressions.  Each rule is filed under
+the one of its literal tokens that is rarest in the URLs at hand.  A URL fetches the rules filed under
+its own tokens, and only those are verified on it: host and path prefix, or the regular expression.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,11 +42,26 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_lower(url), F.lit("([a-z0-9]+)"), 1))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and all its parent domains."""
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)),
-                       lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+def whole_tokens(host: str, path: str) -> list[str]:
+    """The tokens that every URL under this host and path prefix holds whole."""
+    ended = re.sub(r"[a-z0-9]+$", "", path.lower(), flags=re.ASCII)  # the path may go on behind its last run
+    return sorted(set(re.findall(r"[a-z0-9]+", f"{host} {ended}")))
+
+
+def rule_index(offered: DataFrame, host_rules, pattern_rules) -> DataFrame:
+    """All rules, each under the rarest of its literal tokens among the tokens offered ('' without any)."""
+    rules = [(None, None, f"{h}{p}", h, p, a, whole_tokens(h, p)) for a, h, p in host_rules]
+    rules += [(i, p, None, None, None, None, list(t)) for i, (p, t) in enumerate(pattern_rules)]
+    names = ["pattern_id", "pattern", "rule", "rule_host", "rule_path", "action"]
+    literals = offered.sparkSession.createDataFrame(
+        rules, "pattern_id int, pattern string, rule string, rule_host string, rule_path string, action string, "
+               "literals array<string>").select(*names, F.explode(
+                   F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit("")))).alias("token"))
+    seen = offered.join(F.broadcast(literals.select("token").distinct()), "token", "left_semi").groupBy("token") \
+        .agg(F.count("*").alias("n"))
+    return (literals.join(seen, "token", "left").groupBy(*names)
+            .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
+            .select(*names, F.col("rarest.token").alias("token")))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules=HOST_RULES,
@@ -62,30 +78,19 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                   .select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
                   .withColumn("row", F.monotonically_increasing_id()), "urls")
 
-    rules = spark.createDataFrame([(f"{h}{p}", h, p, a) for a, h, p in host_rules],
-                                  "rule string, rule_host string, rule_path string, action string")
-    # equal lengths can't fit one URL twice unless the rules are equal; the text decides then
-    longest = F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("best")
-    fitting = (urls.select("row", "path", F.explode(host_suffixes(F.col("host"))).alias("rule_host"))
-               .join(rules, "rule_host").where(F.expr("startswith(path, rule_path)"))
-               .groupBy("row").agg(longest))
-
-    patterns = spark.createDataFrame([(i, p, list(t)) for i, (p, t) in enumerate(pattern_rules)],
-                                     "pattern_id int, pattern string, literals array<string>")
-    literals = patterns.select("pattern_id", "pattern", F.explode(
-        F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit("")))).alias("token"))
-    offered = urls.where("url IS NOT NULL").select("row", "url", F.explode(
+    offered = urls.where("url IS NOT NULL").select("row", "url", "host", "path", F.explode(
         F.array_union(F.array(F.lit("")), url_tokens(F.col("url")))).alias("token"))
-    seen = offered.join(literals.select("token").distinct(), "token", "left_semi").groupBy("token") \
-        .agg(F.count("*").alias("n"))
-    index = stored(literals.join(seen, "token", "left").groupBy("pattern_id", "pattern")
-                   .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
-                   .select("pattern_id", "pattern", F.col("rarest.token").alias("token")), "url-index")
-    matched = (offered.join(index, "token").where(F.expr("lower(url) RLIKE pattern"))
-               .groupBy("row").agg(F.min(F.struct("pattern_id", "pattern")).alias("hit")))
+    index = stored(rule_index(offered, host_rules, pattern_rules), "url-index")
+    under = (F.col("host") == F.col("rule_host")) | F.expr("endswith(host, concat('.', rule_host))")
+    fits = F.when(F.col("rule").isNotNull(), under & F.expr("startswith(path, rule_path)")) \
+        .otherwise(F.expr("lower(url) RLIKE pattern"))
+    # equal lengths can't fit one URL twice unless the rules are equal; the text decides then
+    matched = offered.join(index, "token").where(fits).groupBy("row").agg(
+        F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "action"))).alias("best"),
+        F.min(F.when(F.col("pattern").isNotNull(), F.struct("pattern_id", "pattern"))).alias("hit"))
 
     verdict = F.coalesce(F.col("best.action"), F.when(F.col("hit").isNotNull(), F.lit("block")), F.lit("allow"))
-    return (urls.join(fitting, "row", "left").join(matched, "row", "left")
+    return (urls.join(matched, "row", "left")
             .select("id", "host", "path", F.col("best.rule").alias("rule"), F.col("hit.pattern").alias("pattern"),
                     verdict.alias("verdict")))
 
