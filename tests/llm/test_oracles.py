@@ -29,7 +29,7 @@ def test_generated_tables(spark, name):
 WORDS = "alpha beta gamma delta the under mit license apache version 2 cc by nc É é".split()
 
 
-@pytest.mark.parametrize("name", ["op3_license_scan", "op7_decontamination"])
+@pytest.mark.parametrize("name", ["op3_license_scan", "op7_decontamination", "op11_line_dedup"])
 def test_odd_texts(spark, tmp_path, name):
     import random
     rng = random.Random(9)

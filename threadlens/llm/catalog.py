@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, maxent, packing, secret_scan, sharding, simhash, toxicity, urlrules, vecjoin
+from . import (decontam, licenses, linededup, maxent, packing, secret_scan, sharding, simhash, toxicity, urlrules,
+               vecjoin)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,10 +16,12 @@ QUERIES = {
     "op8_embedding_dedup": vecjoin.op8_embedding_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_line_dedup": linededup.op11_line_dedup,
 }
 
 ORACLE = {
     "op3_license_scan": licenses.ORACLE,
     "op6_url_filter": urlrules.ORACLE,
     "op7_decontamination": decontam.ORACLE,
+    "op11_line_dedup": linededup.ORACLE,
 }
