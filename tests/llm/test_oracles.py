@@ -22,7 +22,7 @@ def compare(name, tables, rows, cols):
 def test_generated_tables(spark, name):
     sf = "/root/testdata/sf0.001"
     df = QUERIES[name](spark, sf)
-    compare(name, {t: f"{sf}/{t}.parquet" for t in ("documents", "pages", "benchmark")},
+    compare(name, {t: f"{sf}/{t}.parquet" for t in ("documents", "pages", "benchmark", "conversations")},
             [tuple(r) for r in df.collect()], df.columns)
 
 
