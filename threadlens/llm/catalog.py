@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (convrepair, decontam, licenses, linededup, maxent, packing, secret_scan, sharding, simhash, toxicity,
-               urlrules, vecjoin)
+from . import (convrepair, decontam, licenses, linededup, maxent, packing, secret_scan, sharding, simhash, spelling,
+               toxicity, urlrules, vecjoin)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_line_dedup": linededup.op11_line_dedup,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_conversation_repair": convrepair.op13_conversation_repair,
 }
 
@@ -25,5 +26,6 @@ ORACLE = {
     "op6_url_filter": urlrules.ORACLE,
     "op7_decontamination": decontam.ORACLE,
     "op11_line_dedup": linededup.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
     "op13_conversation_repair": convrepair.ORACLE,
 }
