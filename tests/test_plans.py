@@ -8,7 +8,8 @@ from threadlens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 BODY_COLS = {"body", "_body", "_lb"}  # key points and issues carry single sentences named text, of bounded length
-PY_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "PythonMapInArrow", "FlatMapGroupsInPandas")
+PY_NODES = ("EvalPython", "MapInPandas", "MapInArrow", "FlatMapGroups", "FlatMapCoGroups", "WindowInPandas", "ArrowWindowPython",
+            "AggregateInPandas", "ArrowAggregatePython", "PythonUDTF")
 
 
 def _walk(node, seen):
@@ -109,10 +110,14 @@ def test_pushdown_and_pruning(spark, tmp_path):
     assert "ReadSchema: struct<message_id:bigint,folder:string,sender:string>" in plan
 
 
-def test_sequence_window_split_by_range(spark, spread):
+def test_sequence_is_one_exchange_below_the_window(spark, spread):
+    """Nothing is written and no range sort runs: the source, one exchange by thread, the window
+    (tests/test_skew.py covers hot threads, which are split by range)."""
     plan = _plan(catalog.QUERIES["message_sequence"](spark, spread)).toString()
-    above, below = plan.split("Window [row_number", 1)
-    assert "_bkt" in below.split("Exchange hashpartitioning(", 1)[1].split(")")[0]
+    below = plan.split("Window [row_number", 1)[1].split("Window", 1)[0].split("SortMergeJoin", 1)[0]
+    first = below.split("Exchange", 1)[1]
+    assert first.startswith(" hashpartitioning(thread_key") and "rangepartitioning" not in plan
+    assert "conversations.parquet" in below and "sequence-" not in plan
 
 
 def test_no_cross_or_nested_loop_joins(spark):

@@ -134,8 +134,86 @@ def model_input(features: DataFrame) -> DataFrame:
                        .otherwise(F.col("_t")).alias("model_input"))
 
 
-def collect_ranked(df: DataFrame, rank: str, value: str, out: str) -> DataFrame:
-    """Bounded list per thread (the input is already capped) in rank order."""
-    return df.groupBy("thread_key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(value).alias("v")))),
-                    lambda x: x["v"]).alias(out))
+# the lists of a summary, tagged rows of one table: (cap, order of the fields o1..o4 is ascending)
+LIST_CAPS = {"sender": C.CAP_STAKEHOLDERS, "point": C.CAP_KEY_POINTS, "issue": C.CAP_ISSUES,
+             "hit": C.CAP_EVENTS, "last": C.FLOW_MESSAGES}
+
+
+def _candidates(features: DataFrame) -> DataFrame:
+    """Tagged candidates of every capped list: (thread_key, tag, o1..o4, text, n, message).  Distinct texts
+    (senders, key points, issues) are counted with their first place, in one aggregate; middle events and
+    last messages carry the message's columns."""
+    micros, mid = X.ntz_micros("received_time"), F.col("message_id")
+
+    def text_row(tag, text, word_pos):
+        return F.struct(F.lit(tag).alias("tag"), text.alias("text"), word_pos.alias("word_pos"))
+
+    points = F.transform("key_sentences", lambda k: text_row(
+        "point", F.concat(F.lit("["), F.col("sender"), F.lit("] "), k["text"]), k["word_pos"]))
+    texts = F.concat(F.array(text_row("sender", F.col("sender"), F.lit(0))), points,
+                     F.when(F.col("issue").isNotNull(), F.array(text_row("issue", F.col("issue"), F.lit(0)))).otherwise(F.array()))
+    first = F.min(F.struct("o2", "o3", "word_pos"))
+    counted = (features.select("thread_key", micros.alias("o2"), mid.alias("o3"), F.explode(texts).alias("x"))
+               .select("thread_key", "o2", "o3", "x.*").groupBy("thread_key", "tag", "text")
+               .agg(F.count(F.lit(1)).alias("n"), first.alias("f")))
+    # senders by count, then all by first appearance
+    counted = counted.select("thread_key", "tag", F.when(F.col("tag") == "sender", -F.col("n")).otherwise(0).alias("o1"),
+                             "f.o2", "f.o3", F.col("f.word_pos").alias("o4"), "text", "n")
+
+    def message_row(tag, o2, o3, *cols):
+        message = F.struct(*[F.col(c) if c in cols else F.lit(None).cast(features.schema[c].dataType).alias(c)
+                             for c in ("message_id", "received_time", "sender", "is_urgent", "subject", "preview", "action_lines")])
+        return F.struct(F.lit(tag).alias("tag"), o2.alias("o2"), o3.alias("o3"), message.alias("message"))
+
+    hit = message_row("hit", micros, mid, "message_id", "received_time", "sender", "is_urgent")
+    last = message_row("last", F.bitwise_not(micros), F.bitwise_not(mid), *LAST_COLUMNS)
+    messages = (features.select("thread_key", F.explode(F.when(F.col("is_urgent") | F.col("has_delay"), F.array(last, hit))
+                                                        .otherwise(F.array(last))).alias("x"))
+                .select("thread_key", "x.tag", F.lit(0).cast("long").alias("o1"), "x.o2", "x.o3", F.lit(0).alias("o4"), "x.message"))
+    return counted.unionByName(messages, allowMissingColumns=True)
+
+
+def list_arrays(features: DataFrame) -> DataFrame:
+    """All capped lists of a thread as raw arrays, one row per thread: one aggregate of the distinct texts, one
+    window over (thread, list) whose limits run before its exchange, and one aggregate per thread of the few
+    rows left."""
+    w = Window.partitionBy("thread_key", "tag").orderBy("o1", "o2", "o3", "o4")
+    # one limit for the window (the largest cap), so it is cut before the exchange; each list's own cap after
+    ranked = (_candidates(features).withColumn("rank", F.row_number().over(w))
+              .filter(F.col("rank") <= max(LIST_CAPS.values())))
+
+    def listed(tag, *fields):
+        item = F.when((F.col("tag") == tag) & (F.col("rank") <= LIST_CAPS[tag]), F.struct("rank", *fields))
+        return F.array_sort(F.collect_list(item)).alias(f"_{tag}")
+
+    return ranked.groupBy("thread_key").agg(
+        listed("sender", "text", "n"), listed("point", "text"), listed("issue", "text"), listed("hit", "message"),
+        listed("last", "message"))
+
+
+@X.per_session
+def list_columns() -> dict:
+    """The lists of a summary row from ``list_arrays`` and the thread's metadata."""
+    first = F.concat(F.lit("["), X.minute_text("start_time"), F.lit("] Thread started by "),
+                     F.col("first_sender"), F.lit(": "), F.col("first_subject"))
+    latest = F.concat(F.lit("["), X.minute_text("end_time"), F.lit("] Latest update from "), F.col("last_sender"))
+    # first and last messages are no middle hits; at most CAP_EVENTS hits are kept, two places go to the ends
+    middle = F.transform(
+        F.filter("_hit", lambda h: (h["message"]["message_id"] != F.col("first_message_id"))
+                 & (h["message"]["message_id"] != F.col("last_message_id"))),
+        lambda h: F.concat(F.lit("["), X.minute_text(h["message"]["received_time"]), F.lit("] "),
+                           F.when(h["message"]["is_urgent"], F.lit("URGENT: Update from "))
+                           .otherwise(F.lit("Delay reported by ")), h["message"]["sender"]))
+    ends = F.when(F.col("email_count") > 1, F.array(first, latest)).otherwise(F.array(first))
+    ascending = F.reverse("_last")
+    of_last = F.slice(ascending, F.greatest(F.size(ascending) - (C.ACTION_MESSAGES - 1), F.lit(1)), F.lit(C.ACTION_MESSAGES))
+    return {
+        "key_events": F.slice(F.concat(ends, middle), 1, C.CAP_EVENTS),
+        "stakeholders": F.transform("_sender", lambda x: F.concat(x["text"], F.lit(" ("), x["n"].cast("string"), F.lit(" emails)"))),
+        "action_items": F.slice(F.flatten(F.transform(of_last, lambda x: x["message"]["action_lines"])), 1, C.CAP_ACTIONS),
+        "key_points": F.transform("_point", lambda x: x["text"]),
+        "issues": F.transform("_issue", lambda x: x["text"]),
+        "conversation_flow": F.transform(ascending, lambda x: F.struct(
+            X.minute_text(x["message"]["received_time"]).alias("date"), x["message"]["sender"].alias("sender"),
+            x["message"]["subject"].alias("subject"), x["message"]["preview"].alias("preview"))),
+    }

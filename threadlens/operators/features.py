@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import Params
 from ..functions import text as X
+from . import phrases as PH
 
 THREAD_KEY_NULL = "\u0000"  # stands in for a NULL conversation id inside thread_key
 
@@ -104,6 +105,8 @@ def _feature_columns(p: Params) -> list:
         F.concat(F.lit("["), X.day_text("received_time"), F.lit("] "), issue_sent).alias("issue"),
         X.preview(b).alias("preview"),
         X.snippet(b).alias("snippet"),
+        # only where some keyword holds a space
+        *(PH.phrase_columns(p, F.col("subject"), b) if PH.phrases(p) else []),
     ]
 
 

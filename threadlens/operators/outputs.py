@@ -92,7 +92,7 @@ def report_totals(meta: DataFrame) -> DataFrame:
 
 def number_by_start(meta: DataFrame, p: Params, out: str = "item_no") -> DataFrame:
     """1-based number by start descending (ties by thread key), distributed over ranges of that order."""
-    return bucketed_row_number(meta, [], [F.col("start_time").desc(), F.col("thread_key")], out=out)
+    return bucketed_row_number(meta, [], ["-start_time", "thread_key"], out=out)
 
 
 def report_lines(meta: DataFrame, p: Params) -> DataFrame:
@@ -163,7 +163,8 @@ def export_sheet(meta: DataFrame) -> DataFrame:
 def sender_palette(features: DataFrame) -> DataFrame:
     """A10: distinct senders per thread with a 0-based palette slot in sender order."""
     senders = features.select("thread_key", "sender").distinct()
-    return bucketed_row_number(senders, ["thread_key"], [F.col("sender")], out="_slot").select("thread_key", "sender", (F.col("_slot") - 1).alias("color_slot"))
+    return bucketed_row_number(senders, ["thread_key"], ["sender"], out="_slot").select(
+        "thread_key", "sender", (F.col("_slot") - 1).alias("color_slot"))
 
 
 def _subject_cut(c) -> Column:

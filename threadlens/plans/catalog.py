@@ -796,9 +796,44 @@ def q_document_clean_body(spark, sf):
     return m.select("message_id", X.clean_body(F.coalesce(F.col("body"), F.lit(""))).alias("clean_body"))
 
 
-# --------------------------------------------------------------------------- high-volume threads
+# --------------------------------------------------------------------------- keywords of several words
 from ..sources.messages import messages_from_events  # noqa: E402
 
+# within a body, across subject and body, from one message into the next, and over a whole short message
+PHRASES = {"is_urgent": ("this is urgent", "j. re: plan"), "has_delay": ("week 3 dear all", "j. fwd: care: order"),
+           "is_transport": ("loading dock", "j. re: load", "7 the truck"), "is_customs": ("for customs clearance", "j. a very long")}
+EVENT_PHRASES = {"is_urgent": ('5} event click {"k": 7',), "has_delay": ('} event view {"k": 26} event',),
+                 "is_transport": ('} event view {"k": 2} event view {"k": 2',), "is_customs": ("loading dock", "error {")}
+
+
+def with_phrases(p, extra: dict):
+    from ..operators.phrases import FLAGS
+    return p.with_(**{name: getattr(p, name) + extra[flag] for flag, name in FLAGS.items()})
+
+
+def _phrase_sql(extra: dict) -> str:
+    """The flags of the words, or a keyword with spaces anywhere in the thread's whole text."""
+    flags = ", ".join(f"m.{flag} OR {O.any_in('t.text', kws)} AS {flag}" for flag, kws in extra.items())
+    return f"""SELECT m.thread_key, {flags} FROM meta m JOIN (
+  SELECT thread_key, lower(string_agg(subject || ' ' || body, ' ' ORDER BY received_time, message_id)) AS text
+  FROM kf GROUP BY thread_key) t USING (thread_key)"""
+
+
+@register("phrase_flags", _phrase_sql(PHRASES))
+def q_phrase_flags(spark, sf):
+    """X3 with keywords that hold spaces, over the conversations."""
+    j = ThreadJob(messages_from_conversations(spark, sf), with_phrases(P, PHRASES))
+    return j.meta.select("thread_key", *PHRASES)
+
+
+@register("event_phrase_flags", _phrase_sql(EVENT_PHRASES), adapter=O.EVENTS_ADAPTER)
+def q_event_phrase_flags(spark, sf):
+    """The same over the events: long threads of short messages, keywords that hold whole messages."""
+    j = ThreadJob(messages_from_events(spark, sf), with_phrases(P, EVENT_PHRASES))
+    return j.meta.select("thread_key", *EVENT_PHRASES)
+
+
+# --------------------------------------------------------------------------- high-volume threads
 
 def event_job(spark, sf) -> ThreadJob:
     key = (spark.sparkContext.applicationId, sf, "events")

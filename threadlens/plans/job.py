@@ -26,6 +26,7 @@ from ..operators import extract as E
 from ..operators import features as FE
 from ..operators import lifecycle as L
 from ..operators import outputs as O
+from ..operators import phrases as PH
 from ..operators import render as R
 from ..operators import scoring as S
 from ..operators import sequence as Q
@@ -98,7 +99,8 @@ class ThreadJob:
     def meta(self) -> DataFrame:
         """Thread metadata + endpoints for threads with enough messages (one row per thread,
         materialised like the features: every branch reads it instead of re-aggregating)."""
-        return self._materialize(T.thread_metadata(self.features, self.params, self.min_messages))
+        m = T.thread_metadata(self.features, self.params, self.min_messages)
+        return self._materialize(PH.with_phrase_flags(m, self.features, self.params))
 
     def _materialize(self, df: DataFrame) -> DataFrame:
         """``checkpoint`` (default): written to the shared ``spark.checkpoint.dir`` and the lineage
@@ -115,7 +117,8 @@ class ThreadJob:
 
     def with_participants(self, threads: DataFrame) -> DataFrame:
         """A per-thread table with the sorted sender list added (for outputs that show it)."""
-        source = self.features if self.materialize == "none" else self.envelope
+        # once the feature table exists it holds the senders: no second scan of the messages
+        source = self.features if self.materialize == "none" or "features" in self.__dict__ else self.envelope
         return threads.join(T.participants(source), "thread_key", "left")
 
     def _kept_only(self, df: DataFrame) -> DataFrame:
@@ -202,37 +205,15 @@ class ThreadJob:
     # -- summary ------------------------------------------------------------
     @cached_property
     def lists(self) -> DataFrame:
-        """All capped lists of a thread as arrays, one row per thread."""
-        flow = self.raw_flow.groupBy("thread_key").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("flow_pos", "date", "sender", "subject", "preview"))),
-                        lambda x: F.struct(x["date"].alias("date"), x["sender"].alias("sender"),
-                                           x["subject"].alias("subject"), x["preview"].alias("preview")))
-            .alias("conversation_flow"))
-        parts = [
-            E.collect_ranked(self.events, "event_rank", "event", "key_events"),
-            E.collect_ranked(self.raw_stakeholders, "stakeholder_rank", "stakeholder", "stakeholders"),
-            E.collect_ranked(self.raw_action_items, "item_rank", "action_item", "action_items"),
-            E.collect_ranked(self.raw_key_points, "point_rank", "key_point", "key_points"),
-            E.collect_ranked(self.raw_issues, "issue_rank", "issue", "issues"),
-            flow,
-        ]
-        out = self.meta.select("thread_key")
-        for p in parts:
-            out = out.join(p, "thread_key", "left")
-        empty = F.array().cast("array<string>")
-        return out.select(
-            "thread_key",
-            *[F.coalesce(F.col(c), empty).alias(c)
-              for c in ("key_events", "stakeholders", "action_items", "key_points", "issues")],
-            F.coalesce(F.col("conversation_flow"),
-                       F.array().cast("array<struct<date:string,sender:string,subject:string,preview:string>>"))
-            .alias("conversation_flow"))
+        """The scored threads with all their capped lists as arrays, one row per thread.  Every kept thread
+        has a sender and a last message, so it has a row of arrays."""
+        raw = E.list_arrays(self.features)
+        return self.scored.join(raw, "thread_key").withColumns(E.list_columns()).drop(*[f"_{t}" for t in E.LIST_CAPS])
 
     @cached_property
     def summary(self) -> DataFrame:
         """The rule-based summary row of every thread (J1: metadata beside its lists)."""
-        s = self.scored.join(self.lists, "thread_key")
-        s = s.withColumn("method", F.lit(C.METHOD_RULES))
+        s = self.lists.withColumn("method", F.lit(C.METHOD_RULES))
         s = s.withColumn("executive_summary", R.executive_summary())
         s = s.withColumn("reply_template", R.reply_template())
         return s
