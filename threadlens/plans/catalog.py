@@ -218,6 +218,7 @@ from datetime import timedelta  # noqa: E402
 
 from ..operators import extract as E  # noqa: E402
 from ..operators import features as FE  # noqa: E402
+from ..operators import keywords as KW  # noqa: E402
 from ..operators import lifecycle as LC  # noqa: E402
 from ..operators import model as M  # noqa: E402
 from ..operators import outputs as OUT  # noqa: E402
@@ -259,6 +260,19 @@ def q_keyword_hits(spark, sf):
     return FE.keyword_hits(messages_from_conversations(spark, sf), KW_LISTS)
 
 
+@register("keyword_table_hits", """
+SELECT message_id, list_name, keyword
+FROM (SELECT message_id, lower(coalesce(subject, '') || ' ' || coalesce(body, '')) AS text FROM msgs) m
+JOIN (SELECT DISTINCT lang AS list_name, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS keyword FROM documents) k
+  ON contains(m.text, k.keyword)""")
+def q_keyword_table_hits(spark, sf):
+    """J3 with tens of thousands of keywords from a table: every word of six letters or more that the
+    documents hold, a list per language, looked for in the messages."""
+    words = spark.read.parquet(f"{sf}/documents.parquet").select(
+        F.col("lang").alias("list_name"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"))).alias("keyword"))
+    return KW.keyword_table_hits(messages_from_conversations(spark, sf), words.distinct())
+
+
 @register("clean_body", "SELECT message_id, clean_body FROM cb")
 def q_clean_body(spark, sf):
     m = messages_from_conversations(spark, sf)
