@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stored
 
 WHITE = " \t\n\x0b\f\r"  # stripped at a line's ends
 LINE_KEY = ["line1", "line2"]
@@ -65,7 +65,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     occur."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = line_keys(rows, min_chars)
-    dropped = (lines.join(frequent_lines(lines, min_docs), LINE_KEY).where(~F.col("id").eqNullSafe(F.col("last")))
+    # a table of its own: both sides of the join are plain exchanges then, whose hot keys Spark can split
+    frequent = stored(frequent_lines(lines, min_docs), "frequent-lines")
+    dropped = (lines.join(frequent, LINE_KEY).where(~F.col("id").eqNullSafe(F.col("last")))
                .groupBy(*ROW_KEY).agg(F.collect_set("pos").alias("dropped"))
                .select(*[F.col(c).alias(f"d_{c}") for c in ROW_KEY], "dropped"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
