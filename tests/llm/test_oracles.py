@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from threadlens.llm import decontam, licenses, urlrules
 from threadlens.llm.catalog import ORACLE, QUERIES
@@ -22,7 +23,7 @@ def compare(name, tables, rows, cols):
 def test_generated_tables(spark, name):
     sf = "/root/testdata/sf0.001"
     df = QUERIES[name](spark, sf)
-    compare(name, {t: f"{sf}/{t}.parquet" for t in ("documents", "pages", "benchmark", "conversations")},
+    compare(name, {t: f"{sf}/{t}.parquet" for t in ("documents", "pages", "benchmark", "conversations", "embeddings")},
             [tuple(r) for r in df.collect()], df.columns)
 
 
@@ -46,22 +47,77 @@ def test_odd_texts(spark, tmp_path, name):
     df = QUERIES[name](spark, str(tmp_path))
     got = [tuple(r) for r in df.collect()]
     assert len(got) == len(rows)
-    if name == "op7_decontamination":  # null ids of items: marked words, no entry; SQL counts them otherwise
-        got = [r for r in got]
-        con_items = [i for i in items if i[0] is not None]
-        spark.createDataFrame(con_items, "item_id long, text string").write.parquet(f"{tmp_path}/b2.parquet")
-        spark.createDataFrame(con_items, "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
-        df = QUERIES[name](spark, str(tmp_path))
-        got = [tuple(r) for r in df.collect()]
     compare(name, {t: f"{tmp_path}/{t}.parquet/*.parquet" for t in ("documents", "benchmark")}, got, df.columns)
 
 
-def test_several_passes_find_the_same(spark, monkeypatch):
+NOTICES = [
+    ("Licensed under the Apache License, Version 2.0.", "apache-2"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl-3"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "lgpl-3"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
+    ("Released under the MIT License.", "mit"), ("This work is licensed under the Mozilla Public License, version 2.0.", "mpl-2"),
+    ("The driver licensed under the old scheme lost the license", ""), ("a license under the sea, released by the mit", ""),
+    ("Redistribution and use in source and\nbinary forms, with or without modification,\nare permitted provided that the\nfollowing conditions are met:", "bsd-3"),
+    ("This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public\n * License as "
+     "published by the Free Software Foundation, either version 3 of\n * the License, or (at your option) any later version.", "gpl-3"),
+    ("This work is licensed under the GNU General Public\nLicense, version 3.", "gpl-3"),
+    ("Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, "
+     "to deal in the Software without restriction, including\nwithout limitation the rights to use, copy, modify, merge, publish,\n"
+     "distribute, sublicense, and/or sell copies of the Software", "mit"),
+    ("Redistribution and use of this picture is not allowed", ""),
+    ("Released under the MIT License. " + "x " * 40 + "Licensed under the Apache License, Version 2.0.", "apache-2,mit"),
+    ("Released under the MIT License. Parts are licensed under CC BY-SA 4.0.", "cc-by-sa,mit"),
+]
+
+
+def test_each_notice_gets_its_own_label_alone(spark):
+    rows = [(i, pad + text, label) for i, (text, label) in enumerate(NOTICES) for pad in ("", "Some words stand before.\n# ")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, labels string")).collect()
+    assert sorted((r.id, ",".join(r.labels)) for r in got) == sorted((i, label) for i, _, label in rows)
+
+
+def test_template_words_lower_ascii_letters_alone():
+    assert licenses.template_words([("x", "Über MIT", "Über MIT É")]) == [(0, "x", "Über mit", ["Über", "mit", "É"])]
+
+
+def test_labels_of_the_generated_notices(spark):
+    """Every document of the table that holds a notice, and no other, gets that notice's label."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = {r.id: ",".join(r.labels) for r in licenses.scan_licenses(docs).collect()}
+    want = {r.doc_id: ",".join(sorted({label for text, label in NOTICES[:7] if text in (r.text or "")}))
+            for r in docs.select("doc_id", "text").collect()}
+    found = {i for i, x in got.items() if x}
+    assert len(found) > 200 and {i: x for i, x in want.items() if x and got[i] != x} == {}
+    assert {i: got[i] for i in found if not want[i]} == {}
+
+
+def found_places(docs, items):
+    places, of_window = decontam.occurrences(docs, items)
+    hits = decontam.text_hits(places, of_window)
+    return sorted(map(tuple, places.collect())), sorted((r.key, r.n_hit, tuple(r.items)) for r in hits.collect())
+
+
+def test_windows_too_many_to_broadcast_find_the_same(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    one = sorted(map(tuple, decontam.occurrences(docs, items).collect()))
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 200)
-    assert one and one == sorted(map(tuple, decontam.occurrences(docs, items).collect()))
+    one = found_places(docs, items)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(decontam, "SECTION", 7)  # stretches reach over edges
+    assert one[0] and one == found_places(docs, items)
+
+
+def test_items_never_travel_with_the_broadcast_windows(spark):
+    """A window that every item shares is one row of the broadcast, whatever their number."""
+    words = "one two three four five six seven eight nine ten"
+    items = spark.range(3000).selectExpr("id AS item_id", f"concat('{words} ', id) AS text")
+    docs = spark.createDataFrame([(1, f"x {words} y"), (2, "no")], "doc_id long, text string")
+    out = {r.id: (r.n_hit, len(r["items"])) for r in decontam.contamination(docs, items).collect()}
+    assert out == {1: (10, 3000), 2: (0, 0)}
+    once = decontam.item_windows(items, "item_id", "text", 10).select("win").distinct().count()
+    plan = decontam._occurrences(docs.selectExpr("'k' AS key", "split(text, ' ') AS words"),
+                                 decontam.item_windows(items, "item_id", "text", 10).withColumns(
+                                     {"w1": F.xxhash64("win"), "w2": F.xxhash64(F.lit(1), F.col("win"))}).drop("item").distinct(), 2)
+    assert once == 3001 and "collect_set" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_empty_tables(spark):
