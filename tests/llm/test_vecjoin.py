@@ -7,7 +7,7 @@ from threadlens.llm import vecjoin as V
 
 
 def brute(rows, cosine):
-    good = {i: np.array(v, float) for i, (_, v) in enumerate(rows)
+    good = {i: np.array(v, float) / np.abs(np.array(v, float)).max() for i, (_, v) in enumerate(rows)
             if v is not None and None not in v and len(v) and np.isfinite(np.array(v, float)).all() and np.any(v)}
     near = {i: [] for i in range(len(rows))}
     for i in good:
@@ -68,3 +68,59 @@ def test_registered_query(spark):
     out = QUERIES["op8_embedding_dedup"](spark, sf).withColumnRenamed("vec_id", "id")
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert got(out) == brute(rows, 0.9)
+
+
+def test_very_small_and_very_large_components(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        v = rng.normal(size=6)
+        rows += [(3 * i, (v * scale).tolist()) for scale in (1.0, 1e200, 1e-200)][: 1 + i % 3]
+    rows += [(900, [5e-324, 0.0, 0.0, 0.0, 0.0, 0.0]), (901, [1.0, 1e-200, 0.0, 0.0, 0.0, 0.0]), (902, [1e308] * 6), (903, [1e-308] * 6)]
+    out = got(V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert out == brute(rows, 0.9) and next(r for r in out if r[0] == 902)[1] == 1
+
+
+def test_a_full_tile_of_near_copies_is_quick():
+    """16,384 near-copies: every pair linked; both ways of working out links agree on a part of them."""
+    import time
+    rng = np.random.default_rng(1)
+    x = V.unit(np.ones((16_384, 64)) + rng.normal(size=(16_384, 64)) * 0.05)
+    axes = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    plan = V.block_plan(np.linspace(2, 1, 64), 4, 0.2)
+    ids, copies = np.arange(len(x)), np.ones(len(x), np.int64)
+    began = time.time()
+    out = V.join_tiles((ids, copies, x), (ids, copies, x), True, axes, plan, 0, 0.9)
+    took = time.time() - began
+    assert took < 20 * 8, took  # 20 s on a free core
+    assert sum(n for _, b, n in out if b is None) == 16_384 * 16_383
+    assert sum(b is not None for _, b, _ in out) == 16_383
+    few, some = x[:700], V.unit(x[:700] + rng.normal(size=(700, 64)) * 0.3)
+    y, z = some, some @ axes
+    for block, (a, b, share) in enumerate(plan):
+        near = V.squared(z[:, a:b], z[:, a:b]) <= share + 2 * V.SLACK
+        dense = {p for i, j in V.linked_dense(near, y, y, z, z, plan, block, 0.9) for p in zip(i.tolist(), j.tolist())}
+        sparse = {p for i, j in V.linked_sparse(near, y, y, z, z, plan, block, 0.9) for p in zip(i.tolist(), j.tolist())}
+        assert dense == sparse
+
+
+def test_forest_spans_what_it_is_given():
+    rng = np.random.default_rng(2)
+    f, parent = V.Forest(300), list(range(300))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for _ in range(20):
+        i, j = rng.integers(0, 300, 15), rng.integers(0, 300, 15)
+        u, v = f.add(i, j)
+        joined = 0
+        for a, b in zip(i.tolist(), j.tolist()):
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                parent[ra] = rb
+                joined += 1
+        assert len(u) == joined
+        same = {}
+        assert all(same.setdefault(find(k), f.root[k]) == f.root[k] for k in range(300)) and len(same) == len(set(f.root.tolist()))

@@ -25,6 +25,7 @@ ORACLE = {
     "op3_license_scan": licenses.ORACLE,
     "op6_url_filter": urlrules.ORACLE,
     "op7_decontamination": decontam.ORACLE,
+    "op8_embedding_dedup": vecjoin.ORACLE,
     "op11_line_dedup": linededup.ORACLE,
     "op12_spelling_variants": spelling.ORACLE,
     "op13_conversation_repair": convrepair.ORACLE,

@@ -28,10 +28,41 @@ TILE_VALUES = 1 << 20
 tiles as its strip and the next have, so small tiles would cost shuffle."""
 CHUNK = 512
 SLACK = 1e-9
+ROUNDING = 1e-11  # more than a matrix product of unit rows errs by, less than the slack
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+    """Rows of length 1; scaled by their largest component first, so no square over- or underflows."""
+    scaled = vectors / np.abs(vectors).max(1, initial=0.0)[:, None]
+    return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
+
+
+class Forest:
+    """Spanning forest of the pairs seen so far, over the numbered rows of two tiles."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of (i, j) that join two trees; each round hooks every higher root to a lower one."""
+        out = []
+        while len(i):
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            high, at = np.unique(np.maximum(a, b), return_index=True)
+            if not len(high):
+                break
+            out.append((i[at], j[at]))
+            self.root[high] = np.minimum(a, b)[at]
+            while True:
+                up = self.root[self.root]
+                if (up == self.root).all():
+                    break
+                self.root = up
+        if not out:
+            return i[:0], j[:0]
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def rotation(classes: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,44 +126,61 @@ def strips(classes: DataFrame, axes: np.ndarray, plan, dims: int) -> DataFrame:
         run, "id long, dim int, copies long, vector array<double>, block int, strip long")
 
 
+def squared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """All squared distances between two sets of rows, up to rounding."""
+    return np.einsum("ij,ij->i", left, left)[:, None] + np.einsum("ij,ij->i", right, right)[None, :] - 2 * (left @ right.T)
+
+
+def linked_sparse(near, x, y, zx, zy, plan, block: int, least: float):
+    """Of the cells marked ``near``: linked pairs whose first block is this one, each worked out by itself."""
+    i_all, j_all = np.nonzero(near)
+    for part in range(0, len(i_all), 65536):
+        i, j = i_all[part:part + 65536], j_all[part:part + 65536]
+        linked = np.einsum("ij,ij->i", x[i], y[j]) >= least
+        i, j = i[linked], j[linked]
+        first = np.ones(len(i), bool)
+        for c, (lo, hi, s) in enumerate(plan[:block + 1]):
+            d = np.square(zx[i, lo:hi] - zy[j, lo:hi]).sum(1) <= s + SLACK
+            first &= d if c == block else ~d
+        yield i[first], j[first]
+
+
+def linked_dense(near, x, y, zx, zy, plan, block: int, least: float):
+    """The same where many cells are near (copies of a few vectors): matrix products decide, and only cells
+    within rounding of a limit are worked out by themselves, so both ways agree."""
+    margin = x @ y.T - least
+    close = np.abs(margin) < ROUNDING
+    sure = near & (margin >= ROUNDING)
+    for c, (lo, hi, s) in enumerate(plan[:block + 1]):
+        d = squared(zx[:, lo:hi], zy[:, lo:hi]) - (s + SLACK)
+        close |= np.abs(d) < ROUNDING
+        sure &= d <= 0 if c == block else d > 0
+    yield np.nonzero(sure & ~close)
+    yield from linked_sparse(near & close, x, y, zx, zy, plan, block, least)
+
+
 def join_tiles(own, other, same: bool, axes, plan, block: int, least: float):
     """Links of two tiles (ids, copies, unit vectors) counted in this block: rows (id, null, number of
     linked rows) and edges (id, id, 0) of a spanning forest."""
     (ids_a, copies_a, x), (ids_b, copies_b, y) = own, other
     sums_a, sums_b = np.zeros(len(x)), np.zeros(len(y))
-    edges, root = [], {}
-
-    def find(i):
-        while root.setdefault(i, i) != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    # rows of one tile have one number on either side
+    shift = 0 if same else len(x)
+    forest, edges = Forest(len(x) + (0 if same else len(y))), []
     zx, zy = x @ axes, y @ axes
     a, b, share = plan[block]
-    left, right = np.ascontiguousarray(zx[:, a:b]), np.ascontiguousarray(zy[:, a:b])
-    n_left, n_right = np.einsum("ij,ij->i", left, left), np.einsum("ij,ij->i", right, right)
     for at in range(0, len(x), CHUNK):
-        near = n_left[at:at + CHUNK, None] + n_right[None, :] - 2 * (left[at:at + CHUNK] @ right.T) <= share + SLACK
+        some, z = x[at:at + CHUNK], zx[at:at + CHUNK]
+        near = squared(z[:, a:b], zy[:, a:b]) <= share + 2 * SLACK
         if same:
-            near &= np.arange(len(y))[None, :] > np.arange(at, min(at + CHUNK, len(x)))[:, None]
-        i_all, j_all = np.nonzero(near)
-        for part in range(0, len(i_all), 65536):
-            i, j = i_all[part:part + 65536] + at, j_all[part:part + 65536]
-            linked = np.einsum("ij,ij->i", x[i], y[j]) >= least
-            i, j = i[linked], j[linked]
-            first = np.ones(len(i), bool)
-            for c, (lo, hi, s) in enumerate(plan[:block + 1]):
-                d = np.square(zx[i, lo:hi] - zy[j, lo:hi]).sum(1) <= s + SLACK
-                first &= d if c == block else ~d
-            i, j = i[first], j[first]
+            near &= np.arange(len(y))[None, :] > np.arange(at, at + len(some))[:, None]
+        way = linked_dense if np.count_nonzero(near) > near.size // 16 else linked_sparse
+        for i, j in way(near, some, y, z, zy, plan, block, least):
+            i = i + at
             sums_a += np.bincount(i, copies_b[j], len(x))
             sums_b += np.bincount(j, copies_a[i], len(y))
-            for u, v in zip(ids_a[i].tolist(), ids_b[j].tolist()):
-                ru, rv = find(u), find(v)
-                if ru != rv:
-                    root[max(ru, rv)] = min(ru, rv)
-                    edges.append((u, v, 0))
+            u, v = forest.add(i, j + shift)
+            edges += zip(ids_a[u].tolist(), ids_b[v - shift].tolist(), [0] * len(u))
     counts = [(int(i), None, int(n)) for ids, sums in ((ids_a, sums_a), (ids_b, sums_b))
               for i, n in zip(ids, sums) if n]
     return counts + edges
@@ -229,3 +277,22 @@ def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """Registered query: links at cosine 0.9 or more among all embeddings."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9) \
         .withColumnRenamed("id", "vec_id")
+
+
+ORACLE = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+sized AS (
+  SELECT r, vec_id, e, list_max(list_transform(e, lambda x: abs(x))) AS most FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+good AS MATERIALIZED (SELECT r, vec_id, list_transform(e, lambda x: x / most) AS e FROM sized),
+normed AS MATERIALIZED (SELECT r, vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM good),
+pairs AS MATERIALIZED (
+  SELECT a.r, b.r AS other FROM normed a JOIN normed b ON len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_dot_product(a.e, b.e) >= 0.9),
+reach AS (SELECT r, r AS other FROM v UNION SELECT reach.r, pairs.other FROM reach JOIN pairs ON pairs.r = reach.other),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.other GROUP BY reach.r),
+counts AS (SELECT r, count(*) AS n FROM pairs GROUP BY r)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v LEFT JOIN counts USING (r) LEFT JOIN least USING (r)
+"""
