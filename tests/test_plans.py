@@ -47,7 +47,10 @@ def spread(spark, tmp_path_factory):
 
 
 # queries whose plan needs no keyed exchange: row-wise outputs, and what starts from stored tables
-KEYLESS = {"message_scan", "exclude_folders", "mail_only", "rejects", "keyword_hits", "clean_body", "document_clean_body"}
+KEYLESS = {"message_scan", "exclude_folders", "mail_only", "rejects", "keyword_hits", "clean_body", "document_clean_body",
+           "folder_tree_scan", "run_stats", "faulty_run_stats"}
+# keyword tables: texts with candidates meet them by message, so there (and there alone) texts cross an exchange
+TEXT_EXCHANGE = {"keyword_table_hits"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
@@ -59,6 +62,8 @@ def test_no_body_in_keyed_exchange(spark, spread, name):
             if part.startswith("hashpartitioning") or part.startswith("rangepartitioning"):
                 seen += 1
                 assert not (_outputs(node) & BODY_COLS), (name, part, _outputs(node))
+                if "message_id" in part and "text" in _outputs(node):
+                    assert name in TEXT_EXCHANGE, (name, part)
     if name in ("existing_threads", "mode_both", "thread_summary", "summary_markdown", "dashboard_cards", "timeline_text",
                 "message_sequence", "message_routing", "followup_marks", "find_thread", "identify_threads", "reply_queue"):
         assert seen > 0, name
@@ -76,7 +81,7 @@ def test_body_free_queries_never_read_a_body(spark, tmp_path, name):
     path = str(tmp_path / "messages")
     messages_from_conversations(spark, SF).write.parquet(path)
     before = dict(catalog._JOBS)
-    key = (spark.sparkContext.applicationId, "stored-messages", ())
+    key = (spark.sparkContext.applicationId, "stored-messages", "conversations", (None, None, None))
     catalog._JOBS[key] = catalog.ThreadJob(read_messages(spark, path), catalog.P)
     try:
         plan = _plan(catalog.QUERIES[name](spark, "stored-messages")).toString()
@@ -100,6 +105,27 @@ def test_top_k_limits_before_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_summary_lists_share_their_exchanges(spark, spread):
+    """After the features: one exchange for the distinct texts, one below the group-limited window, one per
+    thread; beside them only the metadata's.  The feature table is read twice, not once per list."""
+    plan = _plan(catalog.QUERIES["thread_summary"](spark, spread)).toString()
+    lists = plan.split("ObjectHashAggregate(keys=[thread_key", 1)[1]
+    dealt = [x.split(")")[0] for x in plan.split("Exchange hashpartitioning(")[1:]]
+    assert len(dealt) == 4 and plan.count("WindowGroupLimit") == 2 and plan.count(" Window [") == 1, dealt
+    assert lists.count("FileScan parquet") == 2
+    below = plan.split("WindowGroupLimit", 2)[1]
+    assert "Exchange hashpartitioning(thread_key" in below  # the limit also runs below the exchange
+
+
+def test_excluded_folders_are_partition_filters(spark, tmp_path):
+    from threadlens.sources import messages as MS
+    MS.write_message_tree(MS.messages_from_conversations(spark, SF), str(tmp_path / "tree"))
+    df = MS.read_message_tree(spark, str(tmp_path / "tree"), ("Customs", "2024"))
+    line = next(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+    assert "folder" in line.split("PartitionFilters: [")[1].split("]")[0] and df.schema["folder"].dataType.simpleString() == "string"
+    assert not any("folder=Customs" in f for f in {r[0] for r in df.select("_metadata.file_path").distinct().collect()})
+
+
 def test_pushdown_and_pruning(spark, tmp_path):
     from threadlens.sources.messages import messages_from_conversations, read_messages
     path = str(tmp_path / "messages")

@@ -192,6 +192,23 @@ def sender_series(seq: DataFrame) -> DataFrame:
                       hover.alias("hover_text"))
 
 
+SERIES_CHUNK = 1000
+
+
+def sender_series_chunks(seq: DataFrame, size: int = SERIES_CHUNK) -> DataFrame:
+    """The series of each sender as arrays (positions, times, labels, subjects, hover texts), in chunks of
+    at most ``size`` points numbered in order; ``first`` is the sender's first position.  Points are numbered
+    within (thread, sender) by the split numbering, so a sender of any size is many bounded rows."""
+    points = sender_series(seq).select("thread_key", "sender", "series_name", "y", "x", "text", "subject", "hover_text")
+    numbered = bucketed_row_number(points, ["thread_key", "sender"], ["y"], out="_point")
+    chunk = F.floor((F.col("_point") - 1) / size).cast("bigint")
+    fields = ("y", "x", "text", "subject", "hover_text")
+    grouped = numbered.groupBy("thread_key", "sender", "series_name", chunk.alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("_points"))
+    return grouped.select("thread_key", "sender", "series_name", "chunk",
+                          *[F.col("_points").getField(f).alias(f) for f in fields])
+
+
 def gantt(seq: DataFrame) -> DataFrame:
     """Interval to the next message, last one +1 hour; task/resource labels."""
     finish = F.coalesce(F.col("next_time"), F.col("received_time") + F.expr("INTERVAL 1 HOUR"))

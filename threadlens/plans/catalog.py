@@ -22,17 +22,31 @@ from .job import ThreadJob
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-_JOBS: dict[tuple, ThreadJob] = {}
+_JOBS: dict[tuple, object] = {}
+_TABLES = ("conversations", "documents", "events")
 
 
-def job(spark: SparkSession, sf_dir: str, **kw) -> ThreadJob:
-    """One ThreadJob per (session, input, options): repeated queries share its features."""
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(kw.items())))
-    j = _JOBS.get(key)
-    if j is None:
-        j = ThreadJob(messages_from_conversations(spark, sf_dir), P, **kw)
-        _JOBS[key] = j
-    return j
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the tables below a path were last changed, so that what is kept for a path is for its present data."""
+    jvm, out = spark._jvm, []
+    for t in _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append(fs.getFileStatus(path).getModificationTime() if fs.exists(path) else None)
+    return tuple(out)
+
+
+def kept(spark: SparkSession, sf_dir: str, kind: str, make: Callable):
+    """What ``make`` gives, once per session, input (and its state) and kind: repeated queries share a job's
+    features or a written store."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind, _state(spark, sf_dir))
+    if key not in _JOBS:
+        _JOBS[key] = make()
+    return _JOBS[key]
+
+
+def job(spark: SparkSession, sf_dir: str) -> ThreadJob:
+    return kept(spark, sf_dir, "conversations", lambda: ThreadJob(messages_from_conversations(spark, sf_dir), P))
 
 
 def register(name: str, sql: str | None = None, adapter: str = O.ADAPTER):
@@ -226,7 +240,10 @@ from ..operators import render as R  # noqa: E402
 from ..operators import scoring as S  # noqa: E402
 from ..operators import threads as T  # noqa: E402
 from ..session import scratch_path  # noqa: E402
+from ..sources import messages as MS  # noqa: E402
 from ..sources import stored as ST  # noqa: E402
+from ..sources import versions as V  # noqa: E402
+from . import run as RUN  # noqa: E402
 
 
 @register("mail_only", f"SELECT message_id, item_class FROM msgs WHERE item_class = {C.MAIL_ITEM_CLASS}")
@@ -235,10 +252,7 @@ def q_mail_only(spark, sf):
 
 
 def faulty_job(spark, sf) -> ThreadJob:
-    key = (spark.sparkContext.applicationId, sf, "faulty")
-    if key not in _JOBS:
-        _JOBS[key] = ThreadJob(messages_with_faults(spark, sf), P)
-    return _JOBS[key]
+    return kept(spark, sf, "faulty", lambda: ThreadJob(messages_with_faults(spark, sf), P))
 
 
 @register("rejects", """
@@ -583,14 +597,11 @@ def q_find_thread(spark, sf):
 
 
 def existing_job(spark, sf) -> ThreadJob:
-    key = (spark.sparkContext.applicationId, sf, "existing")
-    ej = _JOBS.get(key)
-    if ej is None:
+    def make():
         j = job(spark, sf)
         stored = LC.stored_messages(j.features, j.facts)
-        ej = ThreadJob.from_features(LC.existing_scan(stored), P.with_(excluded_folders=()), min_messages=1)
-        _JOBS[key] = ej
-    return ej
+        return ThreadJob.from_features(LC.existing_scan(stored), P.with_(excluded_folders=()), min_messages=1)
+    return kept(spark, sf, "existing", make)
 
 
 @register("existing_threads", """
@@ -602,6 +613,36 @@ def q_existing_threads(spark, sf):
         "end_date", "duration_days", "total_attachments", "is_urgent", "has_delay", "is_transport", "is_customs")
 
 
+def _tree(spark, sf, name: str, messages: Callable) -> str:
+    """Messages written as folder directories, once per input."""
+    return kept(spark, sf, name, lambda: MS.write_message_tree(messages(), scratch_path(spark, name)))
+
+
+@register("folder_tree_scan", "SELECT message_id, folder, length(body) AS body_chars FROM kept")
+def q_folder_tree_scan(spark, sf):
+    """S1 + F1 over directories ``folder=<name>``: excluded folders are never opened."""
+    path = _tree(spark, sf, "mailbox-tree", lambda: messages_from_conversations(spark, sf))
+    return MS.read_message_tree(spark, path, P.excluded_folders).select(
+        "message_id", "folder", F.length("body").cast("bigint").alias("body_chars"))
+
+
+@register("existing_tree_threads", """
+SELECT thread_key, conversation_id, thread_name, email_count, participant_count, start_date, end_date,
+       duration_days, total_attachments, is_urgent, has_delay, is_transport, is_customs FROM ex_meta""")
+def q_existing_tree_threads(spark, sf):
+    """S2 + F2 + F3 over the folders as they lie: the routed messages of the active root as one directory per
+    thread, scanned again with their bodies; each directory is a thread."""
+    def routed():
+        j = job(spark, sf)
+        targets = j.routes.where(F.col("target_root") == C.ACTIVE_ROOT).select("message_id", "target_folder")
+        return j.kept.join(targets, "message_id").withColumn("folder", F.col("target_folder"))
+    found = FE.mail_only(MS.read_message_tree(spark, _tree(spark, sf, "threads-tree", routed))).withColumn(
+        "conversation_id", F.coalesce("conversation_id", "folder"))
+    ej = ThreadJob(found, P.with_(excluded_folders=()), key="folder", min_messages=1)
+    return ej.scored.select("thread_key", "conversation_id", "thread_name", "email_count", "participant_count", "start_date",
+                            "end_date", "duration_days", "total_attachments", "is_urgent", "has_delay", "is_transport", "is_customs")
+
+
 @register("mode_both", """
 SELECT conversation_id, thread_name, email_count, mode FROM (
   SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY run DESC, thread_name) AS r FROM (
@@ -658,6 +699,42 @@ def q_archive_transition(spark, sf):
     return LC.archive_transition(active.select("folder"), metadata, archive, P)
 
 
+@register("archive_applied", f"""
+, before AS (
+  SELECT thread_key, {O.slug_sql('thread_name', 'conversation_id')} AS folder, email_count, end_date,
+         {O.days(O.AS_OF, 'end_time')} AS days_now,
+         {O.days(f"({O.AS_OF} - INTERVAL {PREVIOUS_RUN_DAYS} DAY)", 'end_time')} > {P.archive_days} AS was_archived
+  FROM meta)
+SELECT thread_key, folder, 'active' AS stored_as,
+       CASE WHEN email_count % 5 <> 0 AND email_count % 7 <> 3 AND days_now > {P.archive_days} AND email_count % 2 = 1
+            THEN '{C.ARCHIVE_ROOT}' ELSE '{C.ACTIVE_ROOT}' END AS root,
+       email_count % 5 <> 0 AS has_metadata FROM before WHERE NOT was_archived
+UNION ALL
+SELECT thread_key, folder, 'archive', '{C.ARCHIVE_ROOT}', true FROM before WHERE was_archived OR email_count % 2 = 0""")
+def q_archive_applied(spark, sf):
+    """J8 applied to a store of a run PREVIOUS_RUN_DAYS earlier (some folders without metadata or end date,
+    some in the archive already), twice; the store as it is read back."""
+    path = scratch_path(spark, "archived-store")
+    prev = P.as_of - timedelta(days=PREVIOUS_RUN_DAYS)
+    j = job(spark, sf)
+    s = j.with_participants(j.scored).withColumns({
+        "folder": X.slug("thread_name", "conversation_id"),
+        "was_archived": X.whole_days(X.ntz_literal(prev), "end_time") > P.archive_days,
+        "end_date": F.when(F.col("email_count") % 7 != 3, F.col("end_date"))})
+    record = ST.metadata_json()
+    active = s.where("NOT was_archived").select(
+        "folder", "thread_key", F.when(F.col("email_count") % 5 != 0, record).alias("metadata_json"),
+        F.lit("active").alias("summary_markdown"), F.lit(C.ACTIVE_ROOT).alias("root"))
+    archive = s.where("was_archived OR email_count % 2 = 0").select(
+        "folder", "thread_key", record.alias("metadata_json"), F.lit("archive").alias("summary_markdown"),
+        F.lit(C.ARCHIVE_ROOT).alias("root"))
+    V.create_store(active.unionByName(archive), path)
+    for _ in range(2):
+        V.apply_archive(spark, path, P)
+    return V.read_rows(spark, path).select("thread_key", "folder", F.col("summary_markdown").alias("stored_as"), "root",
+                                           F.col("metadata_json").isNotNull().alias("has_metadata"))
+
+
 REJECTED_THREADS_SQL = """SELECT coalesce(conversation_id, chr(0)) FROM msgs
                                WHERE received_time IS NULL OR message_id IS NULL"""
 
@@ -691,32 +768,31 @@ SELECT (SELECT count(*) FROM meta) AS threads_found, (SELECT count(*) FROM meta)
        (SELECT count(*) FROM msgs WHERE received_time IS NULL OR message_id IS NULL) AS errors,
        (SELECT count(*) FROM attention) AS reviewed,
        (SELECT count(*) FROM attention) AS drafts,
-       0::BIGINT AS skipped""")
+       (SELECT count(*) FROM attention) - (SELECT count(*) FROM attention) AS skipped""")
 def q_run_stats(spark, sf):
-    j = job(spark, sf)
-    one = j.meta.agg(F.count(F.lit(1)).alias("threads_found"))
-    return one.select(
-        "threads_found", F.col("threads_found").alias("threads_processed"),
-        j.routes.agg(F.count(F.lit(1))).scalar().alias("emails_moved"),
-        # every kept thread gets one summary and one timeline, so the threads are counted, not rendered
-        j.scored.agg(F.count(F.lit(1))).scalar().alias("summaries_created"),
-        j.facts.agg(F.count(F.lit(1))).scalar().alias("timelines_created"),
-        j.rejects.agg(F.count(F.lit(1))).scalar().alias("errors"),
-        j.attention.agg(F.count(F.lit(1))).scalar().alias("reviewed"),
-        LC.reply_queue(j.attention, j.summary).agg(F.count(F.lit(1))).scalar().alias("drafts"),
-        F.lit(0).cast("bigint").alias("skipped"))
+    """Every output written; the counts are those of the writing passes."""
+    return RUN.stats_frame(spark, RUN.run(job(spark, sf), scratch_path(spark, "run")))
+
+
+@register("faulty_run_stats", f"""
+SELECT (SELECT count(*) FROM meta) AS threads_found, (SELECT count(*) FROM meta) AS threads_processed,
+       (SELECT count(*) FROM routing) AS emails_moved, (SELECT count(*) FROM md) AS summaries_created,
+       (SELECT count(DISTINCT thread_key) FROM kf) AS timelines_created,
+       (SELECT count(*) FROM ({O.FAULTY_ADAPTER}) WHERE received_time IS NULL OR message_id IS NULL) AS errors,
+       (SELECT count(*) FROM attention) AS reviewed, (SELECT count(*) FROM attention) AS drafts,
+       0::BIGINT AS skipped""", adapter=O.FAULTY_ADAPTER)
+def q_faulty_run_stats(spark, sf):
+    """The same where messages lack a time or an id: errors are counted as they are set aside."""
+    return RUN.stats_frame(spark, RUN.run(faulty_job(spark, sf), scratch_path(spark, "run")))
 
 
 # --------------------------------------------------------------------------- store round trips
 def _store(spark, sf) -> str:
-    key = (spark.sparkContext.applicationId, sf, "store")
-    path = _JOBS.get(key)
-    if path is None:
+    def make():
         j = job(spark, sf)
         md = j.with_participants(j.markdown).withColumn("folder", X.slug("thread_name", "conversation_id"))
-        path = ST.write_store(md, scratch_path(spark, "thread-store"))
-        _JOBS[key] = path
-    return path
+        return ST.write_store(md, scratch_path(spark, "thread-store"))
+    return kept(spark, sf, "store", make)
 
 
 @register("metadata_json", """
@@ -789,12 +865,7 @@ from ..sources.messages import messages_from_documents  # noqa: E402
 
 
 def doc_job(spark, sf) -> ThreadJob:
-    key = (spark.sparkContext.applicationId, sf, "documents")
-    j = _JOBS.get(key)
-    if j is None:
-        j = ThreadJob(messages_from_documents(spark, sf), P)
-        _JOBS[key] = j
-    return j
+    return kept(spark, sf, "documents", lambda: ThreadJob(messages_from_documents(spark, sf), P))
 
 
 @register("document_summary", f"SELECT {SUMMARY_SQL} FROM summary", adapter=O.DOCUMENT_ADAPTER)
@@ -850,12 +921,7 @@ def q_event_phrase_flags(spark, sf):
 # --------------------------------------------------------------------------- high-volume threads
 
 def event_job(spark, sf) -> ThreadJob:
-    key = (spark.sparkContext.applicationId, sf, "events")
-    j = _JOBS.get(key)
-    if j is None:
-        j = ThreadJob(messages_from_events(spark, sf), P)
-        _JOBS[key] = j
-    return j
+    return kept(spark, sf, "events", lambda: ThreadJob(messages_from_events(spark, sf), P))
 
 
 @register("event_thread_scores", """
@@ -869,3 +935,50 @@ def q_event_thread_scores(spark, sf):
         "thread_key", "email_count", "participant_count", "start_date", "end_date", "duration_days",
         "days_since_last", "priority_score", "priority_level", joined("priority_factors").alias("factors"),
         "current_status", "next_action")
+
+
+SERIES_POINTS = 5
+
+
+@register("event_sender_series", f"""
+SELECT thread_key, sender, left(sender, {C.LEGEND_CHARS}) AS series_name, chunk, string_agg(y::VARCHAR, ' | ' ORDER BY y) AS y,
+       string_agg(x, ' | ' ORDER BY y) AS x, string_agg('Email ' || (y + 1)::VARCHAR, ' | ' ORDER BY y) AS text,
+       string_agg(subject, ' | ' ORDER BY y) AS subject, string_agg(hover, ' | ' ORDER BY y) AS hover_text
+FROM (SELECT *, (row_number() OVER (PARTITION BY thread_key, sender ORDER BY y) - 1) // {SERIES_POINTS} AS chunk
+      FROM (SELECT thread_key, sender, subject, rn - 1 AS y, {O.minute('received_time')} AS x,
+                   '<b>' || sender || '</b><br>' || subject || '<br>' || {O.minute('received_time')} || '<br><i>'
+                   || left(body, {C.HOVER_CHARS}) || '...</i>' AS hover FROM kf))
+GROUP BY thread_key, sender, chunk""", adapter=O.EVENTS_ADAPTER)
+def q_event_sender_series(spark, sf):
+    """A9 over the events: senders write many messages in a thread; arrays of at most SERIES_POINTS points."""
+    s = OUT.sender_series_chunks(event_job(spark, sf).sequenced, SERIES_POINTS)
+    return s.select("thread_key", "sender", "series_name", "chunk", F.array_join(F.transform("y", lambda v: v.cast("string")), " | ").alias("y"),
+                    *[joined(c).alias(c) for c in ("x", "text", "subject", "hover_text")])
+
+
+def busy_job(spark, sf) -> ThreadJob:
+    return kept(spark, sf, "busy-events", lambda: ThreadJob(MS.messages_from_busy_events(spark, sf), P))
+
+
+def _busy(name: str, sql: str, fn) -> None:
+    """The same output over the events as busy threads: senders repeat and every cap is passed."""
+    register(f"busy_{name}", sql, adapter=O.BUSY_ADAPTER)(lambda spark, sf: fn(busy_job(spark, sf)))
+
+
+_busy("thread_events", "SELECT thread_key, event_rank, event FROM events",
+      lambda j: j.events.select("thread_key", F.col("event_rank").cast("bigint"), "event"))
+_busy("stakeholders", "SELECT thread_key, stakeholder_rank, stakeholder FROM stakeholders",
+      lambda j: j.stakeholders.select("thread_key", F.col("stakeholder_rank").cast("bigint"), "stakeholder"))
+_busy("sender_counts", f"""
+SELECT thread_key, sender, count(*) AS n_emails, {O.iso('min(received_time)')} AS first_seen FROM kf GROUP BY thread_key, sender""",
+      lambda j: j.sender_counts.select("thread_key", "sender", "n_emails", X.iso_text(F.col("first_ord.received_time")).alias("first_seen")))
+_busy("action_items", "SELECT thread_key, item_rank, action_item FROM action_items",
+      lambda j: j.action_items.select("thread_key", F.col("item_rank").cast("bigint"), "action_item"))
+_busy("key_points", "SELECT thread_key, point_rank, key_point FROM key_points",
+      lambda j: j.key_points.select("thread_key", F.col("point_rank").cast("bigint"), "key_point"))
+_busy("thread_issues", "SELECT thread_key, issue_rank, issue FROM issues",
+      lambda j: j.issues.select("thread_key", F.col("issue_rank").cast("bigint"), "issue"))
+_busy("sender_palette", f"SELECT * FROM {PALETTE_SQL}", lambda j: j.palette)
+_busy("message_sequence", "SELECT thread_key, message_id, rn AS seq FROM kf",
+      lambda j: j.sequenced.select("thread_key", "message_id", "seq"))
+_busy("thread_summary", f"SELECT {SUMMARY_SQL} FROM summary", lambda j: summary_cols(j.summary))

@@ -266,6 +266,6 @@ class ThreadJob:
         for name in [n for n in self.__dict__ if isinstance(self.__dict__[n], DataFrame) and n != "raw"]:
             del self.__dict__[name]
 
-    def model_summaries(self, fn=None) -> DataFrame:
-        from ..operators.model import lead_sentences, model_summary
-        return model_summary(self.model_input, fn or lead_sentences)
+    def model_summaries(self, factory=None, bounds=None) -> DataFrame:
+        from ..operators import model as M
+        return M.model_summary(self.model_input, factory or M.lead_model, bounds or M.Bounds())

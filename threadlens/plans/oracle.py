@@ -123,6 +123,17 @@ FROM events
 """
 
 
+# the events as busy threads: senders repeat, every capped list has more items than its cap
+BUSY_ADAPTER = f"""
+SELECT * REPLACE (sender || '-' || cast(message_id % 4 AS varchar) AS sender,
+  'Could you check order ' || cast(message_id AS varchar) || '?' || chr(10)
+  || CASE sender WHEN 'error' THEN 'This is urgent. ' WHEN 'purchase' THEN 'There is a delay. ' ELSE '' END
+  || 'The decision on ' || sender || ' is approved. We have an issue with the ' || sender || ' deadline.' || chr(10)
+  || 'Please confirm ' || cast(message_id AS varchar) || chr(10) || body AS body)
+FROM ({EVENTS_ADAPTER})
+"""
+
+
 # the conversations with faults: messages without time, id, sender or conversation
 FAULTY_ADAPTER = f"""
 SELECT * REPLACE (CASE WHEN message_id % 29 <> 7 THEN message_id END AS message_id,

@@ -54,6 +54,24 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", folder:
     return df
 
 
+def write_message_tree(messages: DataFrame, path: str) -> str:
+    """Messages as ``<path>/folder=<name>/``: the mailbox's folders as directories.  Rows are dealt by ranges
+    of (folder, id), so a large folder is written by many tasks and a small one by one or two."""
+    messages.select(*MESSAGE_COLUMNS).repartitionByRange("folder", "message_id").write.mode("overwrite") \
+        .partitionBy("folder").parquet(path)
+    return path
+
+
+def read_message_tree(spark: SparkSession, path: str, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """S2 source: every directory ``folder=<name>`` below ``path`` is a folder (names are text, whatever they look
+    like; a message without a folder lies in Spark's default directory).  Excluded folders (F1: exact,
+    case-sensitive) are a filter on the directories, so their files are not opened."""
+    df = spark.read.schema(MESSAGE_SCHEMA).parquet(path).select(*MESSAGE_COLUMNS)
+    if excluded:
+        df = df.filter(F.col("folder").isNull() | ~F.col("folder").isin(*excluded))
+    return df
+
+
 def _conv_expr() -> list[Column]:
     """The conversations -> messages mapping (fixture adapter), column by column."""
     e = F.expr
@@ -123,6 +141,17 @@ def messages_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def messages_from_busy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as busy threads: some twenty senders who each write several times, and bodies in which every
+    capped list has more items than its cap."""
+    e = F.expr
+    return messages_from_events(spark, sf_dir).withColumns({
+        "sender": e("concat(sender, '-', message_id % 4)"),
+        "body": e("concat('Could you check order ', message_id, '?\n', CASE sender WHEN 'error' THEN 'This is urgent. ' "
+                  "WHEN 'purchase' THEN 'There is a delay. ' ELSE '' END, 'The decision on ', sender, ' is approved. "
+                  "We have an issue with the ', sender, ' deadline.\nPlease confirm ', message_id, '\n', body)")})
+
+
 def split_rejects(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split a scan into good rows and rejects (F5): a row that cannot be placed in
     time order or was malformed is set aside with a reason; the scan goes on."""
