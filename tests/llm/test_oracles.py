@@ -166,3 +166,12 @@ def test_host_rules_are_filed_under_their_rarest_token(spark):
     assert out["com/"] == "com" and out["example.com/en/"] == "example" and out["net/es/"] == "es" and out["net/en"] == "net"
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     assert {r.id: r.rule for r in urlrules.judge_urls(pages, host_rules=rules).collect()}[5] == "net/en"
+
+
+def test_very_long_urls_ties_and_capitals_in_rules(spark):
+    long = "http://" + "a." * 50_000 + "net/es/" + "x/" * 50_000
+    pages = spark.createDataFrame([(1, long), (2, "http://one.two.org/"), (3, "http://X.Net/es/y")], "page_id long, url string")
+    rules = (("block", "NET", "/es/"), ("allow", "Example.com", "/"))
+    patterns = ((r"two\.org", ("two", "org")), (r"one\.two", ("one", "two")))
+    out = {r.id: (r.rule, r.pattern, r.verdict) for r in urlrules.judge_urls(pages, host_rules=rules, pattern_rules=patterns).collect()}
+    assert out == {1: ("NET/es/", None, "block"), 2: (None, patterns[0][0], "block"), 3: ("NET/es/", None, "block")}

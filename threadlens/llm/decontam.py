@@ -5,7 +5,12 @@ shingles (word pairs) of a window are ordered by how rare they are in the whole
 document that holds the window holds every shingle of it, so the rarest alone is the necessary prefix:
 documents meet windows on that shingle only.  The shingle's place in the window fixes where the window
 would begin; the bounds of the document are checked (length, position), and the words of that
-stretch are compared one by one.  No document text crosses a shuffle: the join sits on the scan.
+stretch are compared one by one.
+
+The windows alone (each distinct one once, whatever items share it) are broadcast, so no document text crosses
+a shuffle: the join sits on the scan.  Where there are more of them than ``BROADCAST_ROWS`` the places of
+all shingles are dealt by their hash instead, in one pass, and the few texts with a candidate meet those by
+their key.  Items join the windows found at the end.
 """
 
 from __future__ import annotations
@@ -17,7 +22,10 @@ from .common import ascii_lower, stored
 from .licenses import NON_WORD, spaced_words, words_of
 
 BROADCAST_ROWS = 200_000
-"""Windows joined in one pass over the documents (some 200 bytes each).  Beyond, passes follow."""
+"""Windows that may be broadcast ..."""
+BROADCAST_CHARS = 40_000_000
+"""... and the characters that they may have in all."""
+SECTION = 4096  # words of a text that one group of its stretches covers
 
 
 def text_key(text: Column) -> Column:
@@ -54,24 +62,30 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
         F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.slice("words", i, F.col("n")))).alias("win")).distinct()
 
 
+WINDOW_KEY = ["w1", "w2"]
+
+
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "item_id", doc_text: str = "text",
-                item_text: str = "text", window: int = 10) -> DataFrame:
-    """(key, start, n, item): every place of a document text (by its key) that holds a window."""
-    windows = stored(item_windows(items, id_col, item_text, window), "windows")
+                item_text: str = "text", window: int = 10) -> tuple[DataFrame, DataFrame]:
+    """((key, start, n, w1, w2), (w1, w2, item)): every place of a document text (by its key) that holds a
+    window (by its key), and the items of each window."""
+    windows = stored(item_windows(items, id_col, item_text, window).withColumns(
+        {"w1": F.xxhash64("win"), "w2": F.xxhash64(F.lit(1), F.col("win"))}), "windows")
+    once = windows.select("w1", "w2", "n", "win").distinct()
     texts = docs.select(F.col(doc_text).alias("text"))
     words = texts.select(text_key(F.col("text")).alias("key"), split_text(F.col("text")).alias("words"))
     found = None
-    for width, some in ((1, windows.where("n = 1")), (2, windows.where("n > 1"))):
+    for width, some in ((1, once.where("n = 1")), (2, once.where("n > 1"))):
         part = _occurrences(words, some, width)
         if part is not None:
             found = part if found is None else found.unionByName(part)
     if found is None:
-        found = windows.limit(0).select(F.lit("").alias("key"), F.lit(0).alias("start"), "n", "item")
-    return stored(found.distinct(), "occurrences")
+        found = once.limit(0).select(F.lit("").alias("key"), F.lit(0).alias("start"), "n", *WINDOW_KEY)
+    return stored(found.distinct(), "occurrences"), windows.select(*WINDOW_KEY, "item")
 
 
 def _occurrences(words: DataFrame, windows: DataFrame, width: int) -> DataFrame | None:
-    shingles = windows.select("item", "n", "win", F.posexplode(F.transform(
+    shingles = windows.select("w1", "w2", "n", "win", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.col("n") - width), lambda i: shingle(F.col("win"), i, width))).alias("off", "h"))
     vocabulary = stored(shingles.select("h").distinct(), "item-shingles")
     size = vocabulary.count()
@@ -83,35 +97,43 @@ def _occurrences(words: DataFrame, windows: DataFrame, width: int) -> DataFrame
     known = F.broadcast(vocabulary) if size <= BROADCAST_ROWS * 10 else vocabulary
     seen = hashed.select("h").join(known, "h").groupBy("h").agg(F.count("*").alias("df"))
     rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "off"))
-    prefix = (shingles.join(seen, "h", "left").groupBy("item", "n", "win").agg(rarest.alias("r"))
+    prefix = (shingles.join(seen, "h", "left").groupBy("w1", "w2", "n", "win").agg(rarest.alias("r"))
               .where("r.df > 0")  # a shingle that no document has: nor has any the window
-              .select("item", "n", "win", "r.h", "r.off")
-              .groupBy("h", "off", "n", "win").agg(F.collect_set("item").alias("items")))
+              .select("w1", "w2", "n", "win", "r.h", "r.off"))
     prefix = stored(prefix, "prefixes")
-    total = prefix.count()
-    passes = -(-total // BROADCAST_ROWS)
-    found = None
-    for p in range(passes):
-        some = prefix if passes == 1 else prefix.where(F.pmod(F.xxhash64("win"), F.lit(passes)) == p)
-        start = F.col("at") - F.col("off")
-        met = (hashed.join(F.broadcast(some), "h")
-               .where((start >= 0) & (start + F.col("n") <= F.size("words")))
-               .where(F.slice("words", start + 1, F.col("n")) == F.col("win"))
-               .select("key", (start - empty_before(F.col("words"))).alias("start"), "n", F.explode("items").alias("item")))
-        found = met if found is None else found.unionByName(met)
-    return found
-
-
-def text_hits(found: DataFrame) -> DataFrame:
-    """(key, n_hit, items): words inside any occurrence, and the items with one (sorted texts)."""
-    # where the stretches up to here end decides how many words of the next are new
-    w = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    stretches = found.select("key", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
-    new = stretches.select("key", F.greatest(F.lit(0), F.col("end") - F.greatest(
+    total, chars = prefix.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "win"))), F.lit(0))).first()
+    start = F.col("at") - F.col("off")
+    place = ["key", (start - empty_before(F.col("words"))).alias("start"), "n", *WINDOW_KEY]
+    same = F.slice("words", start + 1, F.col("n")) == F.col("win")
+    bounds = (start >= 0) & (start + F.col("n") <= F.size("words"))
+    if total <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
+        return hashed.join(F.broadcast(prefix), "h").where(bounds).where(same).select(*place)
+    candidates = hashed.withColumn("size", F.size("words")).select("key", "at", "h", "size").join(prefix, "h") \
+        .where((start >= 0) & (start + F.col("n") <= F.col("size"))).select("key", "at", "off", "n", "win", *WINDOW_KEY).distinct()
+    candidates = stored(candidates, "window-candidates")
+    texts = words.join(candidates.select("key").distinct().hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"])
+    return candidates.join(texts, "key").where(same).select(*place)
+
+
+def text_hits(found: DataFrame, window_items: DataFrame) -> DataFrame:
+    """(key, n_hit, items): words inside any occurrence, and the items with one (sorted texts).
+
+    A text is counted in sections of ``SECTION`` words, each by itself, so one long text full of windows
+    is as many groups as it has sections; a stretch that reaches over an edge is cut there."""
+    end = F.col("start") + F.col("n")
+    sections = F.sequence(F.floor(F.col("start") / SECTION), F.floor((end - 1) / SECTION))
+    pieces = (found.select("key", "start", "n").distinct()
+              .select("key", F.col("start").alias("a"), end.alias("b"), F.explode(sections).alias("section"))
+              .select("key", "section", F.greatest("a", F.col("section") * SECTION).alias("start"),
+                      F.least("b", (F.col("section") + 1) * SECTION).alias("end")))
+    # where the pieces up to here end decides how many words of the next are new
+    w = Window.partitionBy("key", "section").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    new = pieces.select("key", F.greatest(F.lit(0), F.col("end") - F.greatest(
         "start", F.coalesce(F.max("end").over(w), F.lit(0)))).alias("new"))
     hits = new.groupBy("key").agg(F.sum("new").cast("long").alias("n_hit"))
-    items = found.select("key", F.col("item").cast("string").alias("item")).distinct() \
-        .groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = (found.select("key", *WINDOW_KEY).distinct().join(window_items, WINDOW_KEY)
+             .select("key", F.col("item").cast("string").alias("item")).distinct()
+             .groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items")))
     return hits.join(items, "key")
 
 
@@ -122,7 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     Null and empty texts have no words; items without words match nothing; an item without an id
     marks words but is no entry of ``items``.  Repeated rows keep a row each; empty tables give no
     rows, or no hits."""
-    hits = text_hits(occurrences(docs, items, item_id, doc_text, item_text, window))
+    hits = text_hits(*occurrences(docs, items, item_id, doc_text, item_text, window))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text")).select(
         "id", text_key(F.col("text")).alias("key"), split_text(F.col("text")).alias("parts")) \
         .select("id", "key", n_words(F.col("parts")).alias("n_words"))
@@ -133,9 +155,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, item_id: str = "item_id", doc_text: str = "text",
                       item_text: str = "text", window: int = 10) -> DataFrame:
-    """The rows of ``docs`` that hold no window of any item, with all their columns."""
+    """The rows of ``docs`` that hold no window of any item, with all their columns.  Null and empty texts
+    hold none and stay, as do all rows where there are no items."""
     name = next(f"_key{i}" for i in range(99) if f"_key{i}" not in set(docs.columns))
-    bad = occurrences(docs, items, item_id, doc_text, item_text, window).select(F.col("key").alias(name)).distinct()
+    bad = occurrences(docs, items, item_id, doc_text, item_text, window)[0].select(F.col("key").alias(name)).distinct()
     # the keys are the small side at any size: hashed in each partition, the texts need no sort
     return docs.withColumn(name, text_key(F.col(doc_text))).join(bad.hint("shuffle_hash"), name, "left_anti") \
         .select(*docs.columns)
@@ -166,7 +189,7 @@ def _oracle(window: int = 10) -> str:
                 SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes)),
     met AS (SELECT place.r, place.i, place.n, win.item_id FROM place JOIN win USING (n, win)),
     hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM met) GROUP BY r),
-    item AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    item AS (SELECT r, count(id) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
              FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM met) GROUP BY r)
     SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
