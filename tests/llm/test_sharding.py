@@ -82,3 +82,16 @@ def test_registered_query(spark):
     assert len(load) == 8 and load.max() <= load.sum() / 8 + out["size"].max()
     for _, part in out.groupby("shard"):
         assert np.array_equal(np.sort(part.slot.to_numpy()), np.arange(len(part)))
+
+
+def test_write_shards_writes_every_row_where_it_is_assigned(spark, tmp_path):
+    import pytest
+    rows = [(i, t, "x") for i, t in enumerate([None, "", "a", "a", "long " * 5000, "é", None] + [f"text {i}" for i in range(60)])]
+    docs = spark.createDataFrame(rows + rows[:4], "doc_id long, text string, size string")
+    S.write_shards(docs, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(str, back.select("doc_id", "text", "size").collect())) == sorted(map(str, docs.collect()))
+    want = {(r.id, r.size): r.shard for r in S.assign_shards(docs, 4).collect()}
+    assert all(want[(r.doc_id, len((r.text or "").encode()) + 1)] == r.shard for r in back.collect())
+    with pytest.raises(ValueError):
+        S.write_shards(docs.withColumnRenamed("size", "shard"), f"{tmp_path}/no", 4)

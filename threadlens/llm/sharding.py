@@ -171,7 +171,10 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, text_col: str = "text") -> None:
-    """Write the rows themselves, one folder per shard (``shard=0`` ...)."""
+    """Write the rows themselves, with all their columns, one folder per shard (``shard=0`` ...).  Null texts are
+    of the group of the empty text; an empty table writes no folder.  A column named shard is an error."""
+    if "shard" in docs.columns:
+        raise ValueError("the table has a column named shard")
     _, cuts = shard_map(docs, n_shards, text_col)
     docs.withColumn("shard", shard_of(group_key(F.col(text_col)), cuts)).write.partitionBy("shard").parquet(path)
 

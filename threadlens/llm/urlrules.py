@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, stored
+from .common import UPPER, ascii_lower, stored
 
 # FIXED VALUES: host rules (action, host, path) and pattern rules (regular expression over the
 # lower-cased URL, literal tokens that any match contains as whole tokens).
@@ -50,14 +50,15 @@ def whole_tokens(host: str, path: str) -> list[str]:
 
 def rule_index(offered: DataFrame, host_rules, pattern_rules) -> DataFrame:
     """All rules, each under the rarest of its literal tokens among the tokens offered ('' without any)."""
-    rules = [(None, None, f"{h}{p}", h, p, a, whole_tokens(h, p)) for a, h, p in host_rules]
+    lower = str.maketrans(UPPER, UPPER.lower())  # hosts are compared in lower case; the rule keeps its name
+    rules = [(None, None, f"{h}{p}", h.translate(lower), p, a, whole_tokens(h.translate(lower), p)) for a, h, p in host_rules]
     rules += [(i, p, None, None, None, None, list(t)) for i, (p, t) in enumerate(pattern_rules)]
     names = ["pattern_id", "pattern", "rule", "rule_host", "rule_path", "action"]
     literals = offered.sparkSession.createDataFrame(
         rules, "pattern_id int, pattern string, rule string, rule_host string, rule_path string, action string, "
                "literals array<string>").select(*names, F.explode(
                    F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit("")))).alias("token"))
-    seen = offered.join(F.broadcast(literals.select("token").distinct()), "token", "left_semi").groupBy("token") \
+    seen = offered.join(literals.select("token").distinct(), "token", "left_semi").groupBy("token") \
         .agg(F.count("*").alias("n"))
     return (literals.join(seen, "token", "left").groupBy(*names)
             .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
@@ -69,8 +70,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row per input row: id, host, path, rule (the deciding host rule or null), pattern (the
     first matching pattern rule or null), verdict.
 
-    A host rule fits its host and all subdomains if the path starts with the rule's; the longest
-    wins.  Without one, any matching pattern blocks and the rest is allowed.  Null URLs and URLs without
+    A host rule fits its host (A-Z in any case) and all subdomains if the path starts with the rule's; the longest
+    wins.  Without one, any matching pattern blocks (the first listed is named) and the rest is allowed.  Null URLs and URLs without
     ``://`` have an empty host and path and no rule; a null URL is allowed.  Patterns without a literal
     token are tried on every URL.  Repeated rows keep a row each, whatever the other columns."""
     spark = pages.sparkSession
