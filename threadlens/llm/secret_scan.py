@@ -5,17 +5,22 @@ word (links such as "is" or "Bearer" in between are passed) is priced, whole if
 keyboard walks and brute-force characters says how many guesses an attacker would need, and a value
 of at least ``min_guesses`` (log10) is a span of kind ``guess``.  The dynamic program is linear in the
 value's length, as repeats and walks grow by a step cost and words and dates have bounded length.
-Words cost their rank in the documents at hand (``word_ranks``) or among the frequent words of passwords.
+Words cost their rank in the documents at hand or among the frequent words of passwords.
+
+Values are first priced by the frequent words of passwords alone, text by text.  The few distinct ones that are
+dear then meet the ranks of the words inside them in joins (``cheap_values``); a value that its words make
+cheap is taken off the texts that hold it, by the text's key and place.  Ranks, words and values stay in tables.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import UPPER, ship, stored
@@ -28,10 +33,17 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
                     re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
+ASIDE = r"(?:[^\S\r\n]*(?:\([^()\r\n]{1,60}\)|\[[^\[\]\r\n]{1,60}\]))?"  # password (staging): ...
+MARKS = r"""["'`)\]]{0,3}"""
 NAME = (r"(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|"
-        r"credentials?|bearer|authorization)s?(?![a-z])")
-SEPARATOR = r"""["'`)\]]{0,3}(?:([^\S\r\n]*(?:[:=]+>?|->)[^\S\r\n]*)|[^\S\r\n]+)"""
+        rf"(?<![a-z])pass(?={MARKS}{ASIDE}[^\S\r\n]*[:=])|credentials?|bearer|authorization)s?(?![a-z])")
+# a value may stand on the line after a colon, an equals sign or an arrow
+SEPARATOR = rf"""{MARKS}{ASIDE}(?:([^\S\r\n]*(?:[:=]+>?|->)[^\S\r\n]*(?:\r?\n[^\S\r\n]*)?)|[^\S\r\n]+)"""
 CONTEXT = re.compile(rf"{NAME}[A-Za-z0-9_-]*(?P<separator>{SEPARATOR})?")
+# the password for the admin account is ...: words up to a verb or a separator
+TAIL = re.compile(r"(?:[A-Za-z][A-Za-z'’-]{0,19}[^\S\r\n]+){0,8}?[A-Za-z][A-Za-z'’-]{0,19}(?=[^\S\r\n]+(?i:is|was|are|equals?)\b|[^\S\r\n]*[:=])")
+BLANK = re.compile(r"[^\S\r\n]*")
+IN_URL = re.compile(r"://[^\s/?#:@]*:([^\s/@]+)@")
 LINK = re.compile(rf"({NAME}[A-Za-z_-]*|(?i:is|was|are|be|as|to|set|equals?|follows|the|a|an|my|our|your|his|her|their|of|for|"
                   rf"and|or|use|value|basic|digest|negotiate)\b){SEPARATOR}")
 QUOTED = {q: re.compile(rf"(?:[^{q}\\\r\n]|\\.|{q}(?=\w))*(?={q}(?!\w))") for q in "\"'`”’»"}
@@ -76,6 +88,7 @@ def neighbours() -> set[tuple[str, str]]:
 
 NEAR = neighbours()
 RANKS = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
+LONGEST = max(map(len, RANKS))
 
 
 def char_cost(c: str) -> float:
@@ -83,6 +96,11 @@ def char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
 
 
+def shortest(min_guesses: float) -> int:
+    """Characters that a value must have to cost that much: brute force, at its dearest, is never dearer."""
+    return max(1, math.ceil((min_guesses - START) / math.log10(33)))
+
+
 def guess_cost(value: str, ranks: dict[str, float] = RANKS, longest: int | None = None) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``; ``longest``: of the ranked words."""
     n = len(value)
@@ -129,10 +147,21 @@ def guess_cost(value: str, ranks: dict[str, float] = RANKS, longest: int | None
     return best[n]
 
 
-def values(text: str):
-    """(start, end) of the values in credential contexts: what stands behind each context word, its
-    separator and any links (is, Bearer, further context words ...); the whole of a quoted value, else
-    up to the next blank.  A value of letters alone needs a separator or quotes before it."""
+def may_hold(low: str) -> bool:
+    """Could this lower-cased text hold a value in a credential context at all?"""
+    return any(h in low for h in HINTS) or ("://" in low and "@" in low)
+
+
+def values(text: str) -> list[tuple[int, int]]:
+    """(start, end), sorted, of the values in credential contexts: those named by a credential word, and
+    passwords in URLs (``scheme://user:password@host``)."""
+    return sorted({*named_values(text), *(m.span(1) for m in IN_URL.finditer(text))})
+
+
+def named_values(text: str):
+    """(start, end) of what stands behind each context word, its separator (a remark in brackets may stand before
+    it) and any links (is, Bearer, further context words, up to nine words and a verb ...); the whole of a
+    quoted value, else up to the next blank.  A value of letters alone needs a separator or quotes before it."""
     reached = 0  # links passed on the way to the last value lead to that same value
     run_end = end = 0  # of the last run of non-blanks, with and without closing marks
     closed = dict.fromkeys(QUOTED, (0, 0))  # up to here a quote of this kind closes there (0: nowhere)
@@ -140,6 +169,10 @@ def values(text: str):
         if m.start() < reached or m["separator"] is None:
             continue
         at, separated = m.end(), m[2] is not None
+        if not separated and (tail := TAIL.match(text, at)):  # other words in between: letters alone stay prose
+            at = BLANK.match(text, tail.end()).end()
+            if text[at:at + 1] in (":", "="):
+                at = BLANK.match(text, at + 1).end()
         while link := LINK.match(text, at):
             if separated and link.end(1) - at >= 6:  # the value itself may begin like a context word
                 yield at, link.end(1)
@@ -165,20 +198,25 @@ def values(text: str):
                 yield at, end
 
 
-def spans(text: str, min_guesses: float = 10.0, ranks: dict[str, float] = RANKS,
-          longest: int | None = None) -> list[tuple[str, int, int]]:
+def dear_values(text: str, low: str, min_guesses: float):
+    """(start, end) of the values that cost ``min_guesses`` or more by the frequent words of passwords.  A value
+    that ends inside a longer one is part of it: it costs no more, so what makes the longer one cheap holds for it."""
+    least, inside = shortest(min_guesses), 0
+    for a, b in values(text) if may_hold(low) else ():
+        if b - a >= least and b > inside and guess_cost(text[a:b], RANKS, LONGEST) >= min_guesses:
+            yield a, b
+            inside = b
+
+
+def spans(text: str, min_guesses: float = 10.0, cheap=()) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text in code points: the matches of the base patterns that
-    are long enough, and the values in credential contexts that cost ``min_guesses`` or more."""
+    are long enough, and the dear values in credential contexts but those of ``cheap`` (start, end)."""
     found = [("hex", *m.span()) for m in HEX.finditer(text)]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     low = text.lower()
-    if any(h in low for h in HINTS):
+    if may_hold(low):
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-        inside = 0
-        for a, b in values(text):  # a value that ends inside a longer secret is part of it
-            if b - a >= 6 and b > inside and guess_cost(text[a:b], ranks, longest) >= min_guesses:
-                found.append(("guess", a, b))
-                inside = b
+        found += [("guess", a, b) for a, b in dear_values(text, low, min_guesses) if (a, b) not in cheap]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -200,94 +238,144 @@ def lowered(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(LOWER)
 
 
-def word_ranks(docs: DataFrame, text_col: str = "text", min_guesses: float = 10.0, min_rows: int = 3) -> dict[str, float]:
-    """log10 costs of words: ``RANKS`` and, by rank in the number of rows of ``docs`` that say them, the
-    words of at least ``min_rows`` rows that some value, dear by ``RANKS`` alone, holds.
+def text_key(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-    Words stand alone (2 to 32 letters) and outside of values in credential contexts, so a secret does
-    not become a word by its own copies.  Only ranked words found in such values reach the driver."""
+
+def candidates(docs: DataFrame, text_col: str, min_guesses: float) -> DataFrame:
+    """One pass over the texts: (word, rows) partial counts of the rows that say a word, and
+    (key, start, end, value) of the dear values.  Words stand alone (2 to 32 letters) and outside of
+    values in credential contexts, so a secret does not become a word by its own copies."""
     def run(batches):
-        def out(rows, parts):
-            words = [*rows, *parts]
+        def out(rows, dear):
+            n, m = len(rows), len(dear)
             return pa.RecordBatch.from_arrays([
-                pa.array(words, pa.string()), pa.array([*rows.values(), *[0] * len(parts)], pa.int64()),
-                pa.array([False] * len(rows) + [True] * len(parts), pa.bool_())], ["word", "rows", "held"])
+                pa.array([*rows, *[None] * m], pa.string()), pa.array([*rows.values(), *[None] * m], pa.int64()),
+                *[pa.array([*[None] * n, *[d[k] for d in dear]], t)
+                  for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))]],
+                ["word", "rows", "key", "start", "end", "value"])
 
-        rows, parts = Counter(), set()
-        longest = max(map(len, RANKS))
+        rows, dear = Counter(), []
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 text = text or ""
-                low, at, said, inside = text.lower(), 0, [], 0
-                for a, b in sorted(values(text)) if any(h in low for h in HINTS) else ():
-                    said.append(text[at:max(a, at)])
-                    at = max(at, b)
-                    if b - a >= 6 and b > inside and guess_cost(text[a:b], RANKS, longest) >= min_guesses:
-                        inside, value = b, lowered(text[a:b])
-                        for form in {value, value.translate(LEET)}:
-                            for m in LETTERS.finditer(form):
-                                for i in range(m.start(), m.end() - 1):
-                                    parts.update(form[i:j] for j in range(i + 2, min(i + 32, m.end()) + 1))
-                                    if len(parts) > FLUSH:
-                                        yield out({}, parts)
-                                        parts = set()
+                low, at, said = text.lower(), 0, []
+                if may_hold(low):
+                    for a, b in values(text):
+                        said.append(text[at:max(a, at)])
+                        at = max(at, b)
+                    found = list(dear_values(text, low, min_guesses))
+                    key = text_key(text) if found else None
+                    dear += [(key, a, b, text[a:b]) for a, b in found]
                 rows.update(set(WORD.findall(lowered(" ".join([*said, text[at:]])))))
-                if len(rows) > FLUSH:
-                    yield out(rows, ())
-                    rows = Counter()
-        yield out(rows, parts)
-
-    counts = stored(docs.selectExpr(f"`{text_col}` AS text").mapInArrow(run, "word string, rows long, held boolean")
-                    .groupBy("word").agg(F.sum("rows").alias("rows"), F.max("held").alias("held"))
-                    .where(F.col("rows") >= min_rows), "secret-words")
-    rank, before = {}, 0
-    for r in sorted(counts.groupBy("rows").count().collect(), reverse=True):  # one row per number of rows
-        rank[r[0]] = before + 1
-        before += r[1]
-    ranks = dict(RANKS)
-    for word, n in counts.where("held").select("word", "rows").collect():
-        ranks[word] = min(ranks.get(word, math.inf), math.log10(rank[n] + 1))
-    return ranks
+                if len(rows) > FLUSH or len(dear) > FLUSH // 10:
+                    yield out(rows, dear)
+                    rows, dear = Counter(), []
+        yield out(rows, dear)
+
+    return docs.selectExpr(f"`{text_col}` AS text").mapInArrow(
+        run, "word string, rows long, key string, start long, `end` long, value string")
+
+
+def value_words(found: DataFrame) -> DataFrame:
+    """(value) -> (value, word): every run of 2 to 32 letters inside it, as it is and unmasked (@ for a ...)."""
+    def run(batches):
+        def out(some):
+            return pa.RecordBatch.from_arrays([pa.array([v for v, _ in some], pa.string()), pa.array([w for _, w in some], pa.string())],
+                                              ["value", "word"])
+        some: set = set()
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                low = lowered(value)
+                for form in {low, low.translate(LEET)}:
+                    for m in LETTERS.finditer(form):
+                        for i in range(m.start(), m.end() - 1):
+                            some.update((value, form[i:j]) for j in range(i + 2, min(i + 32, m.end()) + 1))
+                            if len(some) > FLUSH:
+                                yield out(some)
+                                some = set()
+        yield out(some)
+
+    return found.mapInArrow(run, "value string, word string").distinct()
+
+
+def cheap_values(docs: DataFrame, text_col: str = "text", min_guesses: float = 10.0, min_rows: int = 3) -> DataFrame:
+    """(key, cheap array<struct<start, end>>): by text, the dear values that cost less than ``min_guesses`` once
+    the words of at least ``min_rows`` rows of ``docs`` cost their rank by rows."""
+    found = stored(candidates(docs, text_col, min_guesses), "secret-candidates")
+    counts = found.where("word IS NOT NULL").groupBy("word").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= min_rows)
+    counts = stored(counts, "secret-words")
+    # one row per number of rows that some word has; a word's rank is one more than the words of more rows
+    more = Window.orderBy(F.col("rows").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.groupBy("rows").count().select("rows", (F.coalesce(F.sum("count").over(more), F.lit(0)) + 1).alias("rank"))
+    dear = found.where("value IS NOT NULL")
+    words = value_words(dear.select("value").distinct()).join(counts, "word").join(ranks, "rows") \
+        .groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("words"))
+
+    def price(batches):
+        for batch in batches:
+            cheap = []
+            for value, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                known = dict(RANKS)
+                for w in words:
+                    known[w["word"]] = min(known.get(w["word"], math.inf), math.log10(w["rank"] + 1))
+                if guess_cost(value, known, max(map(len, known))) < min_guesses:
+                    cheap.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(cheap, pa.string())], ["value"])
+
+    return stored(dear.join(words.mapInArrow(price, "value string"), "value").select("key", "start", "end").distinct()
+                  .groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("cheap")), "cheap-values")
+
+
+def with_cheap(docs: DataFrame, text_col: str, min_guesses: float, cheap: DataFrame | None) -> tuple[DataFrame, str]:
+    """``docs`` with a column (its name is returned) of each text's cheap values; few texts hold any."""
+    name, key = (next(x for i in range(99) if (x := f"_{n}{i}") not in docs.columns) for n in ("cheap", "key"))
+    cheap = cheap_values(docs, text_col, min_guesses) if cheap is None else cheap
+    small = cheap.select(F.col("key").alias(key), F.col("cheap").alias(name))
+    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+    return keyed.join(small, key, "left").drop(key), name
+
+
+def places(column) -> list[set]:
+    return [{(p["start"], p["end"]) for p in some or ()} for some in column.to_pylist()]
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 min_guesses: float = 10.0, ranks: dict[str, float] | None = None) -> DataFrame:
+                 min_guesses: float = 10.0, cheap: DataFrame | None = None) -> DataFrame:
     """One row per input row: id, spans array<struct<kind, start, end>> and the redacted text.
 
     Null text: no span, redacted text null.  Texts are scanned whole; repeated rows keep a row each.
-    ``ranks``: word costs, by default those of ``word_ranks`` over ``docs``."""
-    ranks = word_ranks(docs, text_col, min_guesses) if ranks is None else ranks
-    longest = max(map(len, ranks), default=0)
+    ``cheap``: values that are none, by default those of ``cheap_values`` over ``docs``."""
     id_type = docs.schema[id_col].dataType.simpleString()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = [spans(t or "", min_guesses, ranks, longest) for t in texts]
+            found = [spans(t or "", min_guesses, c) for t, c in zip(texts, places(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0),
                 pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f] for f in found], kind),
                 pa.array([t if t is None else redact(t, f) if f else t for t, f in zip(texts, found)], pa.string()),
             ], ["id", "spans", "redacted"])
 
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(
+    rows, name = with_cheap(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), "text", min_guesses, cheap)
+    return rows.select("id", "text", name).mapInArrow(
         run, f"id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>, redacted string")
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
-                     min_guesses: float = 10.0, ranks: dict[str, float] | None = None) -> DataFrame:
+                     min_guesses: float = 10.0, cheap: DataFrame | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with every secret span of the text replaced; ``length_col``,
-    where there is one, is the new length in characters of a text that changed.  ``ranks`` as in ``scan_secrets``."""
-    ranks = word_ranks(docs, text_col, min_guesses) if ranks is None else ranks
-    longest = max(map(len, ranks), default=0)
+    where there is one, is the new length in characters of a text that changed.  ``cheap`` as in ``scan_secrets``.
+    Null texts stay null; an empty table gives none."""
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             columns = dict(zip(names, batch.columns))
             texts = batch.column(text_col).to_pylist()
-            found = [spans(t or "", min_guesses, ranks, longest) for t in texts]
+            found = [spans(t or "", min_guesses, c) for t, c in zip(texts, places(batch.column(len(names))))]
             if any(found):
                 new = [redact(t, f) if f else t for t, f in zip(texts, found)]
                 columns[text_col] = pa.array(new, batch.schema.field(text_col).type)
@@ -295,9 +383,10 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str =
                     old = columns[length_col].to_pylist()
                     columns[length_col] = pa.array([len(t) if f else n for t, f, n in zip(new, found, old)],
                                                    batch.schema.field(length_col).type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return docs.mapInArrow(run, docs.schema)
+    rows, name = with_cheap(docs, text_col, min_guesses, cheap)
+    return rows.select(*[F.col(f"`{c}`") for c in names], name).mapInArrow(run, docs.schema)
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
