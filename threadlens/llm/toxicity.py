@@ -7,7 +7,8 @@ the step climbs back.  A word's score does not depend on its document, so docume
 summing the scores of their distinct words.
 
 The model is fitted in one task on a bounded sample (``max_positive`` and ``max_unlabelled`` documents,
-drawn by a hash of the id).  The class prior is counted over all labels, and every whole text is scored.
+drawn by a hash of the id; of rows that share an id one, by a hash of its features).  The class prior is counted
+over all labels, as (toxic + 1/2) / (labels + 1), which is never 0 or 1; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -47,14 +48,27 @@ def word_features(word: bytes) -> list[int]:
 
 
 def featured(rows: DataFrame) -> DataFrame:
-    """(text, toxic) -> (toxic, features): the features of all distinct words, sorted."""
+    """(id, text, toxic) -> (id, toxic, features): the features of all distinct words, sorted."""
     def run(batches):
         for batch in batches:
             found = [sorted(f for w in distinct_words(t) for f in word_features(w))
-                     for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "features"])
+                     for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))],
+                                             ["id", "toxic", "features"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "toxic boolean, features array<int>")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "text", "toxic").mapInArrow(run, f"id {kind}, toxic boolean, features array<int>")
+
+
+def risk_and_step(scores: np.ndarray, weight_pos: np.ndarray, weight_unl: np.ndarray) -> tuple[float, np.ndarray]:
+    """The estimated risk of calling clean documents toxic (its negative part), and the gradient of the non-negative
+    risk with respect to the documents' scores: of prior * E_toxic[loss(+)] + negative part, or, where the
+    negative part fell below 0, of minus that part alone, to climb back."""
+    p = 1 / (1 + np.exp(-scores))
+    clean_loss = np.logaddexp(0, scores)  # loss of calling it clean
+    negative = weight_unl @ clean_loss - weight_pos @ clean_loss
+    d_negative = (weight_unl - weight_pos) * p
+    return float(negative), weight_pos * (p - 1) + d_negative if negative >= 0 else -d_negative
 
 
 def fit(features: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, prior: float, steps: int = 150,
@@ -78,11 +92,7 @@ def fit(features: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, prior: flo
     weight_unl = np.where(toxic, 0.0, 1.0 / n_unl)
     for _ in range(steps):
         g = np.clip(bias + np.bincount(doc, w[col], len(lengths)), -30, 30)
-        p = 1 / (1 + np.exp(-g))
-        clean_loss = np.logaddexp(0, g)  # loss of calling it clean
-        negative_risk = weight_unl @ clean_loss - weight_pos @ clean_loss
-        d_negative = weight_unl * p - weight_pos * p
-        step = weight_pos * (p - 1) + d_negative if negative_risk >= 0 else -d_negative
+        _, step = risk_and_step(g, weight_pos, weight_unl)
         gw = np.bincount(col, step[doc], len(ids))
         gb = step.sum()
         grad_sum += gw * gw
@@ -110,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .groupBy("id").agg(F.max("toxic").alias("toxic")))
     known = stored(known, "toxic-labels")
     n, n_toxic = known.agg(F.count("*"), F.count_if("toxic")).first()
-    prior = min(max(n_toxic / n, 1e-3), 0.5) if n_toxic else 0.0
+    prior = (n_toxic + 0.5) / (n + 1) if n_toxic else 0.0
     empty = {"prior": prior, "bias": 0.0, "ids": np.zeros(0, np.int64), "weights": np.zeros(0)}
     if not n_toxic:
         return empty
@@ -118,9 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     learn = texts.where(F.col("id").isNotNull() & (crc_of_id("id") % 3 != 1))
     chosen = sample_ids(known.where("toxic"), max_positive, 1).withColumn("toxic", F.lit(True)).unionByName(
         sample_ids(learn, max_unlabelled, 2).withColumn("toxic", F.lit(False)))
-    # at most max_positive + max_unlabelled ids; repeated rows of an id are cut to as many rows again
-    rows = featured(learn.join(F.broadcast(stored(chosen, "toxic-sample")), "id"))
-    rows = stored(rows.orderBy(F.xxhash64("features")).limit(2 * (max_positive + max_unlabelled)), "toxic-features")
+    # at most max_positive + max_unlabelled ids, and one row of each
+    some = learn.join(F.broadcast(stored(chosen, "toxic-sample")), "id")
+    rows = stored(featured(some).groupBy("id", "toxic").agg(F.min_by("features", F.xxhash64("features")).alias("features")),
+                  "toxic-features")
 
     def run(table):
         toxic = np.asarray(table.column("toxic"))
@@ -183,7 +194,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                threshold: float = 0.7, **bounds) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with all their columns."""
+    """The rows of ``docs`` whose score is below the threshold, with all their columns.  Null and empty texts have
+    the model's bias for a score."""
     name = next(f"_score{i}" for i in range(99) if f"_score{i}" not in set(docs.columns))
     scored = with_scores(docs, train(docs, labels, id_col, text_col, **bounds), text_col, name)
     return scored.where(F.col(name) < threshold).select(*docs.columns)
