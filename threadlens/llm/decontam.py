@@ -144,7 +144,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     Null and empty texts have no words; items without words match nothing; an item without an id
     marks words but is no entry of ``items``.  Repeated rows keep a row each; empty tables give no
     rows, or no hits."""
-    hits = text_hits(*occurrences(docs, items, item_id, doc_text, item_text, window))
+    # a table of its own: the rows of a text with many copies meet it in a join that Spark can split
+    hits = stored(text_hits(*occurrences(docs, items, item_id, doc_text, item_text, window)), "text-hits")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text")).select(
         "id", text_key(F.col("text")).alias("key"), split_text(F.col("text")).alias("parts")) \
         .select("id", "key", n_words(F.col("parts")).alias("n_words"))
