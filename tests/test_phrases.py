@@ -11,6 +11,7 @@ from conftest import AS_OF, frame, msg
 from threadlens.config import Params
 from threadlens.operators import phrases as PH
 from threadlens.operators import sequence as Q
+from threadlens.operators import threads as T
 from threadlens.plans.job import ThreadJob
 
 P = Params(as_of=AS_OF, min_messages=1, keywords_urgent=("a b",), keywords_delay=("b a b", " a", "x y z w v"),
@@ -78,3 +79,13 @@ def test_message_flags_test_subject_and_body_by_themselves(spark):
     rows = [msg(1, "c", AS_OF, subject="loading", body="dock"), msg(2, "c", AS_OF + timedelta(hours=1), subject="the loading dock")]
     j = ThreadJob(frame(spark, rows), p)
     assert {r.message_id: r.is_urgent for r in j.features.collect()} == {1: False, 2: True} and j.meta.first().is_urgent
+
+
+def test_places_are_not_broadcast(spark):
+    """They grow with the messages, and as files they are many times smaller than in memory."""
+    rows = [msg(i, f"t{i % 3}", AS_OF + timedelta(minutes=i), subject="x", body=("loading", "dock", "a b")[i % 3]) for i in range(30)]
+    j = ThreadJob(frame(spark, rows), P)
+    df = PH.with_phrase_flags(T.thread_metadata(j.features, P, 1), j.features, P)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

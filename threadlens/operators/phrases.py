@@ -71,6 +71,9 @@ def phrase_hits(features: DataFrame, p: Params) -> DataFrame:
     begins = some.select("thread_key", "seq", F.explode("phrase_begins").alias("place"))
     fills = some.select("thread_key", "seq", F.explode("phrase_fills").alias("f")).select(
         "thread_key", "seq", F.col("f.from").alias("place"), F.col("f.to").alias("to"))
+    # merge joins: rows and positions of few distinct values are small as files and many times that unpacked, so
+    # by the files' size Spark would broadcast what grows with the messages
+    begins, fills = begins.hint("merge"), fills.hint("merge")
     # a keyword fills at most as many whole messages as it has further spaces between two of its places
     longest = max(kw[kw.index(" ") + 1:].count(" ") for kw in kws)
     for _ in range(longest // 2 + 1):
@@ -92,5 +95,5 @@ def with_phrase_flags(meta: DataFrame, features: DataFrame, p: Params) -> DataFr
         F.bool_or(F.col("keyword").isin(*[kw for f, kw in found if f == flag])).alias(f"_{flag}")
         for flag in FLAGS if any(f == flag for f, _ in found)])
     added = [c for c in per_thread.columns if c != "thread_key"]
-    return meta.join(per_thread, "thread_key", "left").withColumns(
+    return meta.join(per_thread.hint("merge"), "thread_key", "left").withColumns(
         {c[1:]: F.col(c[1:]) | F.coalesce(c, F.lit(False)) for c in added}).drop(*added)
