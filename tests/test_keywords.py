@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from conftest import AS_OF, frame, msg
 from threadlens.operators import keywords as KW
 from threadlens.operators.features import keyword_hits
@@ -62,3 +64,29 @@ def test_hundred_thousand_keywords_leave_the_plan_as_small(spark, tmp_path):
     many, size_many = plan(100_000)
     assert abs(size_few - size_many) < 50 and "Cartesian" not in many._jdf.queryExecution().toString()
     assert sorted(r.keyword for r in many.collect()) == sorted(f"kw{i * 37}x" for i in range(300))
+
+
+def test_words_that_share_grams_are_no_candidates(spark):
+    """Words of few syllables: nearly every word has nearly every three characters.  Only true hits leave the index,
+    keywords longer than a gram included; rows of equal ids and texts each keep their hits."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice(["tha", "ing", "ere", "on"]) for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    rows = [msg(i, "c", AS_OF, subject=None, body=" ".join(rng.sample(words, 8)) + "." + "thaing" * 20) for i in range(60)]
+    rows += [msg(0, "c", AS_OF, subject=None, body=rows[0]["body"])]
+    kws = [("x", w) for w in sorted(set(words))] + [("y", "thaing" * 15), ("y", "e th"), ("y", "THA"), ("y", "athaing.thaing")]
+    table = spark.createDataFrame(kws, "list_name string, keyword string")
+    assert sorted(map(tuple, KW.keyword_table_hits(frame(spark, rows), table).collect())) == plain(rows, kws)
+    texts = spark.createDataFrame([(w, w) for w in sorted(set(words))], "key string, text string")
+    index = KW.keyword_index(texts, table.where("list_name = 'x'"), [6, 7, 8])
+    offered = texts.select("key", F.explode(KW.grams(F.col("text"), [6, 7, 8])).alias("gram")).join(index, "gram").count()
+    assert offered < 3 * KW.contained(texts, table.where("list_name = 'x'"), [6, 7, 8]).count()
+
+
+def test_grams_and_texts_are_not_multiplied_by_the_keywords_of_a_gram(spark):
+    """A message meets what its words hold: rows that cross exchanges are in proportion to words and hits."""
+    table = spark.createDataFrame([("x", f"prefix{i:05d}") for i in range(2000)], "list_name string, keyword string")
+    rows = [msg(i, "c", AS_OF, subject=None, body=f"see prefix{i:05d} and prefixes") for i in range(50)]
+    df = KW.keyword_table_hits(frame(spark, rows), table)
+    assert df.count() == 50
+    index = KW.keyword_index(spark.createDataFrame([(w,) for r in rows for w in r["body"].split()], "text string"), table, [KW.GRAM])
+    assert max(r["count"] for r in index.groupBy("gram").count().collect()) <= 100
