@@ -53,3 +53,16 @@ def test_partitioning_does_not_change_results(spark):
     a = ThreadJob(base.repartition(1), P, materialize="none").markdown.select("thread_key", "summary_markdown")
     b = ThreadJob(base.repartition(7, "sender"), P, materialize="none").markdown.select("thread_key", "summary_markdown")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_a_list_alone_writes_no_features(spark, job):
+    """Key points and issues of a new job come from the messages; with the feature table they are the same."""
+    alone = ThreadJob(messages_from_conversations(spark, SF), P)
+    job.features
+    for name in ("key_points", "issues"):
+        a, b = getattr(alone, name), getattr(job, name)
+        got = sorted(map(tuple, a.collect()))
+        assert got == sorted(map(tuple, b.collect())) and got
+        made = a._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Filter" in x and "split(" in x for x in made.splitlines()), "sentences are split once"
+    assert "features" not in alone.__dict__ and "meta" not in alone.__dict__

@@ -88,7 +88,9 @@ def _first_appearance(items: DataFrame, cap: int, rank: str, text: str) -> DataF
 
 def key_points(features: DataFrame, cap: int = C.CAP_KEY_POINTS) -> DataFrame:
     """X16: '[sender] sentence' per message and important word, distinct, first 5 by appearance."""
-    kp = features.select("thread_key", "ord", "sender", F.explode("key_sentences").alias("ks")).select(
+    # the outer explode: for the plain one Spark adds a filter on the array, for which it would be made twice
+    exploded = features.select("thread_key", "ord", "sender", F.explode_outer("key_sentences").alias("ks"))
+    kp = exploded.where(F.col("ks").isNotNull()).select(
         "thread_key",
         F.concat(F.lit("["), F.col("sender"), F.lit("] "), F.col("ks.text")).alias("text"),
         F.struct(F.col("ord"), F.col("ks.word_pos").alias("word_pos")).alias("pos"))
@@ -97,8 +99,9 @@ def key_points(features: DataFrame, cap: int = C.CAP_KEY_POINTS) -> DataFrame:
 
 def thread_issues(features: DataFrame, cap: int = C.CAP_ISSUES) -> DataFrame:
     """Per message the sentence of the first issue keyword found; distinct, first 5."""
-    it = features.filter(F.col("issue").isNotNull()).select(
-        "thread_key", F.col("issue").alias("text"), F.col("ord").alias("pos"))
+    # the filter stays above the explode: below it the issue would be made twice
+    it = features.select("thread_key", F.explode_outer(F.array("issue")).alias("text"), F.col("ord").alias("pos")) \
+        .where(F.col("text").isNotNull())
     return _first_appearance(it, cap, "issue_rank", "issue")
 
 

@@ -121,11 +121,22 @@ class ThreadJob:
         source = self.features if self.materialize == "none" or "features" in self.__dict__ else self.envelope
         return threads.join(T.participants(source), "thread_key", "left")
 
+    def _from_table(self) -> bool:
+        """Whether the features are there to be read; one list alone needs few of them and has none written."""
+        return self.materialize == "none" or "features" in self.__dict__
+
+    @property
+    def list_features(self) -> DataFrame:
+        """What a single list starts from: the feature table once it exists, else the same columns, lazily, of
+        which the list's plan computes only those it takes."""
+        return self.features if self._from_table() else FE.featurize(self.kept, self.params)
+
     def _kept_only(self, df: DataFrame) -> DataFrame:
         """Restrict a per-thread table to threads that passed the minimum count."""
         if self.min_messages <= 1:
             return df
-        return df.join(self.meta.select("thread_key"), "thread_key", "left_semi")
+        threads = self.meta if self._from_table() else T.identify_threads(self.envelope, self.min_messages)
+        return df.join(threads.select("thread_key"), "thread_key", "left_semi")
 
     @cached_property
     def kept_features(self) -> DataFrame:
@@ -176,7 +187,7 @@ class ThreadJob:
 
     @cached_property
     def raw_key_points(self) -> DataFrame:
-        return E.key_points(self.features)
+        return E.key_points(self.list_features)
 
     @cached_property
     def key_points(self) -> DataFrame:
@@ -184,7 +195,7 @@ class ThreadJob:
 
     @cached_property
     def raw_issues(self) -> DataFrame:
-        return E.thread_issues(self.features)
+        return E.thread_issues(self.list_features)
 
     @cached_property
     def issues(self) -> DataFrame:
